@@ -6,21 +6,105 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import packing, pii, quality_rules, secret_scan, sharding, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    spans = "array_join(transform({}, f -> concat_ws(':', f.kind, f.start, f.end)), ',')"
+    clear = "filter(findings, f -> f.via = '')"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"CAST(size(filter({clear}, f -> f.kind = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.expr(f"sha2({spans.format(clear)}, 256)").alias("base_sha256"),
+        F.expr(spans.format("findings")).alias("spans"),
+        F.expr("CAST(size(filter(findings, f -> f.via <> '')) AS bigint)").alias("n_decoded"),
+        "n_layers",
+    )
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")) + 8
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    sharded = sharding.hilbert_shards(docs, {"source": F.col("source"), "lang": F.col("lang"), "size": size}, shards=24, carry={"size": size, "text_crc32": crc})
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "place")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return ledger.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality_rules.failed("base-1").alias("base_failed"), (~quality_rules.failed("web-1")).alias("kept"), "n_lines", "n_upper", "fail_bits",
+    )
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
-QUERIES = {"op6_heap_pair_merge_counts": op6, "op8_power_of_two_packing": op8}
-ORACLES: dict[str, str] = {}
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(images)
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    kinds = [F.expr(f"CAST(size(filter(hits, x -> x.kind = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return replaced.select("doc_id", "text", "n_replaced", *kinds)
+
+
+#: A deployment passes its own secret; this one makes the queries repeatable.
+PII_KEY = "lodestone-demo-key"
+
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), parsed AS (
+  SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), placed AS (
+  SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM parsed
+), windows AS (
+  SELECT rid, pos, word, lead(word, 1) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM placed WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), counted AS (
+  SELECT rid, pos, w3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, word, w2, w3) > 1 AS again FROM windows
+), covered AS (
+  SELECT rid, again OR coalesce(lag(again, 1) OVER w, false) OR coalesce(lag(again, 2) OVER w, false) AS inside FROM counted WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), repeated AS (
+  SELECT rid, count(*) FILTER (WHERE inside) AS n FROM covered GROUP BY rid
+), measured AS (
+  SELECT p.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS BIGINT) AS n_upper
+  FROM parsed p LEFT JOIN repeated r USING (rid)
+), bits AS (
+  SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 100 * n_upper > 50 * word_chars THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END AS BIGINT) AS fail_bits
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, n_upper, fail_bits FROM bits
+"""
+
+QUERIES = {
+    "op2_secret_worklist": op2,
+    "op3_hilbert_shards": op3,
+    "op6_heap_pair_merge_counts": op6,
+    "op7_rule_bitmask_ledger": op7,
+    "op8_power_of_two_packing": op8,
+    "op9_simple8b_files": op9,
+    "op10_feistel_pseudonyms": op10,
+}
+ORACLES = {"op7_rule_bitmask_ledger": OP7_SQL}
