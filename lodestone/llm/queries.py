@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, token_files
+from . import decontamination, lm_scoring, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), F.expr("crc32(CAST(CAST(doc_id AS string) AS binary)) % 7 = 2"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     spans = "array_join(transform({}, f -> concat_ws(':', f.kind, f.start, f.end)), ',')"
@@ -107,6 +111,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 QUERIES = {
+    "op1_elias_fano_lm": op1,
     "op2_secret_worklist": op2,
     "op3_hilbert_shards": op3,
     "op4_pigeonhole_decontamination": op4,
