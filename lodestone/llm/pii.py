@@ -149,3 +149,10 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """
     found = key_and_text(df, id_col, text_col).select("doc_id", "text", pseudonymised(key).alias("new"))
     return found.select("doc_id", F.expr("coalesce(new.text, text)").alias("text"), F.expr("CAST(coalesce(size(new.hits), 0) AS bigint)").alias("n_replaced"), F.expr("coalesce(new.hits, CAST(array() AS array<struct<kind: string, was: string, now: string>>))").alias("hits"))
+
+
+def pseudonymised_rows(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """The rows of `df`, with all columns in their order, and pseudonyms in the text column; nulls as in `pseudonymise`."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).cast("string").alias("text"))
+    new = whole.select("_row", "text", pseudonymised(key).alias("new"))
+    return new.select(*[F.expr("coalesce(new.text, text)").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in df.columns])

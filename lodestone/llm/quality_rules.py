@@ -44,18 +44,24 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     fails few_words; a null doc_id stays null; repeated rows are measured each; an empty table gives no rows; other
     columns are not read.
     """
+    texts = key_and_text(df, id_col, text_col)
+    return _measured(texts.select("text", "doc_id"), ["doc_id"]).select("doc_id", *MEASURES, "fail_bits")
+
+
+def _measured(df: DataFrame, carried: list[str]) -> DataFrame:
+    """The carried columns, the measurements and fail_bits of the column `text`."""
     space = r"' \t\n\u000B\f\r'"
-    texts = key_and_text(df, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = texts.select("*", F.expr(f"btrim(text, {space})").alias("body")).select("doc_id", "text", F.expr(r"CASE WHEN body = '' THEN CAST(array() AS array<string>) ELSE split(body, '[\\x20\\x09-\\x0D]+') END").alias("words"))
+    texts = df.select(*carried, F.coalesce("text", F.lit("")).alias("text"))
+    words = texts.select("*", F.expr(f"btrim(text, {space})").alias("body")).select(*carried, "text", F.expr(r"CASE WHEN body = '' THEN CAST(array() AS array<string>) ELSE split(body, '[\\x20\\x09-\\x0D]+') END").alias("words"))
     hashed = words.select("*", F.expr("transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2)))").alias("hashes"))
     lined = hashed.select(
-        "doc_id", "text", "words",
+        *carried, "text", "words",
         F.expr(r"filter(split(text, '\n'), line -> line rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
         F.expr("CASE WHEN size(array_distinct(hashes)) < size(hashes) THEN sort_array(transform(hashes, (h, i) -> struct(concat_ws(' ', get(words, i), get(words, i + 1), get(words, i + 2)) AS words, i AS at))) END").alias("windows"),
     )
-    marked = lined.select("doc_id", "text", "words", "lines", F.expr("sort_array(transform(filter(windows, (x, i) -> x.words = get(windows, i - 1).words OR x.words = get(windows, i + 1).words), x -> x.at))").alias("found"))
+    marked = lined.select(*carried, "text", "words", "lines", F.expr("sort_array(transform(filter(windows, (x, i) -> x.words = get(windows, i - 1).words OR x.words = get(windows, i + 1).words), x -> x.at))").alias("found"))
     measured = marked.select(
-        "doc_id",
+        *carried,
         F.size("words").cast("long").alias("n_words"),
         F.expr("length(array_join(words, ''))").cast("long").alias("word_chars"),
         F.expr("length(regexp_replace(text, '[^#*$%&|<>]+', ''))").cast("long").alias("n_symbols"),
@@ -74,6 +80,18 @@ def failed(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) != 0
 
 
+def kept_rows(df: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows of `df`, with all columns, that the policy keeps: their ledger is computed beside them, without a join.
+
+    A null or empty text has no words and fails few_words; repeated rows are judged each; columns may have any names.
+    """
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).cast("string").alias("text"))
+    # The filter must stay above the measurements: pushed below, it would repeat all of them in its condition. A row
+    # number in their projection, which the condition names, holds it there.
+    judged = _measured(whole, ["_row"]).select("_row", "fail_bits", F.monotonically_increasing_id().alias("_at"))
+    return judged.where(~failed(policy) & (F.col("_at") >= 0)).select("_row.*")
+
+
 def ablations(ledgered: DataFrame, policy: str) -> DataFrame:
     """For each rule of the policy: rows it fails, rows that it alone fails, and rows kept without it.
 
