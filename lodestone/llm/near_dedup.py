@@ -193,42 +193,54 @@ def _cores(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n").join(lonely, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar, staged."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n1, n2 and inside (shingles that both full sets have) of the pairs (a, b), staged."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("set").alias("set1"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("set").alias("set2"))
     full = pairs.join(two, "b").join(one, "a")
-    inside = F.size(F.array_intersect("set1", "set2"))
-    return staged(full.where(_similar(spec, inside, F.col("n1"), F.col("n2"))).select("a", "b"), "dedup-links")
+    return staged(full.select("a", "b", "n1", "n2", F.size(F.array_intersect("set1", "set2")).cast("long").alias("inside")), "dedup-overlaps")
+
+
+def _confirmed(overlaps: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs whose full sets are similar."""
+    return overlaps.where(_similar(spec, F.col("inside"), F.col("n1"), F.col("n2"))).select("a", "b")
 
 
 def _cross_pairs(members: DataFrame, spec: Spec) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that may be similar; compared in blocks, each pair of blocks
-    in a task of its own, so that no task holds a whole bucket. members: key, node, label, n, core, signature words."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    in a task of its own, so that no task holds a whole bucket. A pair comes from the first band that its nodes share.
+
+    members: key, band, node, label, n, core, inside (shingles shared with the bucket's star, -1: unknown), signature
+    words, bands. Two sets share at most the lesser of their parts inside the star and the lesser of their core's parts
+    outside of it; that, the estimate and the sizes decide what is worth a look at the full sets.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     dealt = members.join(sizes.select("key", F.expr(f"CAST(ceil(members / {BLOCK}) AS int)").alias("blocks")), "key").withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
-    paired = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label", "n", "core", *[f"s{k}" for k in range(WORDS)])
+    paired = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label", "n", "core", "inside", "band", *[f"s{k}" for k in range(WORDS)], "bands")
     ordered = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     need = MINIMA - least_matches(spec.percent)
     half = np.uint64(0x5555555555555555)
 
     def compare(rows: np.ndarray) -> np.ndarray:
-        i, j, block, node, label, n, core = (rows[:, k] for k in range(1, 8))
-        sig = rows[:, 8:].view(np.uint64)
+        i, j, block, node, label, n, core, inside = (rows[:, k] for k in range(1, 9))
+        band, sig, bands = int(rows[0, 9]), rows[:, 10 : 10 + WORDS].view(np.uint64), rows[:, 10 + WORDS :]
         left = np.flatnonzero(block == i)
         right = left if i[0] == j[0] else np.flatnonzero(block == j)
         out = []
         for a in left.tolist():
             d = sig[a] ^ sig[right]
             unequal = np.bitwise_count((d | (d >> np.uint64(1))) & half).sum(axis=1)
-            lesser = np.minimum(core[a], core[right])
-            fit = (unequal <= need) & (label[right] != label[a]) & (100 * lesser >= spec.percent * (n[a] + n[right] - lesser))
-            for b in node[right[fit]].tolist():
+            most = np.minimum(core[a], core[right])
+            starred = np.minimum(inside[a], inside[right]) + np.minimum(core[a] - inside[a], core[right] - inside[right])
+            most = np.where((inside[a] >= 0) & (inside[right] >= 0), np.minimum(most, starred), most)
+            fit = np.flatnonzero((unequal <= need) & (label[right] != label[a]) & (100 * most >= spec.percent * (n[a] + n[right] - most)))
+            before = (bands[right[fit], :band] == bands[a, :band]).any(axis=1)
+            for b in node[right[fit[~before]]].tolist():
                 out.append((min(node[a], b), max(node[a], b)))
         return np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 8 + WORDS), dtype=np.int64)
+        rest = np.zeros((0, 10 + WORDS + BANDS), dtype=np.int64)
 
         def emit(groups: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(groups):
@@ -238,13 +250,14 @@ def _cross_pairs(members: DataFrame, spec: Spec) -> DataFrame:
                         yield pa.record_batch([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
+            plain = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:-1]]
+            rest = np.concatenate([rest, np.column_stack([*plain, batch.columns[-1].flatten().to_numpy().reshape(-1, BANDS)])])
             last = (rest[:, :3] == rest[-1, :3]).all(axis=1) if len(rest) else np.zeros(0, dtype=bool)
             yield from emit(rest[~last])
             rest = rest[last]
         yield from emit(rest)
 
-    return ordered.mapInArrow(pairs, "a long, b long").distinct()
+    return ordered.mapInArrow(pairs, "a long, b long")
 
 
 def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
@@ -254,7 +267,7 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
     # Equal sets are one node, named by their least row: copies collapse here, however many there are.
     nodes = staged(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "dedup-nodes")
     first = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands")
-    each = first.select("node", F.explode("bands").alias("key"))
+    each = first.select("node", F.posexplode("bands").alias("band", "key"))
     full = each.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     shared = staged(each.join(full, "key"), "dedup-buckets")
     wanted = staged(nodes.join(shared.select("node").distinct(), "node"), "dedup-wanted")
@@ -262,17 +275,22 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
     signatures = signed.select(F.col("row").alias("node"), *sig)
     # A node whose core is too small for any partner takes no part.
     about = staged(_cores(sets).where(_similar(spec, F.col("core"), F.col("n"), F.col("core"))).join(signatures, "node"), "dedup-about")
-    members = staged(shared.join(about, "node").select("key", "node", "n", "core", *sig), "dedup-members")
+    members = staged(shared.join(about, "node").select("key", "band", "node", "n", "core", *sig), "dedup-members")
 
     # First every member against its bucket's most shared node: one pair a member links nearly all of a large group.
     star = members.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("core")).cast("double") / F.col("n"), F.col("node"))).alias("best")).select("key", F.col("best.node").alias("b"))
     spokes = members.select("key", F.col("node").alias("a")).join(star, "key").where("a <> b").select("a", "b").distinct()
     ends = spokes.join(about.alias("x"), F.col("a") == F.col("x.node")).join(about.alias("y"), F.col("b") == F.col("y.node"))
-    links = _confirmed(ends.where(_possible(spec, "x", "y") & _near(spec, "x", "y")).select("a", "b"), sets, spec)
+    overlaps = _overlaps(ends.where(_possible(spec, "x", "y") & _near(spec, "x", "y")).select("a", "b"), sets)
+    links = _confirmed(overlaps, spec)
     labels = components(links)
     # Then whatever pairs of a bucket are still apart, all of them.
-    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = _confirmed(_cross_pairs(known, spec), sets, spec)
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    shares = overlaps.select(F.col("a").alias("node"), "b", "inside")
+    starred = labelled.join(apart, "key").join(star, "key").join(shares, ["node", "b"], "left").withColumn("inside", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.coalesce("inside", F.lit(-1))))
+    known = starred.drop("b").join(signed.select(F.col("row").alias("node"), "bands"), "node")
+    more = _confirmed(_overlaps(_cross_pairs(known, spec), sets), spec)
     if more.limit(1).count():
         labels = components(links.union(more))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
