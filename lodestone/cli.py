@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "stats":
         print(f"{Engine(spark, settings).stats()} chunks")
         return 0
-    wanted = [settings.paths.knowledge_base_path, f"{settings.paths.vectordb_path}/_current"]
+    wanted = [settings.paths.knowledge_base_path, f"{settings.paths.vectordb_path}/CURRENT"]
     missing = [p for p in wanted if not exists(spark, p)]
     for p in missing:
         print(f"missing: {p}", file=sys.stderr)

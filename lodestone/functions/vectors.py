@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -22,7 +23,7 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def maxsim(query: pa.Array, document: pa.Array) -> pa.Array:
     """Mean over the query's vectors of the largest dot product with any of the document's; 0 if either has none."""
     out = []

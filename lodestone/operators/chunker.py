@@ -10,15 +10,25 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import LINE_END, SPACE, anchor, chunk_id, content_hash, stripped, token_estimate
 
 LEVELS = range(1, 7)
-_earlier = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-_so_far = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-_later = Window.partitionBy("path").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-_whole = Window.partitionBy("path")
-_ordered = Window.partitionBy("path").orderBy("pos")
+
+
+def _by_document(first: int | None = None, last: int | None = None) -> WindowSpec:
+    """A document's rows in order; from `first` to `last` of them, if given."""
+    ordered = Window.partitionBy("path").orderBy("pos")
+    return ordered if first is None else ordered.rowsBetween(first, last)
+
+
+def _earlier() -> WindowSpec:
+    return _by_document(Window.unboundedPreceding, -1)
+
+
+def _so_far() -> WindowSpec:
+    return _by_document(Window.unboundedPreceding, 0)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -28,7 +38,7 @@ def lines(docs: DataFrame) -> DataFrame:
     """
     each = docs.select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), LINE_END)).alias("pos", "line"))
     fenced = each.withColumn("is_fence", F.col("line").rlike(rf"^{SPACE}*```"))
-    parity = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(_earlier), F.lit(0)) % 2 == 1
+    parity = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(_earlier()), F.lit(0)) % 2 == 1
     marked = fenced.withColumn("in_code", parity)
     hashes = F.length(F.regexp_extract("line", rf"^(#{{1,6}}){SPACE}", 1))
     return marked.withColumn("level", F.when(~F.col("is_fence") & ~F.col("in_code") & (hashes > 0), hashes))
@@ -37,7 +47,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """path, pos, level, heading and body of every section; each document begins with "Introduction" at level 1."""
     heading = F.when(F.col("level").isNotNull(), stripped(F.regexp_replace("line", rf"^#{{1,6}}{SPACE}+", "")))
-    owned = lines(docs).select("path", "pos", "level", heading.alias("heading"), "line", F.coalesce(F.max(F.when(F.col("level").isNotNull(), F.col("pos"))).over(_so_far), F.lit(-1)).alias("section"))
+    owned = lines(docs).select("path", "pos", "level", heading.alias("heading"), "line", F.coalesce(F.max(F.when(F.col("level").isNotNull(), F.col("pos"))).over(_so_far()), F.lit(-1)).alias("section"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     grouped = owned.groupBy("path", F.col("section").alias("pos")).agg(F.max("level").alias("level"), F.max("heading").alias("heading"), stripped(body).alias("body"))
     # A document whose first line is a heading has no line of its own in the introduction.
@@ -65,15 +75,15 @@ def outline(docs: DataFrame, max_chunk_tokens: int = 1500) -> DataFrame:
     part = F.array_join(F.filter(F.array(title, F.col("body")), lambda x: x != ""), "\n\n")
     parts = sections(docs).withColumn("part", part)
     # A subtree's text is its parts joined by two line ends: its length follows from running sums.
-    sized = parts.withColumn("before", F.coalesce(F.sum(F.length("part") + 2).over(_earlier), F.lit(0)))
-    nexts = [F.min(F.when(F.col("level") <= k, F.struct("pos", "before"))).over(_later).alias(f"n{k}") for k in LEVELS]
-    ended = sized.select("*", *nexts, (F.sum(F.length("part") + 2).over(_whole)).alias("total"), F.lead("level").over(_ordered).alias("following"), F.max((F.col("level") == 2).cast("int")).over(_whole).alias("has_h2"))
+    sized = parts.withColumn("before", F.coalesce(F.sum(F.length("part") + 2).over(_earlier()), F.lit(0)))
+    nexts = [F.min(F.when(F.col("level") <= k, F.struct("pos", "before"))).over(_by_document(1, Window.unboundedFollowing)).alias(f"n{k}") for k in LEVELS]
+    ended = sized.select("*", *nexts, (F.sum(F.length("part") + 2).over(Window.partitionBy("path"))).alias("total"), F.lead("level").over(_by_document()).alias("following"), F.max((F.col("level") == 2).cast("int")).over(Window.partitionBy("path")).alias("has_h2"))
     next_one = F.coalesce(*[F.when(F.col("level") == k, F.col(f"n{k}")) for k in LEVELS])
     length = F.coalesce(next_one["before"], F.col("total")) - F.col("before") - 2
     tokens = F.greatest(F.lit(1).cast("long"), F.floor(length / 4).cast("long"))
     trees = ended.select("path", "pos", "level", "heading", "body", "part", "has_h2", next_one["pos"].alias("end"), tokens.alias("tokens"), (F.col("following") > F.col("level")).alias("has_child"))
     judged = trees.withColumn("is_split", (F.col("tokens") > max_chunk_tokens) & F.coalesce("has_child", F.lit(False)))
-    above = [F.max(F.when(F.col("level") == k, F.struct("pos", "heading", "is_split"))).over(_earlier).alias(f"a{k}") for k in LEVELS]
+    above = [F.max(F.when(F.col("level") == k, F.struct("pos", "heading", "is_split"))).over(_earlier()).alias(f"a{k}") for k in LEVELS]
     placed = judged.select("*", *above)
     parents = F.filter(F.array(*[_ancestor(k, "heading") for k in LEVELS]), lambda x: x.isNotNull())
     target = F.when(F.col("has_h2") == 1, F.lit(2)).otherwise(F.lit(1))
@@ -91,7 +101,7 @@ def chunk_documents(docs: DataFrame, max_chunk_tokens: int = 1500) -> DataFrame:
     """
     plan = outline(docs, max_chunk_tokens)
     # Chunks' subtrees don't overlap: a section's chunk is the last one that starts at or before it and hasn't ended.
-    holder = F.last(F.when(F.col("emitted"), F.struct("pos", "end", "heading", "parents")), ignorenulls=True).over(_so_far)
+    holder = F.last(F.when(F.col("emitted"), F.struct("pos", "end", "heading", "parents")), ignorenulls=True).over(_so_far())
     held = plan.select("path", "pos", "part", holder.alias("chunk")).where(F.col("chunk").isNotNull() & (F.col("chunk.end").isNull() | (F.col("pos") < F.col("chunk.end"))))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\n\n")
     rendered = held.groupBy("path", F.col("chunk.pos").alias("pos"), F.col("chunk.heading").alias("section_heading"), F.col("chunk.parents").alias("parent_headings")).agg(text.alias("text"))

@@ -35,7 +35,7 @@ def deleted(old: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 
 
 class SnapshotStore:
-    """Tables under one root; a version holds all of them, and _current names the version that readers see.
+    """Tables under one root; a version holds all of them, and CURRENT names the version that readers see.
 
     Writers make the next version's folder and then replace the pointer by rename, so readers see all tables of one
     version, or the one before. One writer at a time.
@@ -49,7 +49,7 @@ class SnapshotStore:
     @property
     def version(self) -> int:
         """The current version; 0 before the first write."""
-        pointer = f"{self.root}/_current"
+        pointer = f"{self.root}/CURRENT"
         if not self._fs.exists(self._path(pointer)):
             return 0
         return int(self.spark.read.text(pointer).first()[0])
@@ -67,7 +67,7 @@ class SnapshotStore:
         for name, schema in self.schemas.items():
             df = tables.get(name, self.read(name))
             df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        fresh, pointer = self._path(f"{self.root}/_next"), self._path(f"{self.root}/_current")
+        fresh, pointer = self._path(f"{self.root}/NEXT"), self._path(f"{self.root}/CURRENT")
         out = self._fs.create(fresh, True)
         out.write(bytearray(str(version).encode()))
         out.close()

@@ -1,0 +1,136 @@
+"""Search, fusion, reranking: small cases by hand."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions.vectors import dot, maxsim, sigmoid, squared_l2
+from lodestone.operators import fusion, models, sparse
+from lodestone.operators.dense import search_dense
+from lodestone.plans import retrieval
+
+
+def chunks(spark):
+    rows = [("a", "red apple", "x", [0.0, 0.0]), ("b", "green pear", "y", [1.0, 0.0]), ("c", "red pear", "x", [3.0, 0.0]), ("d", "blue", "y", None)]
+    return spark.createDataFrame(rows, "chunk_id string, text string, domain string, dense_vector array<float>")
+
+
+def asked(spark, *texts):
+    rows = spark.createDataFrame([(i, t, [0.0, 0.0]) for i, t in enumerate(texts)], "qid long, text string, dense array<float>")
+    words = sparse.word_postings(rows, "qid").select(F.col("chunk_id").alias("qid"), "token", "weight")
+    return retrieval.Queries(rows, words)
+
+
+def index(spark, colbert=None):
+    c = chunks(spark)
+    p = sparse.word_postings(c)
+    return retrieval.Index(c, p, sparse.idf_scores(p, c), colbert)
+
+
+def test_dense(spark):
+    q = asked(spark, "red").rows
+    assert [(r.chunk_id, r.dist, r["rank"]) for r in search_dense(chunks(spark), q, 2).orderBy("rank").collect()] == [("a", 0.0, 1), ("b", 1.0, 2)]
+    assert [r.chunk_id for r in search_dense(chunks(spark), q, 5, {"domain": "x"}).orderBy("rank").collect()] == ["a", "c"]
+    assert search_dense(chunks(spark), q, 0).count() == 0
+    assert search_dense(chunks(spark), q, 2, {"domain": "o'brien"}).count() == 0
+    assert search_dense(chunks(spark).where("false"), q, 2).count() == 0
+    assert search_dense(chunks(spark), q.where("false"), 2).count() == 0
+
+
+def test_dense_ties_go_by_id_across_partitions(spark):
+    rows = spark.createDataFrame([(i, [1.0]) for i in range(100)], "chunk_id long, dense_vector array<float>").repartition(7)
+    q = spark.createDataFrame([(0, [0.0])], "qid long, dense array<float>")
+    assert [r.chunk_id for r in search_dense(rows, q, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_idf_and_score(spark):
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "chunk_id string")
+    postings = spark.createDataFrame([("a", "1", 3.0)], "chunk_id string, token string, weight double")
+    idf = sparse.idf_scores(postings, docs)
+    assert idf.first()["idf"] == pytest.approx(math.log(4 / 2) + 1)
+    assert sparse.idf_scores(postings.where("false"), docs.where("false")).count() == 0
+    q = spark.createDataFrame([(0, "1", 2.0), (0, "9", 1.0)], "qid long, token string, weight double")
+    fixed = spark.createDataFrame([("1", 1.5)], "token string, idf double")
+    assert sparse.search_sparse(postings, fixed, q, 5).first()["sparse_score"] == 9.0
+    assert sparse.search_sparse(postings, fixed.where("false"), q, 5).first()["sparse_score"] == 6.0
+    assert sparse.search_sparse(postings, fixed, q, 5, docs.where("chunk_id = 'b'")).count() == 0
+
+
+def test_sparse_replace_and_remove(spark):
+    old = spark.createDataFrame([("a", "1", 1.0), ("b", "1", 1.0)], "chunk_id string, token string, weight double")
+    fresh = spark.createDataFrame([("a", "2", 5.0)], "chunk_id string, token string, weight double")
+    ids = spark.createDataFrame([("a",), ("z",)], "chunk_id string")
+    assert sorted(map(tuple, sparse.replaced(old, fresh, ids).collect())) == [("a", "2", 5.0), ("b", "1", 1.0)]
+    assert sparse.without(old, ids).count() == 1
+
+
+def ranked(spark, *ids):
+    return spark.createDataFrame([(0, x, i + 1) for i, x in enumerate(ids)], "qid long, chunk_id string, rank int")
+
+
+def test_rrf(spark):
+    got = fusion.rrf(ranked(spark, "a", "b"), ranked(spark, "b", "c")).orderBy("rank").collect()
+    assert [(r.chunk_id, r.rrf) for r in got] == [("b", round(1 / 62 + 1 / 61, 9)), ("a", round(1 / 61, 9)), ("c", round(1 / 62, 9))]
+    assert [r.chunk_id for r in fusion.rrf(ranked(spark, "z"), ranked(spark, "c")).orderBy("rank").collect()] == ["z", "c"]
+
+
+def test_vectors(spark):
+    m = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0]]), ([], [[1.0]]), (None, None)], "q array<array<float>>, d array<array<float>>")
+    assert [r[0] for r in m.select(maxsim("q", "d")).collect()] == [0.5, 0.0, 0.0]
+    v = spark.createDataFrame([([1.0, 2.0], [3.0, 0.0])], "a array<float>, b array<float>")
+    assert tuple(v.select(squared_l2(F.col("a"), F.col("b")), dot(F.col("a"), F.col("b")), sigmoid(F.lit(0.0))).first()) == (8.0, 3.0, 0.5)
+
+
+def test_colbert_rerank(spark):
+    store = spark.createDataFrame([("b", [[1.0, 0.0]]), ("c", [[0.5, 0.0]])], "chunk_id string, vecs array<array<float>>")
+    q = spark.createDataFrame([(0, [[1.0, 0.0]])], "qid long, vecs array<array<float>>")
+    got = fusion.colbert_rerank(ranked(spark, "a", "c", "b"), q, store, 3).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in got] == [("b", 1.0), ("c", 0.5)]  # a has no vectors and others do
+    kept = fusion.colbert_rerank(ranked(spark, "z", "a"), q, store.where("false"), 3).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in kept] == [("z", None), ("a", None)]
+
+
+def test_hybrid_filters_the_dense_leg_only(spark):
+    got = retrieval.hybrid(index(spark), asked(spark, "green"), 10, {"domain": "x"})
+    assert {r.chunk_id for r in got.collect()} == {"a", "b", "c"}  # b through its words
+    from lodestone.config import RetrievalConfig
+
+    narrow = retrieval.hybrid(index(spark), asked(spark, "green"), 10, {"domain": "x"}, config=RetrievalConfig(filter_sparse=True))
+    assert {r.chunk_id for r in narrow.collect()} == {"a", "c"}
+    assert retrieval.hybrid(index(spark), asked(spark, "green"), 0).count() == 0
+
+
+def test_tools(spark):
+    i = index(spark)
+    docs = retrieval.search_documentation(i, asked(spark, "red pear"), "x", 2).orderBy("rank").collect()
+    assert [(r.chunk_id, r.rerank_score) for r in docs] == [("c", 1.0), ("a", 0.5)]
+    shown = retrieval.with_chunks(retrieval.hybrid(i, asked(spark, "blue"), 1), i).collect()
+    assert shown[0].metadata == {"domain": i.chunks.where(F.col("chunk_id") == shown[0].chunk_id).first()["domain"]}
+    assert retrieval.get_section(i.chunks, "nope").count() == 0
+    assert retrieval.section_siblings(i.chunks, "a", file_col="domain").count() == 2
+    names = spark.createDataFrame([(0, "N", "C"), (1, "N", None)], "qid long, name string, category string")
+    assert [r.text for r in retrieval.lookup_text(names).orderBy("qid").collect()] == ["C N", "N"]
+    errors = spark.createDataFrame([(0, "m", "c"), (1, "m", None)], "qid long, message string, context string")
+    assert [r.text for r in retrieval.error_text(errors).orderBy("qid").collect()] == ["m\nc", "m"]
+
+
+def test_models(spark):
+    class FakeModel:
+        def encode(self, texts, **_):
+            return {"dense": [[float(len(t))] for t in texts], "lexical_weights": [{7: 0.5} for _ in texts], "colbert": [[[1.0]] for _ in texts]}
+
+        def compute_score(self, pairs, normalize):
+            return [len(d) / 10 for _, d in pairs] if len(pairs) > 1 else len(pairs[0][1]) / 10
+
+    texts = spark.createDataFrame([(i, "x" * i) for i in range(5)], "id long, text string")
+    out = models.ModelEmbedder(FakeModel, batch_size=2).embed(texts, "id", "text").orderBy("id").collect()
+    assert [(r.dense, r.sparse, r.vecs) for r in out] == [([float(i)], {"7": 0.5}, [[1.0]]) for i in range(5)]
+    pairs = spark.createDataFrame([(0, "q", "a", "four"), (0, "q", "b", "sixsix")], "qid long, query string, chunk_id string, text string")
+    assert [r.rerank_score for r in models.ModelScorer(FakeModel).score(pairs).orderBy("chunk_id").collect()] == [0.4, 0.6]
+    one = models.LexicalEmbedder(8).embed(spark.createDataFrame([(0, "b a b"), (1, ""), (2, None)], "id long, text string"), "id", "text").orderBy("id").collect()
+    assert one[0].sparse == {"a": 1.0, "b": 2.0} and sum(x * x for x in one[0].dense) == pytest.approx(1, abs=1e-6) and len(one[0].vecs) == 3
+    assert one[1].sparse == {} and set(one[2].dense) == {0.0}
+    vocabulary = spark.createDataFrame([(1, "one")], "token_id long, token string")
+    assert models.token_strings(spark.createDataFrame([(1,), (2,)], "token_id long"), vocabulary).orderBy("token_id").collect()[0].token == "one"
+    assert models.pick({"dense": 3}, ("dense_vecs", "dense"), []) == [3] and models.pick({}, ("x",), [1]) == [1]
