@@ -50,7 +50,7 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _measured(df: DataFrame, carried: list[str]) -> DataFrame:
     """The carried columns, the measurements and fail_bits of the column `text`."""
-    space = r"' \t\n\u000B\f\r'"
+    space = r"' \t\n\u000B\u000C\r'"
     texts = df.select(*carried, F.coalesce("text", F.lit("")).alias("text"))
     words = texts.select("*", F.expr(f"btrim(text, {space})").alias("body")).select(*carried, "text", F.expr(r"CASE WHEN body = '' THEN CAST(array() AS array<string>) ELSE split(body, '[\\x20\\x09-\\x0D]+') END").alias("words"))
     hashed = words.select("*", F.expr("transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2)))").alias("hashes"))
