@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import key_and_text, staged
 from .tokens import byte_bpe
@@ -176,5 +177,5 @@ def read_token_files(images: DataFrame) -> DataFrame:
                 docs = pa.array(image.doc_ids.astype(np.int64), mask=image.known == 0)
                 yield pa.record_batch([docs, pa.array(starts + base), pa.array(image.lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = images.join(offsets, "part").selectExpr("first + before AS base", "image")
+    placed = images.join(F.broadcast(offsets), "part").selectExpr("first + before AS base", "image")
     return placed.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
