@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ._common import staged
 from .ngram_trie import CHILD_BITS, STEP, Trie, code, mapped
 
 #: Tokens of a batch, the unit that asks shards for counts; nodes that a shard is to hold, over all batches.
-BATCH_TOKENS, SHARD_NODES = 1 << 20, 1 << 21
+BATCH_TOKENS, SHARD_NODES = 1 << 20, 1 << 20
 #: A word that begins at least this share of all n-grams is dealt to SALTS shards by its next word. At most 1000 words.
 HOT_SHARE, SALTS = 1 / 1000, 32
 START, END = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
@@ -41,17 +42,26 @@ def token_hashes(text: str) -> np.ndarray:
     return np.fromiter([*map(_hashes.__getitem__, words), END], dtype=np.uint64, count=len(words) + 1)
 
 
+def _shrunk(tokens: np.ndarray) -> bytes:
+    """Compressed, byte by byte of all tokens: high bytes are nearly all alike."""
+    return zstandard.compress(tokens.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 3)
+
+
+def _grown(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _tokenised(df: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    """batch, doc_ids, held, lengths, vocabulary (rising hashes), tokens (places in it), hot (its frequent words)."""
+    """batch, doc_ids, held, lengths, vocabulary (rising hashes), tokens (places in it, compressed), hot (its frequent words)."""
 
     def batch_of(docs: list, held: list, found: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(f) for f in found], dtype="<u4")
         words, tokens, counts = np.unique(np.concatenate([np.array([START], np.uint64), *found]), return_inverse=True, return_counts=True)
-        tokens = tokens[1:].astype("<u4" if len(words) > 65536 else "<u2")
+        tokens = tokens[1:]
         counts[words == np.uint64(START)] = len(docs)
         often = (counts >= HOT_SHARE / 2 * len(tokens)) & (words != np.uint64(END))
         hot = [{"word": w, "n": n} for w, n in zip(words[often].view(np.int64).tolist(), counts[often].tolist())]
-        values = ([docs], [held], [lengths.tobytes()], [words.astype("<u8").tobytes()], [tokens.tobytes()], [len(words)], [len(tokens)], [int(lengths[~np.array(held)].sum())], [hot])
+        values = ([docs], [held], [lengths.tobytes()], [words.astype("<u8").tobytes()], [_shrunk(tokens)], [len(words)], [len(tokens)], [int(lengths[~np.array(held)].sum())], [hot])
         kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))
         return pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds)], names=["doc_ids", "held", "lengths", "words", "tokens", "n_words", "n_tokens", "n_train", "hot"])
 
@@ -296,8 +306,7 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
     def grams_of(batch: pa.RecordBatch, i: int, names: list[str]) -> tuple[_Grams, np.ndarray, np.ndarray]:
         row = {name: batch.column(k)[i] for k, name in enumerate(names)}
         words, lengths = np.frombuffer(row["words"].as_py(), "<u8"), np.frombuffer(row["lengths"].as_py(), "<u4").astype(np.int64)
-        raw = row["tokens"].as_py()
-        tokens = np.frombuffer(raw, "<u4" if len(words) > 65536 else "<u2").astype(np.int64)
+        tokens = _grown(row["tokens"].as_py())
         train = ~np.array(row["held"].as_py(), dtype=bool)
         return _Grams(words, tokens, lengths, train, order, shards, hot), tokens, lengths
 
