@@ -74,26 +74,28 @@ class Finder:
     def __init__(self, items: tuple[tuple[int, str], ...], rate: float) -> None:
         import ahocorasick
 
-        self.patterns, self.edits, where = [], [], defaultdict(list)
+        self.patterns, self.edits = [], []
+        where: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
         for k, (_, item) in enumerate(items):
             edits = budget(len(item), rate)
             self.patterns.append(Pattern(item))
             self.edits.append(edits)
             for offset, piece in pieces(item, edits):
-                where[piece].append((k, offset))
+                # Of equal pieces of one item the first and the last offset tell where a match may lie.
+                where[piece][k] = (where[piece].get(k, (offset,))[0], offset)
         self.ids = [i for i, _ in items]
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
-            self.automaton.add_word(piece, (len(piece), places))
+            self.automaton.add_word(piece, (len(piece), [(k, a, b) for k, (a, b) in places.items()]))
         self.automaton.make_automaton()
 
     def find(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
         """(item_id, distance, error budget, first word, last word) of the best match of each item within its budget."""
         windows: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.automaton.iter(text):
-            for k, offset in places:
-                at, slack = end - length + 1 - offset, self.edits[k]
-                lo, hi = max(0, at - slack), at + self.patterns[k].n + slack
+            for k, first_offset, last_offset in places:
+                at, slack = end - length + 1, self.edits[k]
+                lo, hi = max(0, at - last_offset - slack), at - first_offset + self.patterns[k].n + slack
                 spans = windows.setdefault(k, [])
                 # Hits come by their ends, so a window can reach back only as far as the item is long.
                 while spans and lo <= spans[-1][1] and hi >= spans[-1][0]:

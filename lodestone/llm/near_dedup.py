@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import dropped, key_and_text, staged
@@ -326,10 +326,15 @@ def deduplicated(df: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", tex
     best = out.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("key"), F.col("text_hash"))).alias("best"))
     lost = out.where("n > 0").join(best, "component").where((F.col("key") != F.col("best.key")) | (F.col("text_hash") != F.col("best.text_hash"))).select("key", "text_hash").distinct()
     lost = staged(lost, "dedup-lost")
-    named = df.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_key"), F.xxhash64(F.col(text_col).cast("string")).alias("_text_hash"))
-    keys = lost.select(F.col("key").alias("_key"), F.col("text_hash").alias("_text_hash"))
-    kept = named.join(F.broadcast(keys) if lost.count() <= BROADCAST_ROWS else keys, ["_key", "_text_hash"], "left_anti")
+    # The row travels as one struct, so that its columns can't clash with the keys.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole")
+    named = df.select(whole, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    kept = named.join(F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost, ["key", "text_hash"], "left_anti")
     again = out.where("n > 0").groupBy("key", "text_hash").count().where("count > 1").join(lost, ["key", "text_hash"], "left_anti").limit(1).count()
-    if again:  # the same row more than once, and kept: these alone make a shuffle of texts needed
-        kept = kept.dropDuplicates(["_key", "_text_hash"])
-    return kept.drop("_key", "_text_hash")
+    if again:  # a kept row stands there more than once: these alone make a shuffle of texts needed
+        same = Window.partitionBy("key", "text_hash").orderBy(F.lit(0))
+        worded = out.where("n > 0").groupBy("key", "text_hash").count().where("count > 1").select("key", "text_hash", F.lit(True).alias("again"))
+        marked = kept.join(worded, ["key", "text_hash"], "left")
+        first = marked.where("again").withColumn("at", F.row_number().over(same)).where("at = 1").select("whole")
+        kept = marked.where("again IS NULL").select("whole").unionByName(first)
+    return kept.select("whole.*")
