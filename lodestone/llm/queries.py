@@ -110,6 +110,25 @@ WITH texts AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, n_upper, fail_bits FROM bits
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE parsed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM parsed
+), each AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS origin, doc_id AS place FROM sets UNION SELECT r.origin, l.b FROM reached r JOIN links l ON l.a = r.place
+), components AS (
+  SELECT origin AS doc_id, min(place) AS component_id FROM reached GROUP BY origin
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN components USING (doc_id)
+"""
+
 QUERIES = {
     "op1_elias_fano_lm": op1,
     "op2_secret_worklist": op2,
@@ -122,4 +141,4 @@ QUERIES = {
     "op9_simple8b_files": op9,
     "op10_feistel_pseudonyms": op10,
 }
-ORACLES = {"op7_rule_bitmask_ledger": OP7_SQL}
+ORACLES = {"op5_bbit_minhash": OP5_SQL, "op7_rule_bitmask_ledger": OP7_SQL}
