@@ -141,18 +141,23 @@ class _Grams:
             self.counts.append(np.bincount(where[in_train[inside]], minlength=len(found)))
             self.shard.append(self.shard[-1][self.parents[-1]])
 
+    def slices(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The shards that this batch asks, and in each level where each one's nodes begin and end."""
+        asked = np.unique(self.shard[0])
+        return asked, [(np.searchsorted(s, asked, side="left"), np.searchsorted(s, asked, side="right")) for s in self.shard]
+
     def requests(self) -> Iterator[tuple[int, bytes]]:
         """(shard, nodes): for each shard its nodes' keys, training counts and, below level 1, parents."""
-        cuts = [np.searchsorted(s, np.arange(int(self.shard[0].max()) + 2)) for s in self.shard]
-        for shard in np.unique(self.shard[0]).tolist():
+        asked, cuts = self.slices()
+        for i, shard in enumerate(asked.tolist()):
             body = []
-            for k, cut in enumerate(cuts):
-                a, b = int(cut[shard]), int(cut[shard + 1])
+            for k, (begins, ends) in enumerate(cuts):
+                a, b = int(begins[i]), int(ends[i])
                 keys, counts = self.keys[k][a:b], self.counts[k][a:b]
                 body += [struct.pack("<Q", b - a), _narrow(counts), keys.astype("<u8").tobytes() if k == 0 else keys.astype("<u8").view("u1").reshape(-1, 8)[:, : CHILD_BITS // 8].tobytes()]
                 if k:
-                    up = cuts[k - 1]
-                    body.append(_narrow(np.bincount(self.parents[k - 1][a:b] - int(up[shard]), minlength=int(up[shard + 1] - up[shard]))))
+                    up = int(cuts[k - 1][0][i])
+                    body.append(_narrow(np.bincount(self.parents[k - 1][a:b] - up, minlength=int(cuts[k - 1][1][i]) - up)))
             yield shard, b"".join(body)
 
 
@@ -246,15 +251,14 @@ def _answers(raws: list[bytes], order: int, weight: float) -> tuple[list[bytes],
 
 def _scores(grams: _Grams, replies: list[bytes], tokens: np.ndarray, lengths: np.ndarray, order: int, total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, base scores, scores) of a batch's documents from the shards' answers, in shard order."""
-    sizes = [np.bincount(s, minlength=int(grams.shard[0].max()) + 1) for s in grams.shard]
-    shards = np.unique(grams.shard[0]).tolist()
+    cuts = grams.slices()[1]
     share: list[list[np.ndarray]] = [[] for _ in range(order)]
     rest: list[list[np.ndarray]] = [[] for _ in range(order)]
     counts = []
-    for shard, raw in zip(shards, replies):
+    for i, raw in enumerate(replies):
         r = _Reader(raw)
         for k in range(order):
-            n = int(sizes[k][shard])
+            n = int(cuts[k][1][i] - cuts[k][0][i])
             share[k].append(r.take("<u2", n))
             if k + 1 < order:
                 rest[k].append(r.take("<u2", n))
