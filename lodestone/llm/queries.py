@@ -19,7 +19,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
-    spans = "array_join(transform({}, f -> concat_ws(':', f.kind, f.start, f.end)), ',')"
+    spans = "array_join(array_distinct(transform({}, f -> concat_ws(':', f.kind, f.start, f.end))), ',')"
     clear = "filter(findings, f -> f.via = '')"
     return found.select(
         "doc_id",

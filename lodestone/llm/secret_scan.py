@@ -8,8 +8,8 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +31,14 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 UNICODE_ONE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_RUN = 16
+STANDARD = str.maketrans("-_", "+/")
+#: Characters (and bytes that are no UTF-8, as surrogates) that text doesn't have; no secret is shorter than a stretch.
+NO_TEXT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]")
+STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{12,}")
+#: The first bytes of gzip, zlib, bzip2 and zstd.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd", re.S)
+CHUNK = 1 << 20
 FINDINGS = "doc_id long, findings array<struct<kind: string, start: long, end: long, via: string, secret: string>>, n_layers long"
 
 
@@ -117,48 +125,152 @@ def _unicode(run: str) -> tuple[str, list[int]] | None:
     return (text, cuts) if text else None
 
 
-def _inflated(raw: bytes, most: int) -> tuple[str, bytes] | None:
-    """The name and the content of a compressed layer, up to `most` bytes; None if it is none or broken."""
+def _opener(head: bytes) -> tuple[str, Callable] | None:
+    """The name of a compressed stream and what makes its decompressor."""
+    if not (m := MAGIC.match(head)):
+        return None
+    if m.group()[:1] == b"\x1f":
+        return "gzip", lambda: zlib.decompressobj(31)
+    if m.group()[:1] == b"\x78":
+        return "zlib", zlib.decompressobj
+    if m.group()[:1] == b"B":
+        return "bzip2", bz2.BZ2Decompressor
+    import zstandard
+
+    return "zstd", lambda: zstandard.ZstdDecompressor().decompressobj()
+
+
+def _fed(unit, name: str, data: bytes) -> Iterator[bytes]:
+    """What `data` unpacks to, about CHUNK bytes at a time."""
+    if name == "zstd":
+        yield unit.decompress(data)
+        return
+    while True:
+        out = unit.decompress(data, CHUNK)
+        yield out
+        data = unit.unconsumed_tail if name != "bzip2" else b""
+        if unit.eof or (unit.needs_input if name == "bzip2" else len(out) < CHUNK):
+            return
+
+
+def _inflated(source: Iterable[bytes], name: str, make: Callable, used: list[int]) -> Iterator[bytes]:
+    """The content of all members of a stream, up to its end or where it is broken; `used` gets the bytes of its whole members."""
+    unit, step, at = make(), 256 if name == "zstd" else 1 << 16, 0
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(raw, most)
-        if raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return "bzip2", bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return "zstd", zstandard.ZstdDecompressor().decompressobj().decompress(raw)[:most]
+        for chunk in source:
+            for k in range(0, len(chunk), step):
+                data = chunk[k : k + step]
+                at += len(data)
+                while data:
+                    yield from _fed(unit, name, data)
+                    data = b""
+                    if unit.eof:
+                        data, unit = unit.unused_data, make()
+                        used[:] = [at - len(data)]
+                        data = data.lstrip(b"\0") if name == "gzip" else data  # padding
     except (zlib.error, OSError, EOFError, ValueError, RuntimeError):
         pass
     except Exception as e:
         if type(e).__name__ != "ZstdError":
             raise
-    return None
+
+
+def _unpacked(raw: bytes, used: list[int]) -> tuple[str, Iterator[bytes]] | None:
+    """The names (>gzip...) of all the compressed layers that `raw` begins with and the content of the innermost."""
+    names, source, heads = "", iter([raw]), set()
+    while (head := next(source, None)) is not None:
+        source = chain([head], source)
+        mark = hashlib.sha256(head).digest()
+        if not (opener := _opener(head)) or mark in heads:  # the latter unpacks to itself
+            break
+        heads.add(mark)
+        kept: list[bytes] | None = []
+
+        def recorded(outer=source):
+            for chunk in outer:
+                if kept is not None:
+                    kept.append(chunk)
+                yield chunk
+
+        inner = (x for x in _inflated(recorded(), *opener, [] if names else used) if x)
+        first = next(inner, None)
+        if first is None:
+            source = chain(kept, source)
+            break
+        kept = None
+        names, source = f"{names}>{opener[0]}", chain([first], inner)
+    return (names, source) if names else None
+
+
+def _pieces(source: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """The content in pieces of up to `most` bytes, cut at line ends near by; each begins in its predecessor's last quarter."""
+    rest = bytearray()
+    for chunk in source:
+        rest += chunk
+        while len(rest) > most:
+            cut = rest.rfind(b"\n", most - most // 8, most) + 1 or most
+            yield bytes(rest[:cut])
+            back = cut - most // 4
+            del rest[: rest.find(b"\n", back, back + most // 8) + 1 or back]
+    if rest:
+        yield bytes(rest)
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The text of the bytes, if nearly all of them are text, or else its stretches, with each character's first and last byte."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if len(NO_TEXT.findall(text)) <= 0.05 * len(text):
+        cuts = [(0, len(text))] if text else []
+    else:
+        cuts = [m.span() for m in STRETCH.finditer(text)]
+    if cuts:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF)
+        sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+        last = np.cumsum(sizes)
+        for a, b in cuts:
+            yield text[a:b], last[a:b] - sizes[a:b], last[a:b]
+
+
+def _read(layer: Layer, run: str, at: np.ndarray, end: int, most: int, done: set | None) -> Iterator[Layer]:
+    """Layers of base64 whose characters lie at `at` in the layer; compressed ones, at any byte, if `done` (those read) is given."""
+    n = len(run) - (len(run) % 4 == 1)
+    if n < LEAST_RUN:
+        return
+    raw = base64.b64decode(run[:n].translate(STANDARD) + "=" * (-n % 4))
+    via, place, covered = f"{layer.via}>base64", 0, []
+    while done is not None and (m := MAGIC.search(raw, place)):
+        place, used = m.start() + 1, []
+        first = int(at[m.start() // 3 * 4])
+        if (first, m.start() % 3) not in done and (found := _unpacked(raw[m.start() :], used)):
+            done.add((first, m.start() % 3))
+            names, source = found
+            a, b = layer.span(first, end)
+            for piece in _pieces(source, most):  # no places of its own: its secrets lie somewhere in the run
+                for text, _, _ in _texts(piece):
+                    yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), via + names)
+            if used:
+                place = m.start() + used[0]
+                covered.append((m.start(), place))
+    for text, first, last in _texts(raw):
+        if any(a <= first[0] < b for a, b in covered):
+            continue
+        starts, ends = at[first // 3 * 4], at[np.minimum((last + 2) // 3 * 4, n) - 1]
+        yield Layer(text, starts if layer.starts is None else layer.starts[starts], ends + 1 if layer.ends is None else layer.ends[ends], via)
 
 
 def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
+    done: set[tuple[int, int]] = set()
     for m in BASE64_RUN.finditer(layer.text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        raw = base64.urlsafe_b64decode(run.replace("+", "-").replace("/", "_") + "=" * (-len(run) % 4))
-        via, whole = f"{layer.via}>base64", False
-        while packed := _inflated(raw, most):
-            via, raw, whole = f"{via}>{packed[0]}", packed[1], True
-        found = _utf8(raw)
-        if not found or not found[0] or sum(c.isprintable() or c in "\r\n\t" for c in found[0]) < 0.95 * len(found[0]):
-            continue
-        text, sizes = found
-        if whole:  # a compressed layer has no places of its own: its secrets lie somewhere in the run
-            a, b = layer.span(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b), via)
-        else:
-            last = np.cumsum(sizes)
-            first = last - sizes
-            near = [layer.span(m.start() + f // 3 * 4, min(m.start() + (e + 2) // 3 * 4, m.start() + len(run))) for f, e in zip(first.tolist(), last.tolist())]
-            yield Layer(text, np.array([p[0] for p in near], dtype=np.int64), np.array([p[1] for p in near], dtype=np.int64), via)
+        run, at = m.group().rstrip("="), np.arange(m.start(), m.end())
+        yield from _read(layer, run, at, m.end(), most, done)
+
+
+def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
+    yield from _base64_layers(layer, most)
+    for sign, runs, decode, name in (("%", URL_RUN, _url, "url"), ("\\", UNICODE_RUN, _unicode, "unicode")):
+        if sign in layer.text and (new := _substituted(layer, runs, decode, name)) is not None:
+            yield new
 
 
 def scan(text: str, max_layer: int = 64 << 20) -> tuple[list[tuple[str, int, int, str, str]], int]:
@@ -166,37 +278,37 @@ def scan(text: str, max_layer: int = 64 << 20) -> tuple[list[tuple[str, int, int
 
     The worklist starts with the text itself. Each layer is scanned, then unwrapped in every way that applies; new
     layers join the list until none is left. A layer whose text and origin were seen before is a cycle and is dropped.
-    Spans are code points of the original, end exclusive; a finding in the clear keeps its span (via is empty).
+    Spans are code points of the original, end exclusive; a finding in
+    the clear keeps its span (via is empty). The same secret at the same span counts once, whatever URL and Unicode
+    escapes it was seen through, with the shortest via.
     """
-    found: dict[tuple[str, int, int], tuple[str, str]] = {}
-    work, seen, layers = deque([Layer(text, None, None, "")]), set(), 0
+    found: dict[tuple[str, int, int, str, str], str] = {}
+    work, seen, layers = [iter([Layer(text, None, None, "")])], set(), 0
     while work:
-        layer = work.popleft()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if layer.via:
+            mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), int(layer.starts[0]), int(layer.ends[-1])) if layer.text else None
+            if mark is None or mark in seen:
+                continue
+            seen.add(mark)
         layers += 1
+        packed = ">".join(x for x in layer.via.split(">") if x not in ("url", "unicode"))
         for kind, a, b in matches(layer.text):
-            start, end = layer.span(a, b)
-            found.setdefault((kind, start, end), (layer.via, layer.text[a:b]))
-        wrapped = []
-        if "%" in layer.text:
-            wrapped.append(_substituted(layer, URL_RUN, _url, "url"))
-        if "\\" in layer.text:
-            wrapped.append(_substituted(layer, UNICODE_RUN, _unicode, "unicode"))
-        wrapped.extend(_base64_layers(layer, max_layer))
-        for new in wrapped:
-            if new is not None and new.text:
-                mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), int(new.starts[0]), int(new.ends[-1]))
-                if mark not in seen:
-                    seen.add(mark)
-                    work.append(new)
-    order = sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))
-    return [(kind, a, b, via[1:], secret) for (kind, a, b), (via, secret) in order], layers
+            key = (kind, *layer.span(a, b), layer.text[a:b], packed)
+            found[key] = min(found.get(key, layer.via), layer.via, key=lambda via: via.count(">"))
+        work.append(_unwrapped(layer, max_layer))
+    order = sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2], x[1], x[0][3]))
+    return [(kind, a, b, via[1:], secret) for (kind, a, b, secret, _), via in order], layers
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int = 64 << 20) -> DataFrame:
     """doc_id, findings and n_layers of every row's whole text; `via` of a finding names the layers it was under.
 
-    A narrow map without any shuffle; memory is a batch of texts and the layers of one text, of which a compressed one
-    is unpacked up to `max_layer` bytes as a guard against decompression bombs. A null or empty text has no findings;
+    A narrow map without any shuffle; memory is a batch of texts and the layers that one layer lies under. A compressed
+    layer is scanned whole, `max_layer` bytes at a time; pieces overlap by a quarter of that, which the longest secret or
+    run across two pieces may have. A decompression bomb costs the time to read it through. A null or empty text has no findings;
     a null doc_id stays null; repeated rows are scanned each; an empty table gives no rows; other columns are not read.
     """
 
