@@ -31,6 +31,10 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 UNICODE_ONE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, indented or not; and the parts of a run that are text before or after base64 otherwise.
+WRAPPED_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r\n?|\n)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+NO_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
+PART = re.compile(r"[A-Za-z0-9+]{16,}")
 LEAST_RUN = 16
 STANDARD = str.maketrans("-_", "+/")
 #: Characters (and bytes that are no UTF-8, as surrogates) that text doesn't have; no secret is shorter than a stretch.
@@ -260,10 +264,20 @@ def _read(layer: Layer, run: str, at: np.ndarray, end: int, most: int, done: set
 
 
 def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
+    """Every reading of every run: joined over line ends, at four alignments (text before it may be of the same characters), and by parts."""
     done: set[tuple[int, int]] = set()
-    for m in BASE64_RUN.finditer(layer.text):
+    for m in chain(WRAPPED_RUN.finditer(layer.text), BASE64_RUN.finditer(layer.text)):
         run, at = m.group().rstrip("="), np.arange(m.start(), m.end())
-        yield from _read(layer, run, at, m.end(), most, done)
+        if m.re is WRAPPED_RUN:
+            own = np.ones(len(run), dtype=bool)
+            for gap in NO_BASE64.finditer(run):
+                own[gap.start() : gap.end()] = False
+            run, at = NO_BASE64.sub("", run), at[: len(run)][own]
+        for k in range(4):
+            yield from _read(layer, run[k:], at[k:], m.end(), most, done)
+        for part in PART.finditer(run):
+            if part.end() - part.start() < len(run):
+                yield from _read(layer, part.group(), at[part.start() : part.end()], m.end(), most, None)
 
 
 def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
@@ -278,7 +292,8 @@ def scan(text: str, max_layer: int = 64 << 20) -> tuple[list[tuple[str, int, int
 
     The worklist starts with the text itself. Each layer is scanned, then unwrapped in every way that applies; new
     layers join the list until none is left. A layer whose text and origin were seen before is a cycle and is dropped.
-    Spans are code points of the original, end exclusive; a finding in
+    Base64 is read at all alignments, in parts and over line ends, so a secret beside other text may be found both on
+    its own and with characters of its surroundings. Spans are code points of the original, end exclusive; a finding in
     the clear keeps its span (via is empty). The same secret at the same span counts once, whatever URL and Unicode
     escapes it was seen through, with the shortest via.
     """
