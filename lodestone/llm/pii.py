@@ -12,7 +12,8 @@ ROUNDS = 8
 FIRST_DAY, DAYS, TAIL = "1900-01-01", (250, 292), (7, 7)
 
 _LOW, _HIGH = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
-#: Candidates by kind, tried in this order at each place of a text; a candidate that isn't valid stays as it is.
+#: Candidates by kind, tried in this order at each place of a text; a candidate that isn't valid stays as it is. Those
+#: for cards may be shorter, by whole groups of digits: the longest that is valid counts, none hides what lies in it.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
@@ -22,6 +23,9 @@ PATTERNS = {
     "card": _LOW + r"[0-9](?:[ -]?[0-9]){12,18}" + _HIGH,
 }
 ANY = "|".join(PATTERNS.values())
+#: All but the cards, and the longest candidate for a card from each group of digits on.
+OTHERS = "|".join(pattern for kind, pattern in PATTERNS.items() if kind != "card")
+FROM_EACH_GROUP = f"{_LOW}(?=({PATTERNS['card'].removeprefix(_LOW).removesuffix(_HIGH)}){_HIGH})"
 
 
 def _sql(pattern: str) -> str:
@@ -118,29 +122,41 @@ def _date(key: str) -> str:
     return "CASE " + " ".join(f"WHEN {where} THEN {in_layout(layout)}" for layout, where in layouts) + " ELSE h END"
 
 
+def _valid(g: str) -> str:
+    """SQL of whether the digits hold by Luhn's rule."""
+    return f"{_with({'p': f'substr({g}, 1, length({g}) - 1)'}, _LUHN)} = right({g}, 1)"
+
+
 def _card(key: str) -> str:
-    payload = f"substr(g, 1, length(g) - 1)"
-    fresh = _with({"p": _characters(key, "card", payload)}, f"concat(p, {_LUHN})")
-    valid = _with({"p": payload}, _LUHN) + " = right(g, 1)"
-    return _with({"g": "regexp_replace(h, '[^0-9]', '')"}, f"CASE WHEN {valid} THEN {_refilled(fresh)} ELSE h END")
+    fresh = _with({"p": _characters(key, "card", "substr(g, 1, length(g) - 1)")}, f"concat(p, {_LUHN})")
+    return _with({"g": "regexp_replace(h, '[^0-9]', '')"}, f"CASE WHEN {_valid('g')} THEN {_refilled(fresh)} ELSE h END")
+
+
+def _cards() -> str:
+    """SQL of the valid cards of `text`, each of whole groups of 13 to 19 digits, with separators as they stand."""
+    shorter = ", ".join(f"regexp_extract(w, '^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])', 0)" for n in range(13, 20))
+    windows = f"array_distinct(flatten(transform(regexp_extract_all(text, {_sql(FROM_EACH_GROUP)}, 1), w -> array({shorter}))))"
+    return f"filter({windows}, c -> c <> '' AND {_with({'g': 'regexp_replace(c, \'[^0-9]\', \'\')'}, _valid('g'))})"
 
 
 def pseudonymised(key: str) -> Column:
     """struct<text, hits array<struct<kind, was, now>>> of the column `text`; null for a text without candidates."""
     makers = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
     cases = " ".join(f"WHEN h rlike {_sql('^(?:' + PATTERNS[kind] + ')$')} THEN struct('{kind}' AS kind, h AS was, {make(key)} AS now)" for kind, make in makers.items())
-    hits = f"transform(regexp_extract_all(text, {_sql(ANY)}, 0), h -> CASE {cases} ELSE struct('' AS kind, h AS was, h AS now) END)"
-    whole = f"struct(array_join(zip_with(split(text, {_sql(ANY)}), hits, (piece, hit) -> concat(piece, coalesce(hit.now, ''))), '') AS text, filter(hits, x -> x.was <> x.now) AS hits)"
+    # The text's own cards, each before its shorter beginnings, are what the pattern has for cards.
+    pattern = f"CASE WHEN size(cards) = 0 THEN {_sql(OTHERS)} ELSE concat({_sql(f'{OTHERS}|{_LOW}(?:')}, array_join(sort_array(cards, false), '|'), {_sql(f'){_HIGH}')}) END"
+    hits = f"transform(regexp_extract_all(text, pattern, 0), h -> CASE {cases} ELSE struct('' AS kind, h AS was, h AS now) END)"
+    whole = "struct(array_join(zip_with(split(text, pattern), hits, (piece, hit) -> concat(piece, coalesce(hit.now, ''))), '') AS text, filter(hits, x -> x.was <> x.now) AS hits)"
     # A candidate has an at sign or seven digits, if not in a row; other texts are not searched.
-    return F.expr(f"CASE WHEN text rlike '@|[0-9][^A-Za-z]*[0-9]' AND text rlike {_sql(ANY)} THEN {_with({'hits': hits}, whole)} END")
+    return F.expr(f"CASE WHEN text rlike '@|[0-9][^A-Za-z]*[0-9]' AND text rlike {_sql(ANY)} THEN {_with({'cards': _cards(), 'pattern': pattern, 'hits': hits}, whole)} END")
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced (long) and hits (kind, was, now) of every row.
 
     Emails (the name before the at sign), IPv4 addresses, telephone numbers (any country code; with +1 or none only
-    numbers of the North American plan), social security numbers, card numbers that hold by Luhn's rule, and dates from
-    1900 to 2099 (year first, or day first with dots or slashes) are permuted by a keyed Feistel network within their
+    numbers of the North American plan), social security numbers, card numbers (13 to 19 digits in whole groups) that hold by
+    Luhn's rule, and dates from 1900 to 2099 (year first, or day first with dots or slashes) are permuted by a keyed Feistel network within their
     kind: the layout stays, the outcome is valid again, equal values get equal pseudonyms in all documents, different
     ones different pseudonyms. The network may map a value to itself, as any permutation may. Numbers that are not valid
     stay as they are. One row at a time in SQL expressions: no shuffle, no Python. A null text stays null, an empty one
