@@ -93,9 +93,14 @@ def _phone(key: str) -> str:
     digits = "regexp_replace(h, '[^0-9]', '')"
     plan = _numbers(key, "phone", "CAST(substr(n, 1, 3) AS int) - 200", "(CAST(substr(n, 4, 3) AS int) - 200) * 10000 + CAST(substr(n, 7) AS int)", 800, 8_000_000)
     valid = _with({"f": plan}, "concat(cc, CAST(f.l + 200 AS string), CAST(f.r div 10000 + 200 AS string), lpad(CAST(f.r % 10000 AS string), 4, '0'))")
+    # Outside the plan: an area below 200, or else an exchange below 200; each keeps to its own kind.
+    area = _numbers(key, "phone area", "CAST(substr(n, 1, 3) AS int)", "CAST(substr(n, 4) AS int)", 200, 10_000_000)
+    exchange = _numbers(key, "phone exchange", "CAST(substr(n, 1, 3) AS int) - 200", "CAST(substr(n, 4) AS int)", 800, 2_000_000)
+    low_area, low_exchange = (_with({"f": network}, f"concat(cc, lpad(CAST(f.l + {least} AS string), 3, '0'), lpad(CAST(f.r AS string), 7, '0'))") for network, least in ((area, 0), (exchange, 200)))
     return _with(
         {"g": digits, "cc": "substr(g, 1, length(g) - 10)", "n": "right(g, 10)"},
-        f"CASE WHEN cc NOT IN ('', '1') THEN {_refilled(f'concat(cc, {_characters(key, 'abroad', 'n')})')} WHEN substr(n, 1, 1) >= '2' AND substr(n, 4, 1) >= '2' THEN {_refilled(valid)} ELSE h END",
+        f"CASE WHEN cc NOT IN ('', '1') THEN {_refilled(f'concat(cc, {_characters(key, 'abroad', 'n')})')} WHEN substr(n, 1, 1) >= '2' AND substr(n, 4, 1) >= '2' THEN {_refilled(valid)}"
+        f" WHEN cc = '' THEN h WHEN substr(n, 1, 1) < '2' THEN {_refilled(low_area)} ELSE {_refilled(low_exchange)} END",
     )
 
 
@@ -154,8 +159,8 @@ def pseudonymised(key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced (long) and hits (kind, was, now) of every row.
 
-    Emails (the name before the at sign), IPv4 addresses, telephone numbers (any country code; with +1 or none only
-    numbers of the North American plan), social security numbers, card numbers (13 to 19 digits in whole groups) that hold by
+    Emails (the name before the at sign), IPv4 addresses, telephone numbers (any country code; with +1
+    numbers of the North American plan and others each within their kind; with none only those of the plan), social security numbers, card numbers (13 to 19 digits in whole groups) that hold by
     Luhn's rule, and dates from 1900 to 2099 (year first, or day first with dots or slashes) are permuted by a keyed Feistel network within their
     kind: the layout stays, the outcome is valid again, equal values get equal pseudonyms in all documents, different
     ones different pseudonyms. The network may map a value to itself, as any permutation may. Numbers that are not valid

@@ -38,3 +38,13 @@ def test_numbers_without_cards(spark):
     long = " ".join(str(rng.randrange(10**5)) for _ in range(5_000))
     (new,) = replaced(spark, [long])
     assert len(new) == len(long) and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", long) and new != long
+
+
+def test_phones_outside_the_plan(spark):
+    rng = random.Random(5)
+    low = [f"+1 ({rng.randrange(200):03}) {rng.randrange(1000):03}-{rng.randrange(10**4):04}" for _ in range(100)]
+    low += [f"+1 {rng.randrange(200, 1000)}.{rng.randrange(200):03}.{rng.randrange(10**4):04}" for _ in range(100)] + ["+1 (017) 555-7713"]
+    new = replaced(spark, [f"call {x}." for x in low])
+    assert len(set(new)) == len(set(low)) and all(f"call {a}." != b for a, b in zip(low, new))
+    for a, b in zip(low, new):
+        assert re.fullmatch(r"call \+1 \([01]\d\d\) \d{3}-\d{4}\." if "(" in a else r"call \+1 [2-9]\d\d\.[01]\d\d\.\d{4}\.", b)
