@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"), F.expr("crc32(CAST(CAST(doc_id AS string) AS binary)) % 7 = 2"))
+    return lm_scoring.score(table(spark, sf_dir, "documents"), F.expr("crc32(CAST(CAST(doc_id AS string) AS binary)) % 7 = 2"), order=3)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
