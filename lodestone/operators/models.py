@@ -43,10 +43,10 @@ class PrecomputedEmbedder:
 
 class LexicalEmbedder:
     """A deterministic stand-in without a model: word counts, and vectors made of hashed words. Its scores are not a
-    model's. All in SQL expressions."""
+    model's. Each word of the whole text has its vector. All in SQL expressions."""
 
-    def __init__(self, dimension: int = 64, most_vecs: int = 32) -> None:
-        self.dimension, self.most_vecs = dimension, most_vecs
+    def __init__(self, dimension: int = 64) -> None:
+        self.dimension = dimension
 
     def embed(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         d = self.dimension
@@ -62,7 +62,7 @@ class LexicalEmbedder:
         normed = counted.withColumn("norm", F.expr("sqrt(aggregate(map_values(cells), 0D, (s, x) -> s + x * x))"))
         dense = F.expr(f"transform(sequence(0, {d - 1}), c -> CAST(IF(norm > 0, coalesce(try_element_at(cells, c), 0D) / norm, 0D) AS float))")
         sparse = F.col("sparse")
-        vecs = F.expr(f"transform(slice(words, 1, {self.most_vecs}), w -> transform(sequence(0, 7), i -> CAST(pmod(xxhash64(w, i), 2001) / 1000.0D - 1 AS float)))")
+        vecs = F.expr("transform(words, w -> transform(sequence(0, 7), i -> CAST(pmod(xxhash64(w, i), 2001) / 1000.0D - 1 AS float)))")
         return normed.select(id_col, dense.alias("dense"), sparse.alias("sparse"), vecs.alias("vecs"))
 
 
