@@ -1,22 +1,31 @@
-"""Helpers shared by the training-data operators: the shared work folder and staged tables."""
+"""Helpers shared by the training-data operators: the shared work folder, staged tables, hashes of words."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words in every operator of this subpackage.
 SPACE = r"\x20\x09-\x0D"
+#: Words whose hashes a Python worker keeps (about 25 MB).
+KEPT_WORDS = 1 << 17
+
+#: Folders of staged tables that nobody has deleted yet.
+_staged: dict[str, SparkSession] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode, as in tests, may it be unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -26,23 +35,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/lodestone/{uuid.uuid4().hex}-{name}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until `dropped` or the end of the driver's program. Rows of megabytes need small files
+    (`rows_a_file`), as writers and readers hold a file's part of a column in memory.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    _staged[path] = spark
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_lodestone_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_lodestone_path", None)
+        if path and path in _staged:
+            _delete(_staged.pop(path), path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in _staged.items():
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session or its JVM is gone: the folder is cleaned as a whole then
+            return
 
 
 def key_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,3 +78,15 @@ def key_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, made once each; a full table starts anew."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+#: One table for all operators that run in a Python worker.
+word_hashes = WordHashes()

@@ -72,5 +72,6 @@ def pack(df: DataFrame, tokenizer_path: str, max_length: int = 2048, end_id: int
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """One folder for each bucket of equal lengths; its files have rows of one shape."""
-    packed.write.partitionBy("bucket").parquet(path)
+    """One folder for each bucket of equal lengths; its files have rows of one shape. Rows are dealt by bucket, and a bucket
+    that many rows share is split over tasks."""
+    packed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)

@@ -8,8 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import key_and_text, staged
 from .tokens import byte_bpe
@@ -18,6 +18,8 @@ from .tokens import byte_bpe
 #: (more than 60 bits) stands in the block's list of escapes.
 SELECTORS = ((1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1), (0, 240))
 BLOCK, MAGIC, HEADER = 1 << 16, b"LS8B", "<4sIQQQI"
+#: File images in one Parquet file: about 15 MB.
+IMAGES_A_FILE = 32
 HELD = np.array([1, *(n for _, n in SELECTORS)], dtype=np.int64)
 
 
@@ -117,18 +119,20 @@ class Image:
         return np.concatenate([self.block(k) for k in range(self.blocks)]) if self.blocks else np.zeros(0, np.uint64)
 
 
-def write_token_files(df: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", image_ids: int = 1 << 20) -> DataFrame:
+def write_token_files(df: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", image_ids: int = 1 << 18) -> DataFrame:
     """Write all documents' ids, in ascending doc_id order, and return the table of file images in the shared folder.
 
     Rows: part and seq (their order is the order of the ids), before (ids of earlier images of the part), n_ids, image.
-    The texts are dealt by ranges of doc_id and sorted, then encoded where they lie; a worker holds one image's ids
+    Each image is a whole file of the format; they lie in Parquet rows, so that Spark's readers and writers reach any
+    store (`export_token_files` gives plain files). The texts are dealt by ranges of doc_id, rows of one id by their
+    texts and places, so no id fills a task; then sorted and encoded where they lie. A worker holds one image's ids
     (about `image_ids`, more only for a longer document). A null or empty text is the end id alone; null doc_ids come
     first; repeated rows are documents of their own; an empty table gives no images; other columns are not read.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = byte_bpe(tokenizer_path), np.array([end_id], dtype=np.uint32)
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        part, seq, before = None, 0, 0
         docs: list[int | None] = []
         lengths: list[int] = []
         ids: list[np.ndarray] = []
@@ -140,21 +144,25 @@ def write_token_files(df: DataFrame, tokenizer_path: str, end_id: int = 0, id_co
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "before", "n_ids", "image"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if docs and (size >= image_ids or at != part):
+                    yield image()
+                    seq, before, size = seq + 1, before + size, 0
+                    docs, lengths, ids = [], [], []
+                if at != part:
+                    part, seq, before = at, 0, 0
                 found = bpe.ids(text.as_py() or "")
                 docs.append(doc)
                 lengths.append(len(found) + 1)
                 ids += [found, end]
                 size += len(found) + 1
-                if size >= image_ids:
-                    yield image()
-                    seq, before, size = seq + 1, before + size, 0
-                    docs, lengths, ids = [], [], []
         if docs:
             yield image()
 
-    ordered = key_and_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(encoded, "part int, seq long, before long, n_ids long, image binary"), "token-files")
+    order = ["doc_id", "_tie", "_row"]
+    keyed = key_and_text(df, id_col, text_col).withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    return staged(ordered.mapInArrow(encoded, "part int, seq long, before long, n_ids long, image binary"), "token-files", IMAGES_A_FILE)
 
 
 def read_token_files(images: DataFrame) -> DataFrame:
@@ -176,5 +184,23 @@ def read_token_files(images: DataFrame) -> DataFrame:
                 docs = pa.array(image.doc_ids.astype(np.int64), mask=image.known == 0)
                 yield pa.record_batch([docs, pa.array(starts + base), pa.array(image.lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = images.join(offsets, "part").selectExpr("first + before AS base", "image")
+    placed = images.join(F.broadcast(offsets), "part").selectExpr("first + before AS base", "image")
     return placed.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def export_token_files(images: DataFrame, path: str) -> None:
+    """Each image as a file of its own under `path`, named by part and seq, for readers without Spark. A narrow map: every
+    task writes its rows' files through the file system of `path` as pyarrow opens it."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for part, seq, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                with store.open_output_stream(f"{root}/{part:06d}-{seq:06d}.ls8b") as out:
+                    out.write(raw.as_buffer())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    images.select("part", "seq", "image").mapInArrow(written, "n long").agg(F.sum("n")).collect()
