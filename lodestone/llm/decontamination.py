@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ._common import key_and_text
 
 MATCHES = "doc_id long, item_id long, distance int, error_budget int, first_word long, last_word long"
-#: Pieces shorter than this would hit by chance nearly everywhere; short items get a smaller error budget instead.
-LEAST_PIECE = 10
 #: Characters of items that one pass over the documents looks for; more items take more passes.
 BLOCK_CHARS = 1 << 20
 
@@ -25,8 +23,8 @@ def normal(text: str) -> str:
 
 
 def budget(length: int, rate: float) -> int:
-    """Edits allowed in an item of that many characters."""
-    return max(0, min(int(rate * length), length // LEAST_PIECE - 1))
+    """Edits allowed in an item of that many characters; one rate for all lengths."""
+    return int(rate * length)
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -68,13 +66,37 @@ class Pattern:
         return least, end
 
 
+    def shortest(self, text: str, distance: int) -> int:
+        """The length of the shortest beginning of `text` that is `distance` edits from the item (there must be one)."""
+        masks, full, high = self.masks, (1 << self.n) - 1, 1 << (self.n - 1)
+        up, down, score = full, 0, self.n
+        if score == distance:
+            return 0
+        for j, c in enumerate(text):
+            equal = masks.get(c, 0)
+            vertical = equal | down
+            horizontal = (((equal & up) + up) ^ up) | equal
+            more = down | (full & ~(horizontal | up))
+            less = up & horizontal
+            score += 1 if more & high else -1 if less & high else 0
+            if score == distance:
+                return j + 1
+            # The one carried in: nothing before the text's beginning is free.
+            more, less = (more << 1 | 1) & full, (less << 1) & full
+            up = less | (full & ~(vertical | more))
+            down = more & vertical
+        raise ValueError("no beginning of the text is that near")
+
+
 class Finder:
     """All items of a block: an automaton of their pieces and the patterns to verify with."""
 
     def __init__(self, items: tuple[tuple[int, str], ...], rate: float) -> None:
         import ahocorasick
 
-        self.patterns, self.edits = [], []
+        if not 0 <= rate < 1:
+            raise ValueError("rate must be at least 0 and below 1")
+        self.patterns, self.backwards, self.edits = [], {}, []
         where: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
         for k, (_, item) in enumerate(items):
             edits = budget(len(item), rate)
@@ -103,10 +125,14 @@ class Finder:
                     lo, hi = min(lo, last[0]), max(hi, last[1])
                 spans.append([lo, hi])
         for k, spans in windows.items():
-            best = min((d, a + e) for a, b in spans for d, e in (self.patterns[k].best(text[a:b]),))
-            if best[0] <= self.edits[k]:
-                first = text.count(" ", 0, max(0, best[1] - self.patterns[k].n))
-                yield self.ids[k], best[0], self.edits[k], first, text.count(" ", 0, best[1])
+            distance, end = min((d, a + e) for a, b in spans for d, e in (self.patterns[k].best(text[a:b]),))
+            if distance <= self.edits[k]:
+                # The match's beginning: the item read backwards along the text before the match's end.
+                item = self.patterns[k].item
+                if k not in self.backwards:
+                    self.backwards[k] = Pattern(item[::-1])
+                start = end - self.backwards[k].shortest(text[max(0, end - len(item) - distance) : end][::-1], distance)
+                yield self.ids[k], distance, self.edits[k], text.count(" ", 0, start), text.count(" ", 0, end)
 
 
 @lru_cache(maxsize=4)
@@ -134,8 +160,9 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.08, id_col:
 
     Texts are compared lower-cased and with single spaces. An item is cut into its error budget plus one pieces; the
     documents stream past an automaton of all pieces, and only round a piece that is hit word for word is Myers'
-    distance taken, so every passage within the budget is found. first_word and last_word are places of about the
-    match among the document's words. A narrow map over the documents, one pass for each block of items (a fixed
+    distance taken, so every passage within the budget is found. Of an item's matches in a row the nearest counts, of
+    equally near ones the first to end; first_word and last_word are the places among the document's words where it
+    begins and ends. Items of equal texts and equal pieces are found each. A narrow map over the documents, one pass for each block of items (a fixed
     number of characters, so what tasks receive doesn't grow with the benchmark). Null or empty texts and items hold
     nothing and match nothing, items without an id are left out; a null doc_id stays null; repeated document rows are
     matched each; empty tables give no rows; other columns are not read.
