@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import key_and_text
@@ -17,7 +19,9 @@ _LOW, _HIGH = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _HIGH,
+    "ipv6": r"(?<![A-Za-z0-9:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![A-Za-z0-9:]|\.[0-9])",
+    "iban": _LOW + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _HIGH,
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .-]?\(?[0-9]\)?){6,14})" + _HIGH,
     "ssn": _LOW + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _HIGH,
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])",
     "card": _LOW + r"[0-9](?:[ -]?[0-9]){12,18}" + _HIGH,
@@ -32,32 +36,64 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _keyed(key: str, tweak: str, *parts: str) -> str:
-    """A keyed hash of the parts as a number of 60 bits, in SQL."""
-    return f"CAST(conv(substr(sha2(concat_ws('|', {_sql(key)}, '{tweak}', {', '.join(parts)}, {_sql(key)}), 256), 1, 15), 16, 10) AS bigint)"
+def _keyed(tweak: str, *parts: str) -> str:
+    """SQL of HMAC-SHA256 of the parts, as a number of 60 bits. The key is in the columns of `keys`."""
+    message = f"CAST(concat_ws('|', '{tweak}', {', '.join(parts)}) AS binary)"
+    return f"CAST(conv(substr(sha2(concat(_outer, unhex(sha2(concat(_inner, {message}), 256))), 256), 1, 15), 16, 10) AS bigint)"
+
+
+def keys(spark: SparkSession, key: str) -> DataFrame:
+    """A table of one row with the two blocks of HMAC. The key is data of this table, so no plan or event log shows it."""
+    raw = key.encode("utf-8")
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    row = [(bytearray(x ^ 0x36 for x in block), bytearray(x ^ 0x5C for x in block))]
+    return spark.createDataFrame(row, "_inner binary, _outer binary")
+
+
+# A permutation without a value that stays: a Feistel network, one step, and the network backwards. What moves no value
+# in the middle moves none at the ends. STEPS counts the rounds there, the step and the rounds back.
+STEPS, STEP = 2 * ROUNDS + 1, ROUNDS + 1
+_ROUND, _SIGN = f"IF(k < {STEP}, k, {STEPS + 1} - k)", f"IF(k < {STEP}, 1, -1)"
+
+
+def _numbers(tweak: str, left: str, right: str, a: int, b: int) -> str:
+    """SQL of struct<l, r>: the pair (left below a, right below b) moved by a network of modular additions."""
 
+    def moved(half: str, other: str, n: int) -> str:
+        return f"({half} + {_SIGN} * ({_keyed(tweak, _ROUND, other)} % {n}) + {n}) % {n}"
 
-def _numbers(key: str, tweak: str, left: str, right: str, a: int, b: int) -> str:
-    """SQL of struct<l, r>: the pair (left below a, right below b) after a Feistel network with modular additions."""
     return (
-        f"aggregate(sequence(1, {ROUNDS}), struct(CAST({left} AS bigint) AS l, CAST({right} AS bigint) AS r), (s, k) -> CASE WHEN k % 2 = 1"
-        f" THEN struct((s.l + {_keyed(key, tweak, 'k', 's.r')} % {a}) % {a} AS l, s.r AS r)"
-        f" ELSE struct(s.l AS l, (s.r + {_keyed(key, tweak, 'k', 's.l')} % {b}) % {b} AS r) END)"
+        f"aggregate(sequence(1, {STEPS}), struct(CAST({left} AS bigint) AS l, CAST({right} AS bigint) AS r), (s, k) -> CASE WHEN k = {STEP} THEN struct((s.l + 1) % {a} AS l, s.r AS r)"
+        f" WHEN {_ROUND} % 2 = 1 THEN struct({moved('s.l', 's.r', a)} AS l, s.r AS r) ELSE struct(s.l AS l, {moved('s.r', 's.l', b)} AS r) END)"
     )
 
 
-def _characters(key: str, tweak: str, value: str) -> str:
-    """SQL of the string after a Feistel network on its halves: letters and digits move within their own class."""
+#: Fixed: the characters that move, each within its own class.
+CLASSES = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+HEX = ("0123456789abcdef",)
 
-    def moved(half: str, other: str) -> str:
-        by = _keyed(key, tweak, "k", "i", "length(s.l)", "length(s.r)", other)
-        cases = " ".join(f"WHEN c BETWEEN '{chr(first)}' AND '{chr(first + n - 1)}' THEN chr({first} + (ascii(c) - {first} + {by} % {n}) % {n})" for first, n in ((48, 10), (65, 26), (97, 26)))
-        return f"array_join(transform(split({half}, ''), (c, i) -> CASE {cases} ELSE c END), '')"
 
-    return (
-        f"aggregate(sequence(1, {ROUNDS}), struct(substr({value}, 1, length({value}) div 2) AS l, substr({value}, length({value}) div 2 + 1) AS r), (s, k) -> CASE WHEN k % 2 = 1"
-        f" THEN struct({moved('s.l', 's.r')} AS l, s.r AS r) ELSE struct(s.l AS l, {moved('s.r', 's.l')} AS r) END, s -> concat(s.l, s.r))"
+def _characters(tweak: str, value: str, classes: tuple[str, ...] = CLASSES) -> str:
+    """SQL of the string (of characters of the classes alone) moved by a network on its halves, each within its class.
+
+    One character alone goes to the next on a ring of its class in an order that the key makes.
+    """
+
+    def by(c: str, amount: str) -> str:
+        cases = " ".join(f"WHEN instr('{x}', {c}) > 0 THEN substr('{x}', CAST((instr('{x}', {c}) - 1 + {amount.format(n=len(x))} + {len(x)}) % {len(x)} AS int) + 1, 1)" for x in classes)
+        return f"CASE {cases} END"
+
+    def moved(half: str, other: str) -> str:
+        drawn = _keyed(tweak, _ROUND, "i", "length(s.l)", "length(s.r)", other)
+        return f"array_join(transform(split({half}, ''), (c, i) -> {by('c', f'{_SIGN} * ({drawn} % {{n}})')}), '')"
+
+    rings = " ".join(f"WHEN instr('{x}', v) > 0 THEN {_with({'ring': f'transform(array_sort(transform(split(\'{x}\', \'\'), c -> struct({_keyed(tweak + ' ring', 'c')} AS at, c AS c))), p -> p.c)'}, f'ring[CAST(array_position(ring, v) % {len(x)} AS int)]')}" for x in classes)
+    step = f"concat({by('substr(s.l, 1, 1)', '1')}, substr(s.l, 2))"
+    network = (
+        f"aggregate(sequence(1, {STEPS}), struct(substr(v, 1, (length(v) + 1) div 2) AS l, substr(v, (length(v) + 1) div 2 + 1) AS r), (s, k) -> CASE WHEN k = {STEP} THEN struct({step} AS l, s.r AS r)"
+        f" WHEN {_ROUND} % 2 = 1 THEN struct({moved('s.l', 's.r')} AS l, s.r AS r) ELSE struct(s.l AS l, {moved('s.r', 's.l')} AS r) END, s -> concat(s.l, s.r))"
     )
+    return _with({"v": value}, f"CASE WHEN length(v) = 0 THEN v WHEN length(v) = 1 THEN CASE {rings} END ELSE {network} END")
 
 
 def _with(bindings: dict[str, str], body: str) -> str:
@@ -71,52 +107,74 @@ def _with(bindings: dict[str, str], body: str) -> str:
 _LUHN = "CAST((10 - aggregate(split(reverse(p), ''), struct(0L AS n, 0 AS i), (a, c) -> struct(a.n + CASE WHEN a.i % 2 = 0 THEN (CAST(c AS int) * 2) div 10 + (CAST(c AS int) * 2) % 10 ELSE CAST(c AS int) END AS n, a.i + 1 AS i)).n % 10) % 10 AS string)"
 
 
-def _email(key: str) -> str:
-    return f"concat({_characters(key, 'email', 'substring_index(h, \'@\', 1)')}, '@', substring_index(h, '@', -1))"
+def _refilled(fresh: str, kind: str = "0-9", old: str = "h") -> str:
+    """SQL of `old` with its characters of the class `kind` replaced, in order, by those of `fresh`; all else stays in place."""
+    return _with(
+        {"d": fresh},
+        f"aggregate(split({old}, ''), struct('' AS t, 1 AS i), (a, c) -> CASE WHEN c rlike '[{kind}]' THEN struct(concat(a.t, substr(d, a.i, 1)) AS t, a.i + 1 AS i) ELSE struct(concat(a.t, c) AS t, a.i AS i) END, a -> a.t)",
+    )
+
 
+def _email() -> str:
+    name = _refilled(_characters("email", "regexp_replace(m, '[^A-Za-z0-9]', '')"), "A-Za-z0-9", "m")
+    return _with({"m": "substring_index(h, '@', 1)"}, f"concat({name}, '@', substring_index(h, '@', -1))")
 
-def _ip(key: str) -> str:
+
+def _ip() -> str:
     out = "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)"
-    network = _numbers(key, "ip", "q[0] * 256 + q[1]", "q[2] * 256 + q[3]", 65536, 65536)
+    network = _numbers("ip", "q[0] * 256 + q[1]", "q[2] * 256 + q[3]", 65536, 65536)
     return _with({"q": "transform(split(h, '[.]'), x -> CAST(x AS int))"}, f"CASE WHEN array_max(q) < 256 THEN {_with({'f': network}, out)} ELSE h END")
 
 
-def _refilled(digits: str) -> str:
-    """SQL of `h` with its digits replaced, in order, by those of `digits`; all else stays in place."""
-    return _with(
-        {"d": digits},
-        "aggregate(split(h, ''), struct('' AS t, 1 AS i), (a, c) -> CASE WHEN c BETWEEN '0' AND '9' THEN struct(concat(a.t, substr(d, a.i, 1)) AS t, a.i + 1 AS i) ELSE struct(concat(a.t, c) AS t, a.i AS i) END, a -> a.t)",
-    )
+def _ipv6() -> str:
+    fresh = _with({"n": _refilled(_characters("ipv6", "replace(lower(h), ':', '')", HEX), "0-9A-Fa-f")}, "IF(h = upper(h), upper(n), n)")
+    return f"CASE WHEN size(filter(split(h, ':'), x -> x <> '')) = 8 OR h LIKE '%::%' AND size(filter(split(h, ':'), x -> x <> '')) < 8 THEN {fresh} ELSE h END"
+
+
+#: The remainder by 97 of the characters of `p` as an account's standard reads them, letters being 10 to 35.
+_MOD97 = "aggregate(split(p, ''), 0, (a, c) -> CASE WHEN c BETWEEN '0' AND '9' THEN (a * 10 + CAST(c AS int)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+
+
+def _iban() -> str:
+    account = _characters("iban", "substr(g, 5)")
+    check = _with({"p": "concat(b, substr(g, 1, 2), '00')"}, f"lpad(CAST(98 - {_MOD97} AS string), 2, '0')")
+    fresh = _refilled(_with({"b": account}, f"concat(substr(g, 1, 2), {check}, b)"), "A-Z0-9")
+    holds = _with({"p": "concat(substr(g, 5), substr(g, 1, 4))"}, f"{_MOD97} = 1")
+    return _with({"g": "replace(h, ' ', '')"}, f"CASE WHEN length(g) BETWEEN 15 AND 34 AND {holds} THEN {fresh} ELSE h END")
+
+
+#: Fixed: country codes of one and two digits; the others have three.
+COUNTRIES = "^(?:[17]|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
-def _phone(key: str) -> str:
-    digits = "regexp_replace(h, '[^0-9]', '')"
-    plan = _numbers(key, "phone", "CAST(substr(n, 1, 3) AS int) - 200", "(CAST(substr(n, 4, 3) AS int) - 200) * 10000 + CAST(substr(n, 7) AS int)", 800, 8_000_000)
+def _phone() -> str:
+    plan = _numbers("phone", "CAST(substr(n, 1, 3) AS int) - 200", "(CAST(substr(n, 4, 3) AS int) - 200) * 10000 + CAST(substr(n, 7) AS int)", 800, 8_000_000)
     valid = _with({"f": plan}, "concat(cc, CAST(f.l + 200 AS string), CAST(f.r div 10000 + 200 AS string), lpad(CAST(f.r % 10000 AS string), 4, '0'))")
     # Outside the plan: an area below 200, or else an exchange below 200; each keeps to its own kind.
-    area = _numbers(key, "phone area", "CAST(substr(n, 1, 3) AS int)", "CAST(substr(n, 4) AS int)", 200, 10_000_000)
-    exchange = _numbers(key, "phone exchange", "CAST(substr(n, 1, 3) AS int) - 200", "CAST(substr(n, 4) AS int)", 800, 2_000_000)
+    area = _numbers("phone area", "CAST(substr(n, 1, 3) AS int)", "CAST(substr(n, 4) AS int)", 200, 10_000_000)
+    exchange = _numbers("phone exchange", "CAST(substr(n, 1, 3) AS int) - 200", "CAST(substr(n, 4) AS int)", 800, 2_000_000)
     low_area, low_exchange = (_with({"f": network}, f"concat(cc, lpad(CAST(f.l + {least} AS string), 3, '0'), lpad(CAST(f.r AS string), 7, '0'))") for network, least in ((area, 0), (exchange, 200)))
+    abroad = _refilled(f"concat(cc, {_characters('abroad', 'n')})")
     return _with(
-        {"g": digits, "cc": "substr(g, 1, length(g) - 10)", "n": "right(g, 10)"},
-        f"CASE WHEN cc NOT IN ('', '1') THEN {_refilled(f'concat(cc, {_characters(key, 'abroad', 'n')})')} WHEN substr(n, 1, 1) >= '2' AND substr(n, 4, 1) >= '2' THEN {_refilled(valid)}"
+        {"g": "regexp_replace(h, '[^0-9]', '')", "cc": f"IF(h LIKE '+%', regexp_extract(g, '{COUNTRIES}', 0), '')", "n": "substr(g, length(cc) + 1)"},
+        f"CASE WHEN cc NOT IN ('', '1') OR length(n) <> 10 THEN {abroad} WHEN substr(n, 1, 1) >= '2' AND substr(n, 4, 1) >= '2' THEN {_refilled(valid)}"
         f" WHEN cc = '' THEN h WHEN substr(n, 1, 1) < '2' THEN {_refilled(low_area)} ELSE {_refilled(low_exchange)} END",
     )
 
 
-def _ssn(key: str) -> str:
+def _ssn() -> str:
     # Areas 001 to 899 without 666 are 898 numbers; groups 01 to 99, serials 0001 to 9999.
     area = "CAST(substr(h, 1, 3) AS int)"
-    network = _numbers(key, "ssn", f"{area} - IF({area} > 666, 2, 1)", "(CAST(substr(h, 5, 2) AS int) - 1) * 9999 + CAST(substr(h, 8) AS int) - 1", 898, 99 * 9999)
+    network = _numbers("ssn", f"{area} - IF({area} > 666, 2, 1)", "(CAST(substr(h, 5, 2) AS int) - 1) * 9999 + CAST(substr(h, 8) AS int) - 1", 898, 99 * 9999)
     out = "concat_ws('-', lpad(CAST(f.l + IF(f.l >= 665, 2, 1) AS string), 3, '0'), lpad(CAST(f.r div 9999 + 1 AS string), 2, '0'), lpad(CAST(f.r % 9999 + 1 AS string), 4, '0'))"
     return f"CASE WHEN {area} NOT IN (0, 666) AND {area} < 900 AND substr(h, 5, 2) <> '00' AND substr(h, 8) <> '0000' THEN {_with({'f': network}, out)} ELSE h END"
 
 
-def _date(key: str) -> str:
+def _date() -> str:
     layouts = (("yyyy-MM-dd", "h LIKE '____-%'"), ("yyyy/MM/dd", "h LIKE '____/%'"), ("dd.MM.yyyy", "h LIKE '%.%'"), ("dd/MM/yyyy", "h LIKE '__/%'"))
     main, tail = DAYS[0] * DAYS[1], TAIL[0] * TAIL[1]
-    head = _numbers(key, "date", f"n div {DAYS[1]}", f"n % {DAYS[1]}", *DAYS)
-    rest = _numbers(key, "late", f"(n - {main}) div {TAIL[1]}", f"(n - {main}) % {TAIL[1]}", *TAIL)
+    head = _numbers("date", f"n div {DAYS[1]}", f"n % {DAYS[1]}", *DAYS)
+    rest = _numbers("late", f"(n - {main}) div {TAIL[1]}", f"(n - {main}) % {TAIL[1]}", *TAIL)
     day = f"CASE WHEN n BETWEEN 0 AND {main - 1} THEN {_with({'f': head}, f'f.l * {DAYS[1]} + f.r')} WHEN n BETWEEN {main} AND {main + tail - 1} THEN {_with({'f': rest}, f'{main} + f.l * {TAIL[1]} + f.r')} END"
 
     def in_layout(layout: str) -> str:
@@ -132,8 +190,8 @@ def _valid(g: str) -> str:
     return f"{_with({'p': f'substr({g}, 1, length({g}) - 1)'}, _LUHN)} = right({g}, 1)"
 
 
-def _card(key: str) -> str:
-    fresh = _with({"p": _characters(key, "card", "substr(g, 1, length(g) - 1)")}, f"concat(p, {_LUHN})")
+def _card() -> str:
+    fresh = _with({"p": _characters("card", "substr(g, 1, length(g) - 1)")}, f"concat(p, {_LUHN})")
     return _with({"g": "regexp_replace(h, '[^0-9]', '')"}, f"CASE WHEN {_valid('g')} THEN {_refilled(fresh)} ELSE h END")
 
 
@@ -144,36 +202,39 @@ def _cards() -> str:
     return f"filter({windows}, c -> c <> '' AND {_with({'g': 'regexp_replace(c, \'[^0-9]\', \'\')'}, _valid('g'))})"
 
 
-def pseudonymised(key: str) -> Column:
-    """struct<text, hits array<struct<kind, was, now>>> of the column `text`; null for a text without candidates."""
-    makers = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
-    cases = " ".join(f"WHEN h rlike {_sql('^(?:' + PATTERNS[kind] + ')$')} THEN struct('{kind}' AS kind, h AS was, {make(key)} AS now)" for kind, make in makers.items())
+def _pseudonymised() -> Column:
+    """struct<text, hits array<struct<kind, was, now>>> of the column `text` by the key beside it; null for a text without candidates."""
+    makers = {"email": _email, "ip": _ip, "ipv6": _ipv6, "iban": _iban, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+    cases = " ".join(f"WHEN h rlike {_sql('^(?:' + PATTERNS[kind] + ')$')} THEN struct('{kind}' AS kind, h AS was, {make()} AS now)" for kind, make in makers.items())
     # The text's own cards, each before its shorter beginnings, are what the pattern has for cards.
     pattern = f"CASE WHEN size(cards) = 0 THEN {_sql(OTHERS)} ELSE concat({_sql(f'{OTHERS}|{_LOW}(?:')}, array_join(sort_array(cards, false), '|'), {_sql(f'){_HIGH}')}) END"
     hits = f"transform(regexp_extract_all(text, pattern, 0), h -> CASE {cases} ELSE struct('' AS kind, h AS was, h AS now) END)"
     whole = "struct(array_join(zip_with(split(text, pattern), hits, (piece, hit) -> concat(piece, coalesce(hit.now, ''))), '') AS text, filter(hits, x -> x.was <> x.now) AS hits)"
-    # A candidate has an at sign or seven digits, if not in a row; other texts are not searched.
-    return F.expr(f"CASE WHEN text rlike '@|[0-9][^A-Za-z]*[0-9]' AND text rlike {_sql(ANY)} THEN {_with({'cards': _cards(), 'pattern': pattern, 'hits': hits}, whole)} END")
+    # A candidate has an at sign, two colons or seven digits, if not in a row; other texts are not searched.
+    return F.expr(f"CASE WHEN text rlike '@|::|[0-9][^A-Za-z]*[0-9]' AND text rlike {_sql(ANY)} THEN {_with({'cards': _cards(), 'pattern': pattern, 'hits': hits}, whole)} END")
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced (long) and hits (kind, was, now) of every row.
 
-    Emails (the name before the at sign), IPv4 addresses, telephone numbers (any country code; with +1
-    numbers of the North American plan and others each within their kind; with none only those of the plan), social security numbers, card numbers (13 to 19 digits in whole groups) that hold by
-    Luhn's rule, and dates from 1900 to 2099 (year first, or day first with dots or slashes) are permuted by a keyed Feistel network within their
-    kind: the layout stays, the outcome is valid again, equal values get equal pseudonyms in all documents, different
-    ones different pseudonyms. The network may map a value to itself, as any permutation may. Numbers that are not valid
-    stay as they are. One row at a time in SQL expressions: no shuffle, no Python. A null text stays null, an empty one
-    empty; a null doc_id stays null; repeated rows are treated each; an empty table gives no rows; other columns are
-    not read.
+    Emails (the name before the at sign), IPv4 and IPv6 addresses, IBANs whose check digits hold, telephone numbers
+    (with a country code any of 7 to 15 digits; +1 numbers of the North American plan and others each within their kind;
+    without a code only those of the plan), social security numbers, card numbers (13 to 19 digits in whole groups) that
+    hold by Luhn's rule, and dates from 1900 to 2099 (year first, or day first with dots or slashes) are permuted by
+    Feistel networks, keyed by HMAC, within their kind: the layout stays, the outcome is valid again (of an IBAN its own
+    check digits, not those of a country inside it), equal values get equal pseudonyms in all documents, different ones
+    different pseudonyms, and none stays itself but a mail name without letters and digits. Numbers that are not valid
+    stay as they are. One row at a time in SQL expressions, the key from a broadcast table of one row: no shuffle, no
+    Python. A null text stays null, an empty one empty; a null doc_id stays null; repeated rows are treated each; an
+    empty table gives no rows; other columns are not read.
     """
-    found = key_and_text(df, id_col, text_col).select("doc_id", "text", pseudonymised(key).alias("new"))
+    texts = key_and_text(df, id_col, text_col).crossJoin(F.broadcast(keys(df.sparkSession, key)))
+    found = texts.select("doc_id", "text", _pseudonymised().alias("new"))
     return found.select("doc_id", F.expr("coalesce(new.text, text)").alias("text"), F.expr("CAST(coalesce(size(new.hits), 0) AS bigint)").alias("n_replaced"), F.expr("coalesce(new.hits, CAST(array() AS array<struct<kind: string, was: string, now: string>>))").alias("hits"))
 
 
 def pseudonymised_rows(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows of `df`, with all columns in their order, and pseudonyms in the text column; nulls as in `pseudonymise`."""
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).cast("string").alias("text"))
-    new = whole.select("_row", "text", pseudonymised(key).alias("new"))
-    return new.select(*[F.expr("coalesce(new.text, text)").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in df.columns])
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole"), F.col(text_col).cast("string").alias("text"))
+    new = whole.crossJoin(F.broadcast(keys(df.sparkSession, key))).select("_whole", "text", _pseudonymised().alias("new"))
+    return new.select(*[F.expr("coalesce(new.text, text)").alias(c) if c == text_col else F.col(f"_whole.`{c}`") for c in df.columns])

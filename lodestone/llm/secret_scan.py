@@ -40,6 +40,8 @@ STANDARD = str.maketrans("-_", "+/")
 #: Characters (and bytes that are no UTF-8, as surrogates) that text doesn't have; no secret is shorter than a stretch.
 NO_TEXT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]")
 STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{12,}")
+#: Characters that may stand for bytes.
+BYTES = re.compile("[\x00-\xff]+")
 #: The first bytes of gzip, zlib, bzip2 and zstd.
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd", re.S)
 CHUNK = 1 << 20
@@ -72,13 +74,18 @@ def matches(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
-def _utf8(raw: bytes) -> tuple[str, list[int]] | None:
-    """The text and each character's count of bytes; None if the bytes aren't UTF-8."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text, [len(c.encode("utf-8")) for c in text]
+def _utf8(raw: bytes) -> tuple[str, list[int]]:
+    """The text and each character's count of bytes; a byte that isn't UTF-8 is a surrogate, which stands for it."""
+    text = raw.decode("utf-8", "surrogateescape")
+    return text, _sizes(text).tolist()
+
+
+def _sizes(text: str) -> np.ndarray:
+    """Bytes of each character; a surrogate that stands for a byte is one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF)
+    sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    return sizes
 
 
 def _substituted(layer: Layer, runs: re.Pattern[str], decode, name: str) -> Layer | None:
@@ -109,9 +116,9 @@ def _substituted(layer: Layer, runs: re.Pattern[str], decode, name: str) -> Laye
     return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), f"{layer.via}>{name}")
 
 
-def _url(run: str) -> tuple[str, list[int]] | None:
-    found = _utf8(binascii.unhexlify(run.replace("%", "")))
-    return found and (found[0], np.cumsum([3 * n for n in found[1]]).tolist())
+def _url(run: str) -> tuple[str, list[int]]:
+    text, sizes = _utf8(binascii.unhexlify(run.replace("%", "")))
+    return text, np.cumsum([3 * n for n in sizes]).tolist()
 
 
 def _unicode(run: str) -> tuple[str, list[int]] | None:
@@ -228,9 +235,7 @@ def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     else:
         cuts = [m.span() for m in STRETCH.finditer(text)]
     if cuts:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        sizes = 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF)
-        sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+        sizes = _sizes(text)
         last = np.cumsum(sizes)
         for a, b in cuts:
             yield text[a:b], last[a:b] - sizes[a:b], last[a:b]
@@ -280,8 +285,39 @@ def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
                 yield from _read(layer, part.group(), at[part.start() : part.end()], m.end(), most, None)
 
 
+def _binary_layers(layer: Layer, most: int) -> Iterator[Layer]:
+    """What compressed streams that stand as escaped bytes in the text above unpack to.
+
+    URL escapes give bytes, Unicode escapes characters below U+0100 that stand for some; characters in between are bytes too.
+    """
+    if not NO_TEXT.search(layer.text):
+        return
+    if layer.via.endswith(">url"):
+        runs = [(0, layer.text.encode("utf-8", "surrogateescape"), np.cumsum(_sizes(layer.text)))]
+    elif layer.via.endswith(">unicode"):
+        runs = [(m.start(), m.group().encode("latin-1"), np.arange(1, m.end() - m.start() + 1)) for m in BYTES.finditer(layer.text)]
+    else:
+        return
+    for offset, raw, ends in runs:
+        place = 0
+        while m := MAGIC.search(raw, place):
+            place, used = m.start() + 1, []
+            if found := _unpacked(raw[m.start() :], used):
+                for _ in found[1]:  # read through once to learn where the stream ends
+                    pass
+                stop = m.start() + used[0] if used else len(raw)
+                names, source = _unpacked(raw[m.start() :], [])
+                first, last = np.searchsorted(ends, [m.start(), stop - 1], side="right")
+                a, b = layer.span(offset + int(first), offset + int(last) + 1)
+                for piece in _pieces(source, most):
+                    for text, _, _ in _texts(piece):
+                        yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), layer.via + names)
+                place = max(place, stop) if used else place
+
+
 def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
     yield from _base64_layers(layer, most)
+    yield from _binary_layers(layer, most)
     for sign, runs, decode, name in (("%", URL_RUN, _url, "url"), ("\\", UNICODE_RUN, _unicode, "unicode")):
         if sign in layer.text and (new := _substituted(layer, runs, decode, name)) is not None:
             yield new
