@@ -35,6 +35,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/lodestone/{uuid.uuid4().hex}-{name}"
 
 
+def compacted(df: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
+    """`df` in fewer partitions, joined without a shuffle, where they are small: about `bytes_each` of the plan's input each,
+    two for each core at least. Tables of many tiny files and tasks cost more in files, processes and workers than in work."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // bytes_each))
+    return df.coalesce(most) if most < 1 << 20 else df
+
+
 def staged(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
@@ -44,7 +52,7 @@ def staged(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     _staged[path] = spark
-    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    compacted(df).write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import staged, word_hashes
 from .ngram_trie import CHILD_BITS, STEP, Trie, code, mapped
 
 #: Tokens of a batch, the unit that asks shards for counts; nodes that a shard is to hold, over all batches.
@@ -20,26 +20,12 @@ BATCH_TOKENS, SHARD_NODES = 1 << 20, 1 << 20
 #: A word that begins at least this share of all n-grams is dealt to SALTS shards by its next word. At most 1000 words.
 HOT_SHARE, SALTS = 1 / 1000, 32
 START, END = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
-KEPT_WORDS = 400_000
-
-
-class _Hashes(dict):
-    """64-bit hashes of words; a full table starts anew."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
 
 
 def token_hashes(text: str) -> np.ndarray:
     """Hashes of the text's tokens: words of the A-Z lower-cased text, parted by ASCII white space, then the end."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter([*map(_hashes.__getitem__, words), END], dtype=np.uint64, count=len(words) + 1)
+    return np.fromiter([*map(word_hashes.__getitem__, words), END], dtype=np.uint64, count=len(words) + 1)
 
 
 def _shrunk(tokens: np.ndarray) -> bytes:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, key_and_text, staged
+from ._common import dropped, key_and_text, staged, word_hashes
 
 BITS, MINIMA, ROWS = 2, 128, 4
 BANDS, WORDS = MINIMA // ROWS, BITS * MINIMA // 64
@@ -20,7 +20,8 @@ BLOCK = 1024
 #: Rows of (long, long, long) up to which a list of keys is broadcast (about 50 MB); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 21
 NO_ID = -(1 << 63)
-KEPT_WORDS = 400_000
+#: Pairs of one star that meet one copy of its set; a star with more of them is copied.
+SPOKES = 1024
 
 
 class Spec(NamedTuple):
@@ -37,17 +38,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; a full table starts anew."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(0, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _TERMS = _random.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -56,7 +46,7 @@ _TERMS = _random.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 def shingles(text: str, width: int) -> np.ndarray:
     """The text's set of shingles as sorted 64-bit hashes: A-Z lower-cased, words parted by ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(words)
     if not n:
         return h
@@ -140,12 +130,12 @@ def components(links: DataFrame) -> DataFrame:
         new = staged(spread.join(further, F.col("new") == F.col("via")).select("node", "old", F.least("new", "beyond").alias("label")), "dedup-labels")
         moved = new.where("old <> label").limit(1).count()
         dropped(labels)
-        if not moved:
-            dropped(both)
-            return new.drop("old")
         path = new._lodestone_path
         labels = new.drop("old")
         labels._lodestone_path = path
+        if not moved:
+            dropped(both)
+            return labels
 
 
 def _similar(spec: Spec, inside: Column, n1: Column, n2: Column) -> Column:
@@ -182,7 +172,11 @@ def _sets(df: DataFrame, wanted: DataFrame, spec: Spec, id_col: str, text_col: s
     nodes = wanted.select("node", "h1", "h2")
     matched = built.join(F.broadcast(nodes) if small else nodes, ["h1", "h2"])
     sets = staged(matched.select("node", F.size("set").cast("long").alias("n"), "set"), "dedup-sets")
-    return sets if sets.count() <= wanted.count() else staged(sets.dropDuplicates(["node"]), "dedup-sets")
+    if sets.count() <= wanted.count():
+        return sets
+    once = staged(sets.dropDuplicates(["node"]), "dedup-sets")
+    dropped(sets)
+    return once
 
 
 def _cores(sets: DataFrame) -> DataFrame:
@@ -194,11 +188,22 @@ def _cores(sets: DataFrame) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, n1, n2 and inside (shingles that both full sets have) of the pairs (a, b), staged."""
+    """a, b, n1, n2 and inside (shingles that both full sets have) of the pairs (a, b), staged.
+
+    Many pairs may have one b, the star of a large group: they are dealt to copies of its set, SPOKES to a copy.
+    """
+    pairs = staged(pairs, "dedup-pairs")
+    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > SPOKES).select("b", F.expr(f"CAST(ceil(pairs / {SPOKES}) AS int)").alias("copies"))
+    often = staged(often, "dedup-stars")
+    hot = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.expr("CAST(pmod(xxhash64(a), coalesce(copies, 1)) AS int)").alias("copy"))
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("set").alias("set1"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("set").alias("set2"))
-    full = pairs.join(two, "b").join(one, "a")
-    return staged(full.select("a", "b", "n1", "n2", F.size(F.array_intersect("set1", "set2")).cast("long").alias("inside")), "dedup-overlaps")
+    copied = two.join(hot, "b", "left").withColumn("copy", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
+    full = dealt.join(copied, ["b", "copy"]).join(one, "a")
+    out = staged(full.select("a", "b", "n1", "n2", F.size(F.array_intersect("set1", "set2")).cast("long").alias("inside")), "dedup-overlaps")
+    dropped(pairs, often)
+    return out
 
 
 def _confirmed(overlaps: DataFrame, spec: Spec) -> DataFrame:
@@ -290,15 +295,19 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
     shares = overlaps.select(F.col("a").alias("node"), "b", "inside")
     starred = labelled.join(apart, "key").join(star, "key").join(shares, ["node", "b"], "left").withColumn("inside", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.coalesce("inside", F.lit(-1))))
     known = starred.drop("b").join(signed.select(F.col("row").alias("node"), "bands"), "node")
-    more = _confirmed(_overlaps(_cross_pairs(known, spec), sets), spec)
+    extra = _overlaps(_cross_pairs(known, spec), sets)
+    more = _confirmed(extra, spec)
+    old_labels = []
     if more.limit(1).count():
-        labels = components(links.union(more))
+        old_labels, labels = [labels], components(links.union(more))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of = named.join(lowest, "label").select("h1", "h2", "label", "component_id")
     rows = signed.select("row", "doc_id", "text_hash", "h1", "h2", "n").join(of, ["h1", "h2"], "left")
     out = rows.select("row", "doc_id", "text_hash", "n", F.coalesce("label", "row").alias("component"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return staged(out, "dedup-result")
+    result = staged(out, "dedup-result")
+    dropped(signed, nodes, shared, wanted, sets, about, members, overlaps, extra, *old_labels, labels)
+    return result
 
 
 def near_duplicates(df: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
