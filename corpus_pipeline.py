@@ -2,7 +2,8 @@
 
 Each stage takes all rows that its predecessor kept and returns the columns of documents (the last one: pieces). Null
 and empty texts fail the first stage's least number of words. Rows with a null doc_id, repeated rows and empty tables
-go through as each operator says. Columns beyond those of documents are carried along.
+go through as each operator says. Columns beyond those of documents are carried along. Many small input files become
+fewer tasks and fewer output files (`compacted`).
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, near_dedup, packing, pii, quality_rules
-from lodestone.llm._common import staged
+from lodestone.llm._common import compacted, staged
 from lodestone.llm.queries import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the policy web-1 rejects."""
-    return quality_rules.kept_rows(docs, "web-1")
+    return quality_rules.kept_rows(compacted(docs), "web-1")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +29,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark item."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.decontaminate(compacted(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms in place of private numbers, dates and names of mail accounts."""
-    return pii.pseudonymised_rows(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.pseudonymised_rows(compacted(docs), PII_KEY).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: pieces of power-of-two lengths with their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(compacted(docs), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("private", private), ("packed", packed)]
