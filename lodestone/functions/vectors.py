@@ -23,11 +23,20 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def _matrices(rows: pa.Array) -> list[np.ndarray | None]:
+    """Each row's vectors as a matrix, cut from the flat values; None for a row without any."""
+    inner = rows.values
+    numbers = inner.values.to_numpy(zero_copy_only=False)
+    starts, ends = rows.offsets.to_numpy(), inner.offsets.to_numpy()
+    out: list[np.ndarray | None] = []
+    for valid, a, b in zip(rows.is_valid().to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+        flat = numbers[ends[a] : ends[b]] if valid and b > a else numbers[:0]
+        out.append(flat.reshape(b - a, -1).astype(float) if len(flat) else None)
+    return out
+
+
 @F.arrow_udf(DoubleType())
 def maxsim(query: pa.Array, document: pa.Array) -> pa.Array:
     """Mean over the query's vectors of the largest dot product with any of the document's; 0 if either has none."""
-    out = []
-    for q, d in zip(query, document):
-        a, b = q.as_py() or [], d.as_py() or []
-        out.append(float((np.array(a, dtype=float) @ np.array(b, dtype=float).T).max(axis=1).mean()) if a and b and a[0] and b[0] else 0.0)
-    return pa.array(out, pa.float64())
+    pairs = zip(_matrices(query), _matrices(document))
+    return pa.array([0.0 if q is None or d is None else float((q @ d.T).max(axis=1).mean()) for q, d in pairs], pa.float64())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .sparse import WORD
 
 EMBEDDED = "dense array<float>, sparse map<string, double>, vecs array<array<float>>"
-#: Keys under which models return each output, the usual one first.
+#: Fixed: the names under which models give each output; the first that is there counts.
 OUTPUTS = {"dense": ("dense_vecs", "dense_embeddings", "dense"), "sparse": ("sparse_vecs", "lexical_weights", "sparse"), "vecs": ("colbert_vecs", "colbert_embeddings", "colbert")}
 
 
@@ -67,12 +67,11 @@ class LexicalEmbedder:
 
 
 def pick(outputs: Mapping[str, Any], names: Sequence[str], default: list[Any]) -> list[Any]:
-    """The first of the named outputs that is there, as a list."""
-    for name in names:
-        if name in outputs:
-            value = outputs[name]
-            return list(value) if isinstance(value, (list, tuple, np.ndarray)) else [value]
-    return default
+    """What a model gave under one of the names, a value for each text; an output that isn't a sequence is an error."""
+    given = next((outputs[name] for name in names if name in outputs), default)
+    if not isinstance(given, (list, tuple, np.ndarray)):
+        raise EmbeddingError(f"a model's {names[0]} must be a sequence, not {type(given).__name__}")
+    return list(given)
 
 
 class ModelEmbedder:

@@ -31,14 +31,18 @@ def idf_scores(postings: DataFrame, documents: DataFrame) -> DataFrame:
     return scored.select("token", "df", (F.log((F.col("n") + 1).cast("double") / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def search_sparse(postings: DataFrame, idf: DataFrame, queries: DataFrame, top_k: int, chunks: DataFrame | None = None) -> DataFrame:
+def search_sparse(postings: DataFrame, idf: DataFrame, queries: DataFrame, top_k: int, chunks: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, sparse_score (sum of query weight * weight * idf, six decimals) and rank of the top_k chunks.
 
     queries: qid, token, weight. A token without an idf counts with 1. `chunks` (chunk_id), if given, are those that
-    may be found: others are dropped after the cut to top_k and the rest is ranked anew.
+    exist: others are dropped after the cut to top_k and the rest is ranked anew. `allowed` (chunk_id), if given, are
+    those that a filter lets through: only they are scored and cut. The query's tokens meet the idf first, so postings
+    are joined once, with as many rows as the queries have tokens.
     """
-    weights = queries.select("qid", "token", F.col("weight").alias("q_weight"))
-    hits = postings.join(weights, "token").join(idf.select("token", "idf"), "token", "left")
+    weights = queries.select("qid", "token", F.col("weight").alias("q_weight")).join(idf.select("token", "idf"), "token", "left")
+    if allowed is not None:
+        postings = postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    hits = postings.join(weights, "token")
     score = F.round(F.sum(F.col("q_weight") * F.col("weight") * F.coalesce("idf", F.lit(1.0))), 6)
     scored = hits.groupBy("qid", "chunk_id").agg(score.alias("sparse_score"))
     order = Window.partitionBy("qid").orderBy(F.desc("sparse_score"), "chunk_id")

@@ -54,18 +54,22 @@ class SnapshotStore:
             return 0
         return int(self.spark.read.text(pointer).first()[0])
 
-    def read(self, name: str) -> DataFrame:
-        """A table as of the current version; empty with its schema before the first write."""
-        version = self.version
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as of the current version, or of a given one; empty with its schema before the first write.
+
+        Who reads several tables takes `version` once, so that a commit in between doesn't mix two versions.
+        """
+        version = self.version if version is None else version
         if not version:
             return self.spark.createDataFrame([], self.schemas[name])
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/v{version}/{name}")
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Write all tables as the next version and make it current; tables not given stay as they are."""
-        version = self.version + 1
+        last = self.version
+        version = last + 1
         for name, schema in self.schemas.items():
-            df = tables.get(name, self.read(name))
+            df = tables[name] if name in tables else self.read(name, last)
             df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
         fresh, pointer = self._path(f"{self.root}/NEXT"), self._path(f"{self.root}/CURRENT")
         out = self._fs.create(fresh, True)

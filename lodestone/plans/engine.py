@@ -38,23 +38,23 @@ class Engine:
 
     def search_documentation(self, text: str, domain: str | None = None, top_k: int = 5) -> DataFrame:
         index = ingest.open_index(self.store)
-        return self._shown(retrieval.search_documentation(index, self.one(text), domain, top_k, self.scorer), index, "rerank_score")
+        return self._shown(retrieval.search_documentation(index, self.one(text), domain, top_k, self.scorer, self.settings.retrieval), index, "rerank_score")
 
-    def search_code_examples(self, text: str, language: str = "pdx", top_k: int = 5) -> DataFrame:
+    def search_code_examples(self, text: str, language: str | None = None, top_k: int = 5) -> DataFrame:
         index = ingest.open_index(self.store)
-        return self._shown(retrieval.search_code_examples(index, self.one(text), language, top_k, self.scorer), index, "rerank_score")
+        return self._shown(retrieval.search_code_examples(index, self.one(text), language, top_k, self.scorer, self.settings.retrieval), index, "rerank_score")
 
     def lookup_define(self, name: str, category: str | None = None, top_k: int = 5) -> DataFrame:
         index = ingest.open_index(self.store)
-        return self._shown(retrieval.lookup_define(index, self.one(name if category is None else f"{category} {name}"), top_k), index)
+        return self._shown(retrieval.lookup_define(index, self.one(name if category is None else f"{category} {name}"), top_k, config=self.settings.retrieval), index)
 
     def lookup_modifier(self, name: str, category: str | None = None, top_k: int = 5) -> DataFrame:
         index = ingest.open_index(self.store)
-        return self._shown(retrieval.lookup_modifier(index, self.one(name if category is None else f"{category} {name}"), top_k), index)
+        return self._shown(retrieval.lookup_modifier(index, self.one(name if category is None else f"{category} {name}"), top_k, config=self.settings.retrieval), index)
 
     def diagnose_error(self, message: str, context: str | None = None, top_k: int = 5) -> DataFrame:
         index = ingest.open_index(self.store)
-        return self._shown(retrieval.diagnose_error(index, self.one(f"{message}\n{context}" if context else message), top_k), index)
+        return self._shown(retrieval.diagnose_error(index, self.one(f"{message}\n{context}" if context else message), top_k, self.settings.retrieval), index)
 
     def get_document_section(self, chunk_id: str, include_context: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """The section's row (none if unknown), and with context the sections of its file."""

@@ -56,7 +56,8 @@ def ingest_documents(spark: SparkSession, store: SnapshotStore, documents: DataF
     are embedded anew and counted as updated. Inverse document frequencies follow from the final postings.
     """
     start = time.monotonic()
-    old = store.read("chunks")
+    version = store.version
+    old = store.read("chunks", version)
     chunks = last_of_each_id(chunk_documents(documents, max_chunk_tokens)).persist()
     work = None
     try:
@@ -76,9 +77,9 @@ def ingest_documents(spark: SparkSession, store: SnapshotStore, documents: DataF
             vectors = work.select(F.col("id").alias("chunk_id"), "vecs")
             store.commit({
                 "chunks": deleted(upserted(old, fresh), gone),
-                "postings": without(replaced(store.read("postings"), exploded(work, "id"), ids), lost),
-                "indexed": without(replaced(store.read("indexed"), ids, ids), lost),
-                "colbert": without(replaced(store.read("colbert"), vectors, ids), lost),
+                "postings": without(replaced(store.read("postings", version), exploded(work, "id"), ids), lost),
+                "indexed": without(replaced(store.read("indexed", version), ids, ids), lost),
+                "colbert": without(replaced(store.read("colbert", version), vectors, ids), lost),
             })
         end = time.monotonic()
         return IngestionStats(int(n_files), int(n_created), int(n_todo - n_created), int(n_gone), embedded - begun, end - embedded, end - start)
@@ -90,9 +91,10 @@ def ingest_documents(spark: SparkSession, store: SnapshotStore, documents: DataF
 
 def open_index(store: SnapshotStore) -> Index:
     """The current snapshot as an index to search."""
-    postings = store.read("postings")
-    chunks = store.read("chunks").withColumnRenamed("id", "chunk_id")
-    return Index(chunks, postings, idf_scores(postings, store.read("indexed")), store.read("colbert"))
+    version = store.version
+    postings = store.read("postings", version)
+    chunks = store.read("chunks", version).withColumnRenamed("id", "chunk_id")
+    return Index(chunks, postings, idf_scores(postings, store.read("indexed", version)), store.read("colbert", version))
 
 
 def table_stats(store: SnapshotStore) -> DataFrame:

@@ -38,12 +38,12 @@ class Queries:
 def hybrid(index: Index, queries: Queries, top_k: int = 10, filters: Mapping[str, str] | None = None, use_colbert_rerank: bool = False, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """qid, chunk_id, score, rank of the fused dense and sparse legs; texts stay out of the plan (see `with_chunks`).
 
-    Filters narrow the dense leg alone, unless the configuration says otherwise. Sparse hits without a chunk are dropped
-    before they are ranked.
+    Filters narrow the dense leg alone, unless the configuration says otherwise; in either leg they come before the cut.
+    Sparse hits without a chunk are dropped after it.
     """
     dense = search_dense(index.chunks, queries.rows, config.top_k_dense, filters)
-    known = index.chunks.where(equal_to(filters)) if config.filter_sparse else index.chunks
-    sparse = search_sparse(index.postings, index.idf, queries.tokens, config.top_k_sparse, chunks=known)
+    allowed = index.chunks.where(equal_to(filters)) if config.filter_sparse and filters else None
+    sparse = search_sparse(index.postings, index.idf, queries.tokens, config.top_k_sparse, chunks=index.chunks, allowed=allowed)
     fused = rrf(dense, sparse, config.rrf_k, max(top_k, 0))
     if use_colbert_rerank and index.colbert is not None:
         again = colbert_rerank(fused, queries.rows, index.colbert, top_k)
@@ -67,30 +67,30 @@ def search_and_rerank(index: Index, queries: Queries, top_k: int = 5, filters: M
     return reranked(scored.select("qid", "chunk_id", "rerank_score"), top_k)
 
 
-def search_documentation(index: Index, queries: Queries, domain: str | None = None, top_k: int = 5, scorer: Scorer | None = None) -> DataFrame:
-    return search_and_rerank(index, queries, top_k, {"domain": domain} if domain else None, scorer)
+def search_documentation(index: Index, queries: Queries, domain: str | None = None, top_k: int = 5, scorer: Scorer | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    return search_and_rerank(index, queries, top_k, {"domain": domain} if domain else None, scorer, config)
 
 
-def search_code_examples(index: Index, queries: Queries, language: str = "pdx", top_k: int = 5, scorer: Scorer | None = None) -> DataFrame:
+def search_code_examples(index: Index, queries: Queries, language: str | None = None, top_k: int = 5, scorer: Scorer | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """As search_documentation without a domain; the language is accepted and not used."""
-    return search_and_rerank(index, queries, top_k, None, scorer)
+    return search_and_rerank(index, queries, top_k, None, scorer, config)
 
 
-def lookup(index: Index, queries: Queries, domain: str, top_k: int = 5) -> DataFrame:
+def lookup(index: Index, queries: Queries, domain: str, top_k: int = 5, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Hybrid search in one domain, without reranking: the plan of lookup_define and lookup_modifier."""
-    return hybrid(index, queries, top_k, {"domain": domain})
+    return hybrid(index, queries, top_k, {"domain": domain}, config=config)
 
 
-def lookup_define(index: Index, queries: Queries, top_k: int = 5, domain: str = "defines_list") -> DataFrame:
-    return lookup(index, queries, domain, top_k)
+def lookup_define(index: Index, queries: Queries, top_k: int = 5, domain: str = "defines_list", config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    return lookup(index, queries, domain, top_k, config)
 
 
-def lookup_modifier(index: Index, queries: Queries, top_k: int = 5, domain: str = "modifiers_list") -> DataFrame:
-    return lookup(index, queries, domain, top_k)
+def lookup_modifier(index: Index, queries: Queries, top_k: int = 5, domain: str = "modifiers_list", config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    return lookup(index, queries, domain, top_k, config)
 
 
-def diagnose_error(index: Index, queries: Queries, top_k: int = 5) -> DataFrame:
-    return hybrid(index, queries, top_k)
+def diagnose_error(index: Index, queries: Queries, top_k: int = 5, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    return hybrid(index, queries, top_k, config=config)
 
 
 def lookup_text(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Incremental ingestion of new and rewritten files with Structured Streaming."""
+"""Incremental ingestion of new files with Structured Streaming."""
 
 from __future__ import annotations
 
@@ -8,31 +8,44 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunker import chunk_documents, last_of_each_id
 from ..operators.models import Embedder
-from ..operators.sparse import exploded, replaced
-from ..operators.store import SnapshotStore, changed, upserted
-from ..sources.markdown import front_matter
+from ..operators.sparse import exploded, replaced, without
+from ..operators.store import SnapshotStore, changed, deleted, upserted
+from ..sources.markdown import checked, front_matter, texts_of
 
 
 def stream_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """path and raw text of markdown files as they appear."""
+    """path, as `scan_markdown` spells it, and raw text of markdown files as they appear."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(folder)
-    return files.where(F.lower(F.element_at(F.split("path", "/"), -1)) != "readme.md").select("path", F.decode("content", "utf-8").alias("raw"))
+    return texts_of(spark, files, folder)
 
 
 def ingest_available(spark: SparkSession, store: SnapshotStore, folder: str, embedder: Embedder, checkpoint: str, max_chunk_tokens: int = 1500) -> StreamingQuery:
-    """Upsert the chunks of all files not seen before and stop. A file stream tells nothing of removed files: their
-    chunks stay until a full ingestion."""
+    """Bring the chunks of all files with names not seen before into the store, and stop.
+
+    Chunks that the store has of such a file, and the file hasn't, are deleted; a file with a bad header fails the query.
+    A file stream tells nothing of removed files, nor of files rewritten under their name: their chunks stay as they are
+    until `ingest_incremental`, which names chunks alike and so adds none twice.
+    """
 
     def batch(files: DataFrame, _: int) -> None:
-        chunks = last_of_each_id(chunk_documents(front_matter(files), max_chunk_tokens))
-        old = store.read("chunks")
+        documents = checked(front_matter(files)).persist()
+        chunks = last_of_each_id(chunk_documents(documents, max_chunk_tokens)).persist()
+        version = store.version
+        old = store.read("chunks", version)
         todo = changed(old, chunks)
         work = todo.join(embedder.embed(todo, "id", "text"), "id").persist()
-        ids = work.select(F.col("id").alias("chunk_id"))
-        if work.limit(1).count():
+        gone = old.join(documents.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id").join(chunks.select("id"), "id", "left_anti").persist()
+        ids, lost = work.select(F.col("id").alias("chunk_id")), gone.select(F.col("id").alias("chunk_id"))
+        if work.limit(1).count() or gone.limit(1).count():
             fresh = work.withColumn("dense_vector", F.col("dense").cast("array<float>")).withColumn("ingestion_timestamp", F.current_timestamp())
-            store.commit({"chunks": upserted(old, fresh), "postings": replaced(store.read("postings"), exploded(work, "id"), ids), "indexed": replaced(store.read("indexed"), ids, ids), "colbert": replaced(store.read("colbert"), work.select(F.col("id").alias("chunk_id"), "vecs"), ids)})
-        work.unpersist()
+            store.commit({
+                "chunks": deleted(upserted(old, fresh), gone),
+                "postings": without(replaced(store.read("postings", version), exploded(work, "id"), ids), lost),
+                "indexed": without(replaced(store.read("indexed", version), ids, ids), lost),
+                "colbert": without(replaced(store.read("colbert", version), work.select(F.col("id").alias("chunk_id"), "vecs"), ids), lost),
+            })
+        for table in (documents, chunks, work, gone):
+            table.unpersist()
 
     return stream_markdown(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

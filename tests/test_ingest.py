@@ -38,6 +38,8 @@ def test_sources(spark, folder):
     (folder / "bad.md").write_text("---\n: [\n---\nx")
     with pytest.raises(Exception, match="Failed to parse front matter"):
         markdown.read_documents(spark, str(folder)).collect()
+    with pytest.raises(Exception, match="Failed to parse front matter"):
+        markdown.read_document(spark, f"{folder}/bad.md").collect()
 
 
 def test_catalogue(spark, folder):
@@ -120,3 +122,33 @@ def test_stream(spark, folder, tmp_path):
     (folder / "c.md").write_text("## Late\nfile")
     go()
     assert kept.read("chunks").count() == 5
+
+
+def test_stream_and_batch_name_chunks_alike(spark, folder, tmp_path):
+    kept = ingest.open_store(spark, str(tmp_path / "db"))
+    ingest.ingest_full(spark, kept, str(folder), LexicalEmbedder(8))
+    before = {r.id for r in kept.read("chunks").collect()}
+    (folder / "a.md").write_text("---\ndomain: defines_list\n---\n# T\n## Red apple\nsweet")  # one section less
+    ingest_available(spark, kept, str(folder), LexicalEmbedder(8), str(tmp_path / "ck")).awaitTermination()
+    after = {r.id for r in kept.read("chunks").collect()}
+    assert after == before - {f"{folder}/a.md#green-pear"}
+    assert {r.chunk_id for r in kept.read("indexed").collect()} == after
+    (folder / "bad.md").write_text("---\n: [\n---\nx")
+    with pytest.raises(Exception, match="front matter"):
+        ingest_available(spark, kept, str(folder), LexicalEmbedder(8), str(tmp_path / "ck")).awaitTermination()
+
+
+def test_an_index_has_one_version(spark, folder, tmp_path):
+    kept = ingest.open_store(spark, str(tmp_path / "db"))
+    ingest.ingest_full(spark, kept, str(folder), LexicalEmbedder(8))
+    version, n = kept.version, kept.read("chunks").count()
+    kept.clear()
+    assert kept.read("chunks").count() == 0 and kept.read("chunks", version).count() == n
+
+
+def test_tools_use_the_settings(spark, folder, tmp_path):
+    from lodestone.config import RetrievalConfig
+
+    engine = Engine(spark, Settings(paths=PathsConfig(str(folder), str(tmp_path / "db")), retrieval=RetrievalConfig(top_k_dense=1, top_k_sparse=0)), LexicalEmbedder(16))
+    engine.ingest()
+    assert engine.search_documentation("plum", top_k=5).count() == engine.search_code_examples("plum", top_k=5).count() == engine.diagnose_error("plum").count() == 1

@@ -133,4 +133,19 @@ def test_models(spark):
     assert one[1].sparse == {} and set(one[2].dense) == {0.0}
     vocabulary = spark.createDataFrame([(1, "one")], "token_id long, token string")
     assert models.token_strings(spark.createDataFrame([(1,), (2,)], "token_id long"), vocabulary).orderBy("token_id").collect()[0].token == "one"
-    assert models.pick({"dense": 3}, ("dense_vecs", "dense"), []) == [3] and models.pick({}, ("x",), [1]) == [1]
+    assert models.pick({"dense": (3,)}, ("dense_vecs", "dense"), []) == [3] and models.pick({}, ("x",), [1]) == [1]
+    with pytest.raises(models.EmbeddingError):
+        models.pick({"dense": 3}, ("dense_vecs", "dense"), [])
+
+
+def test_filters_come_before_the_cut_of_the_sparse_leg(spark):
+    from lodestone.config import RetrievalConfig
+
+    rows = [(f"{'x' if i % 3 else 'y'}{i:02}", "red " * (1 + (i % 3 > 0)), "x" if i % 3 else "y", [float(i), 0.0]) for i in range(20)]
+    c = spark.createDataFrame(rows, "chunk_id string, text string, domain string, dense_vector array<float>")
+    p = sparse.word_postings(c)
+    found = sparse.search_sparse(p, sparse.idf_scores(p, c), asked(spark, "red").tokens, 3, c, c.where("domain = 'y'"))
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == ["y00", "y03", "y06"]
+    config = RetrievalConfig(top_k_dense=3, top_k_sparse=3, filter_sparse=True)
+    got = retrieval.lookup(retrieval.Index(c, p, sparse.idf_scores(p, c)), asked(spark, "red"), "y", 10, config)
+    assert {r.chunk_id for r in got.collect()} == {"y00", "y03", "y06"}
