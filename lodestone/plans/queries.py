@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..functions.vectors import maxsim
+from ..functions.vectors import maxsim, sigmoid
 from ..operators import chunker, dense, fusion, models, sparse, store
+from ..sources import markdown
 from ..sources.markdown import catalogue_rows
-from . import retrieval
+from . import ingest, retrieval
 
 #: Chunks of the derived markdown are small: a lower bound makes some of them split.
 MAX_TOKENS = 60
@@ -26,12 +32,17 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("domain"), F.col("source").alias("concept"), F.col("embedding").alias("dense_vector"))
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as chunks, with or without an embedding."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("domain"), F.col("source").alias("concept"))
+
+
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.word_postings(corpus(spark, d))
+    return sparse.word_postings(texts(spark, d))
 
 
 def index(spark: SparkSession, d: str) -> retrieval.Index:
-    chunks, words = corpus(spark, d), postings(spark, d)
+    chunks, words = corpus(spark, d), sparse.word_postings(corpus(spark, d))
     return retrieval.Index(chunks, words, sparse.idf_scores(words, chunks), colbert(spark, d))
 
 
@@ -53,8 +64,8 @@ def _matrix(c: str):
 
 
 def colbert(spark: SparkSession, d: str) -> DataFrame:
-    """The stored multi-vectors: two thirds of the chunks have some."""
-    return corpus(spark, d).where("chunk_id % 3 <> 0").select("chunk_id", _matrix("dense_vector").alias("vecs"))
+    """The stored multi-vectors of all chunks."""
+    return corpus(spark, d).select("chunk_id", _matrix("dense_vector").alias("vecs"))
 
 
 def diagnosed(spark: SparkSession, d: str) -> retrieval.Queries:
@@ -155,20 +166,142 @@ def _document(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).drop("dense_vector")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share (spark.checkpoint.dir); only local mode may do without that setting."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lodestone-")
+        sc.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/lodestone/{uuid.uuid4().hex}-{name}"
+
+
+def ingested(spark: SparkSession, *documents: DataFrame) -> tuple[store.SnapshotStore, ingest.IngestionStats]:
+    """A new store after an ingestion of each of the tables of documents, and the last one's statistics."""
+    kept = ingest.open_store(spark, scratch(spark, "store"))
+    stats = [ingest.ingest_documents(spark, kept, docs, models.LexicalEmbedder(8), max_chunk_tokens=MAX_TOKENS) for docs in documents]
+    return kept, stats[-1]
+
+
+def next_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The derived markdown later on: French files are gone, German ones have another section at their end."""
+    more = F.when(F.col("domain") == "de", F.concat("content", F.lit("\n## Nachtrag\nneu"))).otherwise(F.col("content"))
+    return md_docs(spark, d).where("domain <> 'fr'").withColumn("content", more)
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    kept, _ = ingested(spark, md_docs(spark, d))
+    return kept.read("chunks").select("id", "file_path", "domain", "concept", "version", "section_heading", "section_anchor", F.array_join("parent_headings", " > ").alias("parents"), "token_count", "content_hash", F.size("dense_vector").alias("dim"), F.col("ingestion_timestamp").isNotNull().alias("stamped"))
+
+
+def _incremental(spark: SparkSession, d: str) -> DataFrame:
+    s = ingested(spark, md_docs(spark, d), next_docs(spark, d))[1]
+    return spark.createDataFrame([(s.documents_processed, s.chunks_created, s.chunks_updated, s.chunks_deleted)], "documents_processed long, chunks_created long, chunks_updated long, chunks_deleted long")
+
+
+def _after_both(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return ingested(spark, md_docs(spark, d), next_docs(spark, d))[0].read(name)
+
+
+def _reset(spark: SparkSession, d: str) -> DataFrame:
+    kept, _ = ingested(spark, md_docs(spark, d))
+    kept.clear()
+    return ingest.table_stats(kept).crossJoin(kept.read("postings").agg(F.count(F.lit(1)).alias("postings"))).crossJoin(kept.read("colbert").agg(F.count(F.lit(1)).alias("vectors")))
+
+
+def knowledge_base(spark: SparkSession, d: str) -> str:
+    """A folder with each document as a markdown file with a header, readme files, a catalogue and an overview."""
+    root = scratch(spark, "kb")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(text.encode("utf-8"))
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    docs = table(spark, d, "documents")
+    header = F.concat(F.lit("---\ndomain: "), "lang", F.lit("\nconcept: "), "source", F.lit("\nversion: 1.10\n---\n"))
+    files = docs.select(F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("name"), F.concat(header, "text").alias("text"))
+    others = [("ReadMe.md", "## skipped"), ("en/README.md", "## skipped"), ("notes.txt", "no markdown"), ("master_index.json", CATALOGUE), ("a/00_overview.md", "## Over\nview")]
+    files.unionByName(spark.createDataFrame(others, "name string, text string")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    root = knowledge_base(spark, d)
+    return markdown.read_documents(spark, root).select(F.col("path").substr(F.lit(len(root) + 2), F.lit(1 << 20)).alias("name"), "domain", "concept", "version", fn.content_hash(F.col("content")).alias("content_hash"))
+
+
+def _overview(spark: SparkSession, d: str) -> DataFrame:
+    root = knowledge_base(spark, d)
+    return markdown.list_domains(spark, root).select("name", "path").join(spark.createDataFrame([(n, markdown.domain_overview(spark, root, n)) for n in ("a", "b", "c")], "name string, overview string"), "name", "right")
+
+
+class _Lengths:
+    """A model whose outputs are plain: a text's length as its vector, its parts' lengths as words and word vectors."""
+
+    def encode(self, texts: list[str], **_: object) -> dict[str, list]:
+        return {"dense_embeddings": [[float(len(t))] for t in texts], "lexical_weights": [{"n": float(len(t))} for t in texts], "colbert": [[[float(len(w))] for w in t.split(" ")] for t in texts]}
+
+    def compute_score(self, pairs: list[list[str]], normalize: bool) -> list[float]:
+        return [len(q) / (1 + len(t)) for q, t in pairs]
+
+
+def _modelled(spark: SparkSession, d: str) -> DataFrame:
+    out = models.ModelEmbedder(_Lengths, batch_size=8).embed(table(spark, d, "documents"), "doc_id", "text")
+    return out.select("doc_id", F.col("dense")[0].cast("double").alias("dense"), F.col("sparse")["n"].alias("weight"), F.size("vecs").alias("n_vecs"), F.expr("aggregate(vecs, 0D, (a, v) -> a + v[0])").alias("letters"))
+
+
+def _removed(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.without(postings(spark, d), texts(spark, d).where("domain = 'fr'"))
+
+
+def _replaced(spark: SparkSession, d: str) -> DataFrame:
+    again = texts(spark, d).where("domain = 'de'").withColumn("text", F.concat("text", F.lit(" neu neu")))
+    return sparse.replaced(postings(spark, d), sparse.word_postings(again), again.select("chunk_id"))
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("token_id"), F.col("n_name").alias("token"))
+    return models.token_strings(table(spark, d, "embeddings").select("vec_id", (F.col("label") * 3).cast("long").alias("token_id")), vocabulary).select("vec_id", "token_id", "token")
+
+
 QUERIES = {
+    "ingest_full": _stored,
+    "ingest_incremental": _incremental,
+    "stored_ids": lambda s, d: _after_both(s, d, "chunks").select("id"),
+    "stored_postings": lambda s, d: _after_both(s, d, "postings"),
+    "stored_vectors": lambda s, d: _after_both(s, d, "colbert").select("chunk_id", F.size("vecs").alias("n_vecs")),
+    "stored_indexed": lambda s, d: _after_both(s, d, "indexed"),
+    "stored_reset": _reset,
+    "scan_documents": _scanned,
+    "domain_overview": _overview,
+    "embed_with_model": _modelled,
+    "score_with_model": lambda s, d: models.ModelScorer(_Lengths).score(_pairs(s, d)).select("qid", "chunk_id", F.round("rerank_score", 9).alias("rerank_score")),
+    "sparse_remove": _removed,
+    "sparse_replace": _replaced,
+    "token_strings": _tokens,
+    "sigmoid_scores": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(sigmoid(F.col("embedding")[0].cast("double")), 9).alias("score")),
     "hybrid_rrf": lambda s, d: retrieval.hybrid(index(s, d), benchmark(s, d), 10, {"domain": "en"}),
     "dense_topk": lambda s, d: dense.search_dense(corpus(s, d), benchmark(s, d).rows, 50),
     "dense_topk_filtered": lambda s, d: dense.search_dense(corpus(s, d), benchmark(s, d).rows, 10, {"domain": "en", "concept": "src0"}),
-    "sparse_topk": lambda s, d: sparse.search_sparse(postings(s, d), sparse.idf_scores(postings(s, d), corpus(s, d)), benchmark(s, d).tokens, 50),
-    "idf_scores": lambda s, d: sparse.idf_scores(postings(s, d), corpus(s, d)).withColumn("idf", F.round("idf", 9)),
+    "sparse_topk": lambda s, d: sparse.search_sparse(postings(s, d), sparse.idf_scores(postings(s, d), texts(s, d)), benchmark(s, d).tokens, 50),
+    "idf_scores": lambda s, d: sparse.idf_scores(postings(s, d), texts(s, d)).withColumn("idf", F.round("idf", 9)),
     "doc_freq": lambda s, d: sparse.document_frequency(postings(s, d)),
-    "total_docs": lambda s, d: corpus(s, d).agg(F.countDistinct("chunk_id").alias("n")),
+    "total_docs": lambda s, d: texts(s, d).agg(F.countDistinct("chunk_id").alias("n")),
     "rrf_fusion": _fused,
     "gather_results": lambda s, d: retrieval.with_chunks(retrieval.hybrid(index(s, d), benchmark(s, d), 3), index(s, d)).select("qid", "rank", "chunk_id", "score", fn.content_hash(F.col("text")).alias("text_hash"), F.col("metadata")["domain"].alias("domain")),
     "token_estimate": lambda s, d: table(s, d, "documents").select("doc_id", fn.token_estimate(F.col("text")).alias("token_count")),
-    "anchor_slug": lambda s, d: table(s, d, "documents").select("doc_id", fn.anchor(F.substring("text", 1, 40)).alias("anchor")),
+    "anchor_slug": lambda s, d: table(s, d, "documents").select("doc_id", fn.anchor(F.col("text")).alias("anchor")),
     "content_hash": lambda s, d: table(s, d, "documents").select("doc_id", fn.content_hash(F.col("text")).alias("content_hash")),
-    "chunk_id": lambda s, d: table(s, d, "documents").select("doc_id", fn.chunk_id(F.col("source"), fn.anchor(F.substring("text", 1, 40))).alias("id")),
+    "chunk_id": lambda s, d: table(s, d, "documents").select("doc_id", fn.chunk_id(F.col("source"), fn.anchor(F.col("text"))).alias("id")),
     "md_lines": lambda s, d: chunker.lines(md_docs(s, d)).select("path", "pos", F.length("line").alias("line_length"), "is_fence", "in_code", F.coalesce("level", F.lit(0)).alias("level")),
     "md_headings": _headings,
     "md_parents": lambda s, d: chunker.outline(md_docs(s, d), MAX_TOKENS).select("path", "pos", F.array_join("parents", " > ").alias("parents"), "is_split", "tokens"),
@@ -193,10 +326,11 @@ QUERIES = {
     "embed_documents": _embedded,
     "rerank_scores": lambda s, d: fusion.reranked(models.LexicalScorer().score(_pairs(s, d)), 2).select("qid", "chunk_id", "rerank_score", "rank"),
     "score_pair": lambda s, d: models.LexicalScorer().score(_pairs(s, d)).select("qid", "chunk_id", "rerank_score"),
-    "table_stats": lambda s, d: corpus(s, d).agg(F.count(F.lit(1)).alias("chunks")),
+    "table_stats": lambda s, d: texts(s, d).agg(F.count(F.lit(1)).alias("chunks")),
 }
 
 _CORPUS = "corpus AS (SELECT doc_id AS chunk_id, text, lang AS domain, source AS concept, embedding AS dense_vector FROM documents JOIN embeddings ON doc_id = vec_id)"
+_TEXTS = "corpus AS (SELECT doc_id AS chunk_id, text, lang AS domain, source AS concept FROM documents)"
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 _POSTINGS = f"postings AS (SELECT chunk_id, token, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT chunk_id, unnest({_WORDS.format('text')}) AS token FROM corpus) GROUP BY ALL)"
 _IDF = "idf AS (SELECT token, count(*) AS df, ln(CAST((SELECT count(DISTINCT chunk_id) FROM corpus) + 1 AS DOUBLE) / (count(*) + 1)) + 1 AS idf FROM postings GROUP BY token)"
@@ -245,7 +379,10 @@ def _searched_sql(where: str) -> str:
 
 
 _TOP = "SELECT qid, chunk_id, rrf AS score, rank FROM best WHERE rank <= {}"
-_ANCHOR = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_STRIPPED_TEXT = f"regexp_replace(text, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+_ANCHOR = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(STRIPPED, '[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}-]', '', 'g'), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+_ANCHOR = _ANCHOR.replace("STRIPPED", r"regexp_replace(lower({}), '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')")
 _SIM = "list_sum(list_transform(range(0, 4), lambda i: list_max(list_transform(range(0, 4), lambda j: list_sum(list_transform(range(1, 17), lambda k: CAST(q.dense[i * 16 + k] AS DOUBLE) * CAST(c.dense_vector[j * 16 + k] AS DOUBLE))))))) / 4"
 _SNAPSHOTS = "old AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '~' ELSE text END) AS content_hash FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS content_hash FROM documents WHERE doc_id % 10 <> 1)"
 _DIFF = "diff AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'created' WHEN n.id IS NULL THEN 'deleted' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'updated' END AS change FROM old o FULL JOIN new n ON o.id = n.id)"
@@ -294,20 +431,42 @@ _FIRST = "SELECT conv_id AS qid, CASE WHEN coalesce(context, '') = '' THEN text
 _NAME = "SELECT item_id AS qid, '{} ' || string_split(text, ' ')[1] AS text FROM benchmark"
 _NEAR3 = f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(3)}, pairs AS (SELECT n.qid, n.chunk_id, {_share('q.text', 'c.text')} AS rerank_score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id))"
 
+_LAST = "QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1"
+_CHUNKS_TEXT = _CHUNKS.replace("sha256(text) AS content_hash, pos", "sha256(text) AS content_hash, text, pos")
+_NEXT = _CHUNKS_TEXT.replace("FROM documents", "FROM documents WHERE lang <> 'fr'").replace("chr(10)) AS content\n", "chr(10)) || CASE WHEN lang = 'de' THEN chr(10) || '## Nachtrag' || chr(10) || 'neu' ELSE '' END AS content\n")
+_BEFORE_AFTER = f"o AS (WITH {_CHUNKS_TEXT} SELECT id, content_hash FROM chunks {_LAST}), n AS (WITH {_NEXT} SELECT id, file_path, content_hash, text FROM chunks {_LAST})"
+_CHUNK_WORDS = f"SELECT id, unnest({_WORDS.format('text')}) AS token FROM n"
+
 ORACLES = {
+    "ingest_full": f"WITH {_CHUNKS} SELECT * EXCLUDE (pos), 8 AS dim, true AS stamped FROM chunks {_LAST}",
+    "ingest_incremental": f"WITH {_BEFORE_AFTER} SELECT (SELECT count(DISTINCT file_path) FROM n) AS documents_processed, count(*) FILTER (WHERE o.id IS NULL) AS chunks_created, count(*) FILTER (WHERE o.content_hash <> n.content_hash) AS chunks_updated, count(*) FILTER (WHERE n.id IS NULL) AS chunks_deleted FROM o FULL JOIN n ON o.id = n.id",
+    "stored_ids": f"WITH {_BEFORE_AFTER} SELECT id FROM n",
+    "stored_postings": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id, token, CAST(count(*) AS DOUBLE) AS weight FROM ({_CHUNK_WORDS}) GROUP BY ALL",
+    "stored_vectors": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n_vecs FROM n",
+    "stored_indexed": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id FROM n",
+    "stored_reset": "SELECT CAST(0 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS postings, CAST(0 AS BIGINT) AS vectors",
+    "scan_documents": f"SELECT lang || '/' || doc_id || '.md' AS name, lang AS domain, source AS concept, '1.1' AS version, sha256({_STRIPPED_TEXT}) AS content_hash FROM documents UNION ALL SELECT 'a/00_overview.md', '', '', '', sha256('## Over' || chr(10) || 'view')",
+    "domain_overview": "SELECT * FROM (VALUES ('a', '/a/', '## Over' || chr(10) || 'view'), ('b', '', NULL), ('c', NULL, NULL)) AS t(name, path, overview)",
+    "embed_with_model": "SELECT doc_id, CAST(length(text) AS DOUBLE) AS dense, CAST(length(text) AS DOUBLE) AS weight, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_vecs, CAST(length(replace(text, ' ', '')) AS DOUBLE) AS letters FROM documents",
+    "score_with_model": f"{_NEAR3.partition(', pairs AS')[0]} SELECT n.qid, n.chunk_id, round(CAST(length(q.text) AS DOUBLE) / (1 + length(c.text)), 9) AS rerank_score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id)",
+    "sparse_remove": f"WITH {_TEXTS}, {_POSTINGS} SELECT p.* FROM postings p JOIN corpus USING (chunk_id) WHERE domain <> 'fr'",
+    "sparse_replace": f"WITH {_TEXTS.replace(' text, lang', chr(32) + 'CASE WHEN lang = ' + chr(39) + 'de' + chr(39) + ' THEN text || ' + chr(39) + ' neu neu' + chr(39) + ' ELSE text END AS text, lang')}, {_POSTINGS} SELECT * FROM postings",
+    "token_strings": "SELECT vec_id, CAST(label * 3 AS BIGINT) AS token_id, n_name AS token FROM embeddings LEFT JOIN nation ON n_nationkey = label * 3",
+    "sigmoid_scores": "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 9) AS score FROM embeddings",
+    "embed_documents": f"SELECT doc_id, 16 AS dim, CAST(len(list_distinct({_WORDS.format('text')})) AS INTEGER) AS n_tokens, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n_vecs FROM documents",
     "hybrid_rrf": f"{_hybrid_sql(_BENCH, _EN)} {_TOP.format(10)}",
     "dense_topk": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(50)} SELECT * FROM near",
     "dense_topk_filtered": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(10, _EN_SRC0)} SELECT * FROM near",
-    "sparse_topk": f"WITH {_CORPUS}, {_POSTINGS}, {_IDF}, {_queries_sql(_BENCH)}, {_sparse_sql(50)} SELECT * FROM hits",
-    "idf_scores": f"WITH {_CORPUS}, {_POSTINGS}, {_IDF} SELECT token, df, round(idf, 9) AS idf FROM idf",
-    "doc_freq": f"WITH {_CORPUS}, {_POSTINGS} SELECT token, count(*) AS df FROM postings GROUP BY token",
-    "total_docs": f"WITH {_CORPUS} SELECT count(DISTINCT chunk_id) AS n FROM corpus",
+    "sparse_topk": f"WITH {_TEXTS}, {_POSTINGS}, {_IDF}, {_queries_sql(_BENCH)}, {_sparse_sql(50)} SELECT * FROM hits",
+    "idf_scores": f"WITH {_TEXTS}, {_POSTINGS}, {_IDF} SELECT token, df, round(idf, 9) AS idf FROM idf",
+    "doc_freq": f"WITH {_TEXTS}, {_POSTINGS} SELECT token, count(*) AS df FROM postings GROUP BY token",
+    "total_docs": f"WITH {_TEXTS} SELECT count(DISTINCT chunk_id) AS n FROM corpus",
     "rrf_fusion": f"{_hybrid_sql(_BENCH)} SELECT qid, chunk_id, rrf, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank, rank FROM best",
     "gather_results": f"{_hybrid_sql(_BENCH)} SELECT qid, rank, chunk_id, rrf AS score, sha256(text) AS text_hash, domain FROM best JOIN corpus USING (chunk_id) WHERE rank <= 3",
     "token_estimate": "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS BIGINT) AS token_count FROM documents",
-    "anchor_slug": f"SELECT doc_id, {_ANCHOR.format('substr(text, 1, 40)')} AS anchor FROM documents",
+    "anchor_slug": f"SELECT doc_id, {_ANCHOR.format('text')} AS anchor FROM documents",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
-    "chunk_id": f"SELECT doc_id, source || '#' || {_ANCHOR.format('substr(text, 1, 40)')} AS id FROM documents",
+    "chunk_id": f"SELECT doc_id, source || '#' || {_ANCHOR.format('text')} AS id FROM documents",
     "md_lines": f"WITH {_LINES} SELECT path, pos, length(line) AS line_length, is_fence, in_code, coalesce(level, 0) AS level FROM lines",
     "md_headings": f"WITH {_SECTIONS} SELECT path, pos, level, heading, length(body) AS body_length FROM sections",
     "md_parents": f"WITH {_TREES} SELECT path, pos, parents, is_split, CAST(tokens AS BIGINT) AS tokens FROM placed",
@@ -318,8 +477,8 @@ ORACLES = {
     "delete_chunks": f"WITH {_SNAPSHOTS} SELECT id, content_hash FROM old WHERE id IN (SELECT id FROM new)",
     "existing_ids": f"WITH {_SNAPSHOTS} SELECT DISTINCT id FROM old",
     "documents_processed": f"WITH {_CHUNKS} SELECT count(DISTINCT file_path) AS documents_processed FROM chunks",
-    "maxsim_score": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(20)} SELECT q.qid, c.chunk_id, round({_SIM}, 6) AS score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id) WHERE c.chunk_id % 3 <> 0",
-    "colbert_rerank": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(10)}, scored AS (SELECT q.qid, c.chunk_id, n.rank AS old_rank, CASE WHEN c.chunk_id % 3 <> 0 THEN round({_SIM}, 6) END AS score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id)), kept AS (SELECT * FROM scored s WHERE score IS NOT NULL OR NOT EXISTS (SELECT 1 FROM scored t WHERE t.qid = s.qid AND t.score IS NOT NULL)) SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN old_rank END, chunk_id) AS rank FROM kept",
+    "maxsim_score": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(20)} SELECT q.qid, c.chunk_id, round({_SIM}, 6) AS score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id)",
+    "colbert_rerank": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(10)}, scored AS (SELECT q.qid, c.chunk_id, n.rank AS old_rank, round({_SIM}, 6) AS score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id)), kept AS (SELECT * FROM scored s WHERE score IS NOT NULL OR NOT EXISTS (SELECT 1 FROM scored t WHERE t.qid = s.qid AND t.score IS NOT NULL)) SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN old_rank END, chunk_id) AS rank FROM kept",
     "search_documentation": _searched_sql("domain = 'en'"),
     "search_code_examples": _searched_sql("true"),
     "get_section": f"WITH {_CORPUS} SELECT chunk_id, text, domain, concept FROM corpus WHERE chunk_id = 7",
@@ -330,5 +489,5 @@ ORACLES = {
     "list_domains": "SELECT * FROM (VALUES ('a', '/a/'), ('b', '')) AS t(name, path)",
     "rerank_scores": f"{_NEAR3} SELECT * FROM (SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 2",
     "score_pair": f"{_NEAR3} SELECT * FROM pairs",
-    "table_stats": f"WITH {_CORPUS} SELECT count(*) AS chunks FROM corpus",
+    "table_stats": f"WITH {_TEXTS} SELECT count(*) AS chunks FROM corpus",
 }
