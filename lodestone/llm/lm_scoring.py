@@ -133,7 +133,7 @@ class _Grams:
         return asked, [(np.searchsorted(s, asked, side="left"), np.searchsorted(s, asked, side="right")) for s in self.shard]
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
-        """(shard, nodes): for each shard its nodes' keys, training counts and, below level 1, parents."""
+        """(shard, nodes): for each shard its nodes' keys, training counts and, below level 1, parents, compressed."""
         asked, cuts = self.slices()
         for i, shard in enumerate(asked.tolist()):
             body = []
@@ -144,7 +144,7 @@ class _Grams:
                 if k:
                     up = int(cuts[k - 1][0][i])
                     body.append(_narrow(np.bincount(self.parents[k - 1][a:b] - up, minlength=int(cuts[k - 1][1][i]) - up)))
-            yield shard, b"".join(body)
+            yield shard, zstandard.compress(b"".join(body), 3)
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -153,15 +153,23 @@ def _narrow(values: np.ndarray) -> bytes:
     return struct.pack("<BQ", width, len(values)) + values.astype(f"<u{width}").tobytes()
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """16-bit codes as their low bytes, then their high ones, which are much alike and so compress."""
+    return np.ascontiguousarray(codes.astype("<u2").view("u1").reshape(-1, 2).T).tobytes()
+
+
 class _Reader:
-    def __init__(self, raw: bytes) -> None:
-        self.raw, self.at = raw, 0
+    def __init__(self, packed: bytes) -> None:
+        self.raw, self.at = zstandard.decompress(packed), 0
 
     def take(self, kind: str, n: int) -> np.ndarray:
         out = np.frombuffer(self.raw, kind, n, self.at)
         self.at += out.nbytes
         return out
 
+    def codes(self, n: int) -> np.ndarray:
+        return np.ascontiguousarray(self.take("u1", 2 * n).reshape(2, n).T).view("<u2").ravel()
+
     def narrow(self) -> np.ndarray:
         width, n = struct.unpack_from("<BQ", self.raw, self.at)
         self.at += 9
@@ -229,10 +237,10 @@ def _answers(raws: list[bytes], order: int, weight: float) -> tuple[list[bytes],
             share[~known] = 65535
         total, where, sizes = found_in[k]
         for i, part in enumerate(np.split(where, np.cumsum(sizes)[:-1])):
-            outs[i] += [share[part].tobytes(), rest[part].tobytes()] if k + 1 < order else [share[part].tobytes()]
+            outs[i] += [_planes(share[part]), _planes(rest[part])] if k + 1 < order else [_planes(share[part])]
             if k == 0:
                 outs[i].append(_narrow(total[part]))
-    return [b"".join(x) for x in outs], trie
+    return [zstandard.compress(b"".join(x), 3) for x in outs], trie
 
 
 def _scores(grams: _Grams, replies: list[bytes], tokens: np.ndarray, lengths: np.ndarray, order: int, total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,9 +253,9 @@ def _scores(grams: _Grams, replies: list[bytes], tokens: np.ndarray, lengths: np
         r = _Reader(raw)
         for k in range(order):
             n = int(cuts[k][1][i] - cuts[k][0][i])
-            share[k].append(r.take("<u2", n))
+            share[k].append(r.codes(n))
             if k + 1 < order:
-                rest[k].append(r.take("<u2", n))
+                rest[k].append(r.codes(n))
             if k == 0:
                 counts.append(r.narrow())
     count = np.concatenate(counts)

@@ -187,6 +187,14 @@ def _cores(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n").join(lonely, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core"))
 
 
+def _with_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows (key, node, ...) joined with their bucket's columns; those of a hot bucket (key, copies) meet copies of them."""
+    copy = F.expr("CAST(pmod(xxhash64(node), coalesce(copies, 1)) AS int)")
+    dealt = rows.join(hot, "key", "left").withColumn("copy", copy).drop("copies")
+    copied = buckets.join(hot, "key", "left").withColumn("copy", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
+    return dealt.join(copied, ["key", "copy"]).drop("copy")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, n1, n2 and inside (shingles that both full sets have) of the pairs (a, b), staged.
 
@@ -211,7 +219,7 @@ def _confirmed(overlaps: DataFrame, spec: Spec) -> DataFrame:
     return overlaps.where(_similar(spec, F.col("inside"), F.col("n1"), F.col("n2"))).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, spec: Spec) -> DataFrame:
+def _cross_pairs(members: DataFrame, spec: Spec, hot: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that may be similar; compared in blocks, each pair of blocks
     in a task of its own, so that no task holds a whole bucket. A pair comes from the first band that its nodes share.
 
@@ -220,7 +228,8 @@ def _cross_pairs(members: DataFrame, spec: Spec) -> DataFrame:
     outside of it; that, the estimate and the sizes decide what is worth a look at the full sets.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    dealt = members.join(sizes.select("key", F.expr(f"CAST(ceil(members / {BLOCK}) AS int)").alias("blocks")), "key").withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
+    blocks = sizes.select("key", F.expr(f"CAST(ceil(members / {BLOCK}) AS int)").alias("blocks"))
+    dealt = _with_bucket(members, blocks, hot).withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
     paired = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label", "n", "core", "inside", "band", *[f"s{k}" for k in range(WORDS)], "bands")
     ordered = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     need = MINIMA - least_matches(spec.percent)
@@ -273,8 +282,11 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
     nodes = staged(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "dedup-nodes")
     first = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands")
     each = first.select("node", F.posexplode("bands").alias("band", "key"))
-    full = each.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    shared = staged(each.join(full, "key"), "dedup-buckets")
+    full = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "dedup-full")
+    crowded = staged(full.where(F.col("members") > SPOKES).select("key", F.expr(f"CAST(ceil(members / {SPOKES}) AS int)").alias("copies")), "dedup-crowded")
+    hot = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    shared = staged(_with_bucket(each, full.select("key"), hot), "dedup-buckets")
+    dropped(full)
     wanted = staged(nodes.join(shared.select("node").distinct(), "node"), "dedup-wanted")
     sets = _sets(df, wanted, spec, id_col, text_col)
     signatures = signed.select(F.col("row").alias("node"), *sig)
@@ -284,7 +296,7 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
 
     # First every member against its bucket's most shared node: one pair a member links nearly all of a large group.
     star = members.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("core")).cast("double") / F.col("n"), F.col("node"))).alias("best")).select("key", F.col("best.node").alias("b"))
-    spokes = members.select("key", F.col("node").alias("a")).join(star, "key").where("a <> b").select("a", "b").distinct()
+    spokes = _with_bucket(members.select("key", "node"), star, hot).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     ends = spokes.join(about.alias("x"), F.col("a") == F.col("x.node")).join(about.alias("y"), F.col("b") == F.col("y.node"))
     overlaps = _overlaps(ends.where(_possible(spec, "x", "y") & _near(spec, "x", "y")).select("a", "b"), sets)
     links = _confirmed(overlaps, spec)
@@ -293,9 +305,9 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     shares = overlaps.select(F.col("a").alias("node"), "b", "inside")
-    starred = labelled.join(apart, "key").join(star, "key").join(shares, ["node", "b"], "left").withColumn("inside", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.coalesce("inside", F.lit(-1))))
+    starred = _with_bucket(labelled, star.join(apart, "key"), hot).join(shares, ["node", "b"], "left").withColumn("inside", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.coalesce("inside", F.lit(-1))))
     known = starred.drop("b").join(signed.select(F.col("row").alias("node"), "bands"), "node")
-    extra = _overlaps(_cross_pairs(known, spec), sets)
+    extra = _overlaps(_cross_pairs(known, spec, hot), sets)
     more = _confirmed(extra, spec)
     old_labels = []
     if more.limit(1).count():
@@ -306,7 +318,7 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
     rows = signed.select("row", "doc_id", "text_hash", "h1", "h2", "n").join(of, ["h1", "h2"], "left")
     out = rows.select("row", "doc_id", "text_hash", "n", F.coalesce("label", "row").alias("component"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     result = staged(out, "dedup-result")
-    dropped(signed, nodes, shared, wanted, sets, about, members, overlaps, extra, *old_labels, labels)
+    dropped(signed, nodes, crowded, shared, wanted, sets, about, members, overlaps, extra, *old_labels, labels)
     return result
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import _common, near_dedup
 
+from .test_brute_force import brute_components
+
 
 def test_overlaps_of_one_star(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SPOKES", 64)
@@ -18,6 +20,24 @@ def test_overlaps_of_one_star(spark, monkeypatch):
     assert {(r.a, r.b): (r.n1, r.n2, r.inside) for r in got.collect()} == want
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """One bucket with more members than SPOKES gives the same components."""
+    monkeypatch.setattr(near_dedup, "SPOKES", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        for k in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+            words[k] = f"n{rng.integers(10**6)}"
+        texts[i] = " ".join(words)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    spec = near_dedup.Spec(3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table, spec).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
 def test_shares_of_a_star(spark, monkeypatch):
     """100,000 spokes: no copy of the star's set meets more than about SPOKES of them."""
     pairs = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
