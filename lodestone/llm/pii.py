@@ -16,8 +16,9 @@ FIRST_DAY, DAYS, TAIL = "1900-01-01", (250, 292), (7, 7)
 _LOW, _HIGH = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
 #: Candidates by kind, tried in this order at each place of a text; a candidate that isn't valid stays as it is. Those
 #: for cards may be shorter, by whole groups of digits: the longest that is valid counts, none hides what lies in it.
+#: A domain's labels are matched possessively, as a loop: one that may give labels back takes a stack frame for each.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "ipv6": r"(?<![A-Za-z0-9:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![A-Za-z0-9:]|\.[0-9])",
     "iban": _LOW + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _HIGH,

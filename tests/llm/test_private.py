@@ -48,3 +48,11 @@ def test_phones_outside_the_plan(spark):
     assert len(set(new)) == len(set(low)) and all(f"call {a}." != b for a, b in zip(low, new))
     for a, b in zip(low, new):
         assert re.fullmatch(r"call \+1 \([01]\d\d\) \d{3}-\d{4}\." if "(" in a else r"call \+1 [2-9]\d\d\.[01]\d\d\.\d{4}\.", b)
+
+
+def test_long_domains(spark):
+    """A mail address may have any number of domain labels; none takes a stack frame for each."""
+    long = "ann.lee@" + "a." * 100_000 + "com"
+    (new,) = replaced(spark, [f"write {long}, then"])
+    assert re.fullmatch(r"write [a-z]{3}\.[a-z]{3}@(?:a\.){100000}com, then", new) and "ann.lee@" not in new
+    assert replaced(spark, ["a@" + "b." * 50_000 + "."])[0].startswith("a@b.") is False
