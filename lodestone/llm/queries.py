@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, token_files
+from . import decontamination, lm_scoring, near_dedup, packing, periodic_runs, pii, quality_rules, secret_scan, sharding, token_counts, token_files
+from ._common import SPACE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "text", "n_replaced", *kinds)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's documents, of which some ten in a hundred repeat a part of themselves, through the operator."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("crc32(CAST(CAST(doc_id AS string) AS binary))").alias("h"))
+    # Only those texts are parted into words here, as no other has h, g, n, a or p to compute.
+    words = docs.withColumn("w", F.when(F.expr("h % 10 = 0"), F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")))
+    sized = words.withColumn("n", F.size("w").cast("long")).withColumn("a", F.expr("IF(n > 0, h div 10 % n, 0L)")).withColumn("p", F.expr("1 + (n - a) div (3 + h div 10 % 8)"))
+    repeated = "array_join(transform(sequence(0L, n - 1), i -> w[CAST(IF(i < a, i, a + (i - a) % p) AS int)]), ' ')"
+    found = periodic_runs.periodic_runs(sized.select("doc_id", F.expr(f"IF(w IS NOT NULL AND n > 0, {repeated}, text)").alias("text")))
+    best = found.withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS back, -r.period AS least)))"))
+    return best.select(
+        "doc_id", F.expr("CAST(size(runs) AS bigint)").alias("n_runs"), F.expr("-best.back").alias("start"), F.expr("best.length").alias("length"), F.expr("-best.least").alias("period"),
+        F.expr("1000 * best.length div -best.least").alias("exponent_milli"),
+        F.expr("sha2(array_join(transform(runs, r -> concat(concat_ws(',', r.start, r.length, r.period), chr(10))), ''), 256)").alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 #: A deployment passes its own secret; this one makes the queries repeatable.
 PII_KEY = "lodestone-demo-key"
 
@@ -129,6 +147,36 @@ WITH RECURSIVE parsed AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN components USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) AS h
+  FROM documents
+), sized AS (
+  SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM texts
+), planted AS (
+  SELECT rid, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM sized
+), placed AS (
+  SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM planted
+), apart AS (
+  SELECT x.rid, x.i, y.i - x.i AS q FROM placed x JOIN placed y ON x.rid = y.rid AND x.word = y.word AND x.i < y.i
+), islands AS (
+  SELECT rid, q, min(i) AS s, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM apart) GROUP BY rid, q, island HAVING count(*) >= q AND count(*) + q >= 12
+), runs AS (
+  SELECT rid, s, m + q AS length, min(q) AS q FROM (SELECT rid, s, m, q FROM islands) GROUP BY rid, s, m + q
+), told AS (
+  SELECT rid, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS told FROM runs GROUP BY rid
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length DESC, s, q) = 1
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM placed p WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.rid = p.rid AND p.i >= r.s + r.q AND p.i < r.s + r.length) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * length // q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM planted LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 QUERIES = {
     "op1_elias_fano_lm": op1,
     "op2_secret_worklist": op2,
@@ -140,5 +188,6 @@ QUERIES = {
     "op8_power_of_two_packing": op8,
     "op9_simple8b_files": op9,
     "op10_feistel_pseudonyms": op10,
+    "op12_harmonic_runs": op12,
 }
-ORACLES = {"op5_bbit_minhash": OP5_SQL, "op7_rule_bitmask_ledger": OP7_SQL}
+ORACLES = {"op5_bbit_minhash": OP5_SQL, "op7_rule_bitmask_ledger": OP7_SQL, "op12_harmonic_runs": OP12_SQL}

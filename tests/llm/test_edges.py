@@ -4,14 +4,14 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, lm_scoring, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, token_files
+from lodestone.llm import decontamination, lm_scoring, near_dedup, packing, periodic_runs, pii, quality_rules, secret_scan, sharding, token_counts, token_files
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ROWS = [
     (1, "The cat sat on the mat. " * 30, "en", "a"), (1, "The cat sat on the mat. " * 30, "en", "a"), (2, None, None, None), (3, "", "en", ""), (None, "short", "en", "a"),
     (None, None, None, None), (4, "x" * 300_000, "en", "b"), (5, " \n\t\x0b\x0c\r ", "en", "b"), (6, "Ünïcödé \U0001f642 \x00 text " * 20, "de", "c"), (-7, "word " * 40_000, "en", "a"), (8, "\x85\xa0  ", "en", "a"),
 ]
-CLASHES = ["n_tokens", "row", "key", "node", "label", "text_hash", "words", "hashes", "_row", "_at", "_key", "shard", "batch", "held", "new", "place", "d0", "c0", "part", "fail_bits", "hits"]
+CLASHES = ["n_tokens", "row", "key", "node", "label", "text_hash", "words", "hashes", "_row", "_at", "_key", "shard", "batch", "held", "new", "place", "d0", "c0", "part", "fail_bits", "hits", "runs", "collapsed", "w", "n", "a", "p", "h"]
 #: Each operator as (function of a table, whether it returns a row for each row).
 OPERATORS = {
     "lm": (lambda d: lm_scoring.score(d, F.expr("doc_id % 2 = 0")), True),
@@ -26,6 +26,7 @@ OPERATORS = {
     "kept": (lambda d: quality_rules.kept_rows(d, "base-1"), False),
     "pack": (lambda d: packing.pack(d, BPE), False),
     "files": (lambda d: token_files.read_token_files(token_files.write_token_files(d, BPE)), True),
+    "runs": (periodic_runs.periodic_runs, True),
     "pii": (lambda d: pii.pseudonymise(d, "k"), True),
     "pii_rows": (lambda d: pii.pseudonymised_rows(d, "k"), True),
 }
