@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, near_dedup, packing, periodic_runs, pii, quality_rules, secret_scan, sharding, token_counts, token_files
+from . import decontamination, lm_scoring, main_text, near_dedup, packing, periodic_runs, pii, quality_rules, secret_scan, sharding, token_counts, token_files
 from ._common import SPACE
 
 
@@ -76,6 +76,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "text", "n_replaced", *kinds)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's documents, of which some ten in a hundred repeat a part of themselves, through the operator."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("crc32(CAST(CAST(doc_id AS string) AS binary))").alias("h"))
@@ -188,6 +192,7 @@ QUERIES = {
     "op8_power_of_two_packing": op8,
     "op9_simple8b_files": op9,
     "op10_feistel_pseudonyms": op10,
+    "op11_recurrent_labeller": op11,
     "op12_harmonic_runs": op12,
 }
 ORACLES = {"op5_bbit_minhash": OP5_SQL, "op7_rule_bitmask_ledger": OP7_SQL, "op12_harmonic_runs": OP12_SQL}
