@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -24,11 +24,17 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _document_count(documents: DataFrame) -> DataFrame:
+    return documents.select("chunk_id").distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+def _idf() -> Column:
+    return F.log((F.col("n") + 1).cast("double") / (F.col("df") + 1)) + 1
+
+
 def idf_scores(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """token, df and idf = ln((N + 1) / (df + 1)) + 1; N counts the indexed documents, those without postings too."""
-    n = documents.select("chunk_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    scored = document_frequency(postings).crossJoin(F.broadcast(n))
-    return scored.select("token", "df", (F.log((F.col("n") + 1).cast("double") / (F.col("df") + 1)) + 1).alias("idf"))
+    return document_frequency(postings).crossJoin(F.broadcast(_document_count(documents))).select("token", "df", _idf().alias("idf"))
 
 
 def search_sparse(postings: DataFrame, idf: DataFrame, queries: DataFrame, top_k: int, chunks: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
@@ -60,3 +66,21 @@ def without(postings: DataFrame, removed: DataFrame) -> DataFrame:
 def replaced(postings: DataFrame, fresh: DataFrame, fresh_ids: DataFrame) -> DataFrame:
     """The postings after delete and insert of the fresh chunks; one without any token leaves no posting."""
     return without(postings, fresh_ids).unionByName(fresh)
+
+
+def token_bucket(token: Column, buckets: int) -> Column:
+    """Which of the buckets holds a token's postings; stored postings are partitioned by it, so that a reader of few
+    tokens opens few of their folders."""
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def frequency_changes(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """token and change: by how much postings (chunk_id, token) that come and go change each document frequency."""
+    counts = [rows.groupBy("token").agg((F.count(F.lit(1)) * sign).alias("change")) for rows, sign in ((added, 1), (removed, -1))]
+    return counts[0].unionByName(counts[1]).groupBy("token").agg(F.sum("change").alias("change")).where("change <> 0")
+
+
+def idf_of_changes(changes: DataFrame, documents: DataFrame) -> DataFrame:
+    """token, df and idf as `idf_scores`, from all changes of the document frequencies (token, change): no posting is read."""
+    counted = changes.groupBy("token").agg(F.sum("change").alias("df")).where("df > 0")
+    return counted.crossJoin(F.broadcast(_document_count(documents))).select("token", "df", _idf().alias("idf"))

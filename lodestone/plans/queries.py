@@ -437,7 +437,24 @@ _NEXT = _CHUNKS_TEXT.replace("FROM documents", "FROM documents WHERE lang <> 'fr
 _BEFORE_AFTER = f"o AS (WITH {_CHUNKS_TEXT} SELECT id, content_hash FROM chunks {_LAST}), n AS (WITH {_NEXT} SELECT id, file_path, content_hash, text FROM chunks {_LAST})"
 _CHUNK_WORDS = f"SELECT id, unnest({_WORDS.format('text')}) AS token FROM n"
 
+# Sentences end at [.!?] before white space; they are packed as long as a run fits.
+_FITS = f"length({{}}) // 4 <= {MAX_TOKENS}"
+SPLIT_SQL = rf"""
+paragraphs AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '^{_SPACES}+|{_SPACES}+$', '', 'g')), lambda p: p <> '') AS ps FROM documents
+), packed AS (
+  SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN {_FITS.format('p')} THEN [p] ELSE list_transform([list_reduce(
+    list_transform(string_split(regexp_replace(p, '([.!?])[\s\x0b\x{{85}}\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda s: {{'done': CAST([] AS VARCHAR[]), 'open': s}}),
+    lambda a, x: CASE WHEN a.open = '' AND {_FITS.format('x.open')} OR a.open <> '' AND {_FITS.format("(a.open || ' ' || x.open)")} THEN {{'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || ' ' || x.open END}}
+      WHEN {_FITS.format('x.open')} THEN {{'done': list_append(a.done, a.open), 'open': x.open}}
+      ELSE {{'done': list_append(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, x.open), 'open': ''}} END)],
+    lambda a: CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END)[1] END)) AS parts FROM paragraphs
+), split AS (
+  SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part_no, unnest(parts) AS part FROM packed
+)"""
+
 ORACLES = {
+    "split_paragraphs": f"WITH {SPLIT_SQL} SELECT doc_id, part_no, CAST(greatest(1, length(part) // 4) AS BIGINT) AS tokens, sha256(part) AS content_hash FROM split",
     "ingest_full": f"WITH {_CHUNKS} SELECT * EXCLUDE (pos), 8 AS dim, true AS stamped FROM chunks {_LAST}",
     "ingest_incremental": f"WITH {_BEFORE_AFTER} SELECT (SELECT count(DISTINCT file_path) FROM n) AS documents_processed, count(*) FILTER (WHERE o.id IS NULL) AS chunks_created, count(*) FILTER (WHERE o.content_hash <> n.content_hash) AS chunks_updated, count(*) FILTER (WHERE n.id IS NULL) AS chunks_deleted FROM o FULL JOIN n ON o.id = n.id",
     "stored_ids": f"WITH {_BEFORE_AFTER} SELECT id FROM n",

@@ -1,0 +1,106 @@
+"""The incremental index over growing copies of input against an index of all of it at once."""
+
+import json
+import re
+import subprocess
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+from jobs.common import settings_of
+from jobs.index_documents import DEFAULTS, Index, update_index
+from lodestone.operators.sparse import idf_scores, word_postings
+
+DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
+
+
+def whole(docs):
+    """The index of the documents (doc_id, text), recounted."""
+    chunks = docs.withColumnRenamed("doc_id", "chunk_id")
+    words = word_postings(chunks)
+    return rows(words.join(idf_scores(words, chunks), "token").select("chunk_id", "token", "weight", "df", "idf"))
+
+
+def rows(df):
+    return sorted((r.chunk_id, r.token, r.weight, r.df, round(r.idf, 9)) for r in df.collect())
+
+
+@pytest.fixture()
+def folders(tmp_path):
+    return str(tmp_path / "documents.parquet"), str(tmp_path / "index"), str(tmp_path / "checkpoint")
+
+
+def test_growing_input(spark, folders):
+    source, target, checkpoint = folders
+    docs = spark.read.parquet(DOCUMENTS).select("doc_id", "text", "lang")
+    docs.where("doc_id % 3 < 2").repartition(3).write.parquet(source)
+    first = update_index(spark, source, target, checkpoint, {"max_files_per_batch": 2})
+    assert first["batches"] == 2 and first["read"] == first["indexed"] == docs.where("doc_id % 3 < 2").count() and not first["replaced"]
+    before = rows(Index(spark, target).scored())
+    assert before == whole(docs.where("doc_id % 3 < 2"))
+
+    # Nothing new: nothing is read or written.
+    assert update_index(spark, source, target, checkpoint)["batches"] == 0
+    assert rows(Index(spark, target).scored()) == before
+
+    # New documents, changed ones, and some that come again as they were.
+    changed = docs.where("doc_id % 6 = 1").withColumn("text", F.concat(F.lit("fresh words of "), "text"))
+    again = docs.where("doc_id % 6 = 0")
+    docs.where("doc_id % 3 = 2").unionByName(changed).unionByName(again).coalesce(1).write.mode("append").parquet(source)
+    second = update_index(spark, source, target, checkpoint)
+    assert second["read"] == docs.where("doc_id % 3 = 2 OR doc_id % 6 < 2").count()
+    assert second["replaced"] == changed.count() and second["indexed"] == second["read"] - again.count()
+    now = docs.where("doc_id % 6 <> 1").unionByName(changed)
+    index = Index(spark, target)
+    assert rows(index.scored()) == whole(now)
+    few = index.postings(["fresh", "the"], DEFAULTS["buckets"])
+    assert sorted(map(tuple, few.collect())) == sorted((c, t, w) for c, t, w, _, _ in whole(now) if t in ("fresh", "the"))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", few._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_batch_that_is_run_again(spark, folders):
+    """A run that died after a batch's tables were written, before its checkpoint: the batch comes again, and changes nothing."""
+    source, target, checkpoint = folders
+    docs = spark.read.parquet(DOCUMENTS).select("doc_id", "text")
+    docs.coalesce(1).write.parquet(source)
+    update_index(spark, source, target, checkpoint)
+    changed = docs.where("doc_id < 50").withColumn("text", F.lit("all other words"))
+    changed.coalesce(1).write.mode("append").parquet(source)
+    update_index(spark, source, target, checkpoint)
+    want = rows(Index(spark, target).scored())
+    commit = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/1")
+    assert commit.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commit, False)
+    assert update_index(spark, source, target, checkpoint)["replaced"] == changed.count()
+    assert rows(Index(spark, target).scored()) == want == whole(docs.where("doc_id >= 50").unionByName(changed))
+
+
+def test_odd_rows(spark, folders):
+    """Nulls, empty texts, repeated ids, an empty file."""
+    source, target, checkpoint = folders
+    odd = [(1, None), (2, ""), (3, "same word"), (3, "same word"), (None, "nobody"), (4, "one"), (4, "two"), (5, " . ")]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(source)
+    assert update_index(spark, source, target, checkpoint).get("read", 0) == 0
+    spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+    counts = update_index(spark, source, target, checkpoint)
+    assert counts["nameless"] == 1 and counts["indexed"] == 5
+    index = Index(spark, target)
+    found = sorted((r.chunk_id, r.token) for r in index.postings().collect())
+    assert found[:2] == [(3, "same"), (3, "word")] and len(found) == 3 and found[2][0] == 4
+    assert index.current().count() == 5 and index.idf().where("token = 'same'").first().df == 1
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "settings.json"
+    path.write_text(json.dumps({"buckets": 4}))
+    assert settings_of(str(path), DEFAULTS) == {**DEFAULTS, "buckets": 4}
+    path.write_text(json.dumps({"bucket": 4}))
+    with pytest.raises(ValueError, match="bucket"):
+        settings_of(str(path), DEFAULTS)
+
+
+def test_command_line(tmp_path):
+    args = [DOCUMENTS, str(tmp_path / "index"), str(tmp_path / "checkpoint")]
+    done = subprocess.run([sys.executable, "-m", "jobs.index_documents", *args], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "'read': 200" in done.stderr and list((tmp_path / "index" / "postings").glob("batch=0/bucket=*"))
