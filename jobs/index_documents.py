@@ -3,129 +3,31 @@
     python -m jobs.index_documents SOURCE TARGET CHECKPOINT [--config FILE]
 
 SOURCE is a Parquet file or folder. Each run takes only files that the checkpoint hasn't seen, in micro-batches, and
-each micro-batch only documents that are new or have another text than before. Three tables lie under TARGET, each with
-a folder for each batch:
+each micro-batch only documents that are new or have another text than before. TARGET holds the tables of
+`lodestone.operators.index`: postings in buckets of tokens, and document frequencies that are kept by their changes, so
+that no run counts anew what an earlier one has counted. With `removed_column` in the settings, rows that are true there
+take their document out of the index.
 
-- ledger (doc_id, content_hash): what the batch indexed; a document's newest batch is its current one;
-- postings (chunk_id, token, weight), in buckets of tokens;
-- frequencies (token, change), in the same buckets: what the batch adds to and, for texts that it replaces, takes from
-  the document frequencies, so inverse document frequencies never need a recount of the postings.
-
-A batch reads only what earlier batches wrote and replaces only its own folders. One that is run again, after a failure
-or on a lost executor, writes the same rows to the same places. The ledger is written last; readers follow it, so they
-don't see a batch that is half written.
+A micro-batch has its own folders, which it replaces when it is run again, and reads only those of earlier ones. So a run
+that failed, or lost executors, is mended by the next one, and a run over an unchanged source writes nothing.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import command_line, log
-from lodestone.functions.text import content_hash
-from lodestone.operators.sparse import frequency_changes, idf_of_changes, token_bucket, word_postings
-
-DEFAULTS: dict[str, Any] = {"id_column": "doc_id", "text_column": "text", "buckets": 16, "files_per_bucket": 4, "max_files_per_batch": 64}
-#: Each table's columns but for its partitions; the id has the type of the source's.
-LEDGER = "doc_id {}, content_hash string, batch long"
-POSTINGS = "chunk_id {}, token string, weight double, batch long, bucket int"
-FREQUENCIES = "token string, change long, batch long, bucket int"
-
-
-class Index:
-    """The tables under a target folder, as their batches have left them."""
-
-    def __init__(self, spark: SparkSession, target: str, id_type: str = "bigint") -> None:
-        self.spark, self.target, self.id_type = spark, target.rstrip("/"), id_type
-
-    def create(self) -> None:
-        """Make the tables' folders where there are none, so that the first batch finds empty tables."""
-        for name, schema in (("ledger", LEDGER), ("postings", POSTINGS), ("frequencies", FREQUENCIES)):
-            self.spark.createDataFrame([], schema.format(self.id_type)).write.mode("ignore").partitionBy("batch").parquet(f"{self.target}/{name}")
-
-    def table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema.format(self.id_type)).parquet(f"{self.target}/{name}")
-
-    def ledger(self, before: int | None = None) -> DataFrame:
-        rows = self.table("ledger", LEDGER)
-        return rows if before is None else rows.where(F.col("batch") < before)
-
-    def current(self) -> DataFrame:
-        """doc_id, content_hash and batch of each document's newest version."""
-        return _newest(self.ledger())
+from lodestone.operators.index import PostingIndex
 
-    def postings(self, tokens: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-        """chunk_id, token and weight of the current documents; with tokens, of these alone, from their buckets' folders."""
-        rows = self.table("postings", POSTINGS)
-        if tokens is not None:
-            at = [r[0] for r in self.spark.createDataFrame([(t,) for t in tokens], "token string").select(token_bucket(F.col("token"), buckets)).distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(at) & F.col("token").isin(tokens))
-        mine = self.current().select(F.col("doc_id").alias("chunk_id"), "batch")
-        return rows.join(mine, ["chunk_id", "batch"], "left_semi").select("chunk_id", "token", "weight")
+DEFAULTS: dict[str, Any] = {"id_column": "doc_id", "text_column": "text", "removed_column": "", "buckets": 16, "files_per_bucket": 4, "max_files_per_batch": 64}
 
-    def idf(self) -> DataFrame:
-        """token, df and idf from the changes of all batches in the ledger."""
-        done = self.ledger().select("batch").distinct()
-        changes = self.table("frequencies", FREQUENCIES).join(done, "batch", "left_semi")
-        return idf_of_changes(changes, self.ledger().select(F.col("doc_id").alias("chunk_id")))
 
-    def scored(self) -> DataFrame:
-        """chunk_id, token, weight, df and idf of all current postings: the whole index."""
-        return self.postings().join(self.idf(), "token").select("chunk_id", "token", "weight", "df", "idf")
-
-
-def _newest(ledger: DataFrame) -> DataFrame:
-    last = ledger.groupBy("doc_id").agg(F.max(F.struct("batch", "content_hash")).alias("last"))
-    return last.select("doc_id", "last.content_hash", "last.batch")
-
-
-def _write(df: DataFrame, path: str, key: str, files: int = 0) -> int:
-    """Replace the folder by the rows, and return how many they are. With `files`, the rows of a bucket are dealt to so many
-    tasks by their key: a word that stands in all documents makes its bucket large, but no task."""
-    seen = Observation()
-    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    if files:
-        rows = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(files)))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    else:
-        rows.write.mode("overwrite").parquet(path)
-    return int(seen.get["rows"])
-
-
-def index_batch(index: Index, documents: DataFrame, batch: int, buckets: int, files: int = 4) -> dict[str, int]:
-    """Index the new and changed ones of the documents (doc_id, text) as one batch; what was read and written.
-
-    Of rows with one id in a batch the one of the greatest hash counts. A null text is an empty one: a document without
-    postings. Rows without an id are left out and counted.
-    """
-    read = Observation()
-    seen = documents.observe(read, F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nameless"))
-    hashed = seen.where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("content_hash", content_hash(F.col("text")))
-    once = hashed.groupBy("doc_id").agg(F.max_by("text", "content_hash").alias("text"), F.max("content_hash").alias("content_hash"))
-    earlier = index.ledger(before=batch)
-    known = _newest(earlier.join(once.select("doc_id"), "doc_id", "left_semi")).select("doc_id", F.col("content_hash").alias("old_hash"), F.col("batch").alias("old_batch"))
-    changed = once.join(known, "doc_id", "left").where(~F.col("content_hash").eqNullSafe(F.col("old_hash"))).persist()
-    try:
-        n_changed, n_replaced = changed.agg(F.count(F.lit(1)), F.count("old_batch")).first()
-        at = token_bucket(F.col("token"), buckets).alias("bucket")
-        fresh = word_postings(changed, "doc_id").select("*", at).persist()
-        stored = index.table("postings", POSTINGS).where(F.col("batch") < batch)
-        if n_replaced:
-            # Only the batches that hold a replaced text are read.
-            replaced = changed.where("old_batch IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), F.col("old_batch").alias("batch"))
-            gone = stored.join(replaced, ["chunk_id", "batch"], "left_semi")
-        else:
-            gone = stored.where("false")
-        path = f"{index.target}/{{}}/batch={batch}"
-        n_postings = _write(fresh, path.format("postings"), "chunk_id", files)
-        n_tokens = _write(frequency_changes(fresh, gone).select("*", at), path.format("frequencies"), "token", files)
-        _write(changed.select("doc_id", "content_hash"), path.format("ledger"), "doc_id")
-        fresh.unpersist()
-        return {"read": int(read.get["rows"]), "nameless": int(read.get["nameless"]), "indexed": n_changed, "replaced": n_replaced, "postings": n_postings, "tokens": n_tokens}
-    finally:
-        changed.unpersist()
+def open_index(spark: SparkSession, target: str, settings: dict[str, Any] | None = None, id_type: str = "bigint") -> PostingIndex:
+    s = {**DEFAULTS, **(settings or {})}
+    return PostingIndex(spark, target, id_type, s["buckets"], s["files_per_bucket"])
 
 
 def update_index(spark: SparkSession, source: str, target: str, checkpoint: str, settings: dict[str, Any] | None = None) -> dict[str, int]:
@@ -138,17 +40,17 @@ def update_index(spark: SparkSession, source: str, target: str, checkpoint: str,
     # As a pattern the path may be a file as well as a folder; a stream's plain path must be a folder.
     source = source.rstrip("/")
     pattern = f"{source[:-1]}[{source[-1]}]" if source[-1].isalnum() else source
-    columns = spark.read.parquet(source).select(F.col(s["id_column"]).alias("doc_id"), F.col(s["text_column"]).alias("text"))
-    id_type = columns.schema["doc_id"].dataType.simpleString()
-    schema = f"`{s['id_column']}` {id_type}, `{s['text_column']}` string"
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", s["max_files_per_batch"]).parquet(pattern)
-    rows = files.select(F.col(s["id_column"]).alias("doc_id"), F.col(s["text_column"]).alias("text"))
-    index = Index(spark, target, id_type)
-    index.create()
+    fields = {f.name: f.dataType.simpleString() for f in spark.read.parquet(source).schema.fields}
+    names = [s["id_column"], s["text_column"], *([s["removed_column"]] if s["removed_column"] else [])]
+    # Only these columns are read; the schema is fixed before the stream begins, as streams want it.
+    files = spark.readStream.schema(", ".join(f"`{n}` {fields[n]}" for n in names)).option("maxFilesPerTrigger", s["max_files_per_batch"]).parquet(pattern)
+    removed = F.coalesce(F.col(s["removed_column"]).cast("boolean"), F.lit(False)) if s["removed_column"] else F.lit(False)
+    rows = files.select(F.col(s["id_column"]).alias("chunk_id"), F.col(s["text_column"]).cast("string").alias("text"), removed.alias("gone"))
+    index = open_index(spark, target, s, fields[s["id_column"]]).create()
     total: dict[str, int] = {"batches": 0}
 
     def batch(documents: DataFrame, number: int) -> None:
-        counts = index_batch(index, documents, number, s["buckets"], s["files_per_bucket"])
+        counts = index.add(number, documents.where("NOT gone"), documents.where("gone") if s["removed_column"] else None)
         log.info("batch %d of %s: %s", number, source, counts)
         total["batches"] += 1
         for name, n in counts.items():

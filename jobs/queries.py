@@ -17,7 +17,7 @@ def job1(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "index-documents")
     for _ in range(2):
         index_documents.update_index(spark, f"{sf_dir}/documents.parquet", f"{folder}/index", f"{folder}/checkpoint")
-    return index_documents.Index(spark, f"{folder}/index").scored().withColumn("idf", F.round("idf", 9))
+    return index_documents.open_index(spark, f"{folder}/index").scored().withColumn("idf", F.round("idf", 9))
 
 
 def job2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,12 @@ def word_postings(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "t
     return words.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def positioned_postings(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """As `word_postings`, with positions: where in the text the word stands, counted in words from 0."""
+    words = texts.select(F.col(id_col).alias("chunk_id"), F.posexplode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({WORD})"), F.lit(1))).alias("pos", "token"))
+    return words.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
 def exploded(vectors: DataFrame, id_col: str = "chunk_id", map_col: str = "sparse") -> DataFrame:
     """Postings of sparse vectors kept as maps from token to weight."""
     return vectors.select(F.col(id_col).alias("chunk_id"), F.explode(map_col).alias("token", "weight")).withColumn("weight", F.col("weight").cast("double"))
@@ -24,38 +30,77 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _document_count(documents: DataFrame) -> DataFrame:
+def document_count(documents: DataFrame) -> DataFrame:
+    """n: how many chunks there are, with postings or without."""
     return documents.select("chunk_id").distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
-def _idf() -> Column:
+def idf_of() -> Column:
+    """The inverse frequency from the columns n and df."""
     return F.log((F.col("n") + 1).cast("double") / (F.col("df") + 1)) + 1
 
 
 def idf_scores(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """token, df and idf = ln((N + 1) / (df + 1)) + 1; N counts the indexed documents, those without postings too."""
-    return document_frequency(postings).crossJoin(F.broadcast(_document_count(documents))).select("token", "df", _idf().alias("idf"))
+    return document_frequency(postings).crossJoin(F.broadcast(document_count(documents))).select("token", "df", idf_of().alias("idf"))
+
+
+#: Postings of one token that one task joins; those of a more frequent one are dealt to several.
+DEALT = 1_000_000
+#: Tokens that count as frequent, at most: a token of more than a hundred thousandth of all postings is one of few.
+MOST_HOT = 100_000
+
+
+def hot_tokens(frequencies: DataFrame) -> DataFrame:
+    """token, df and copies of the tokens (token, df) whose postings are dealt to several tasks.
+
+    They have more than DEALT postings, and more than a share of 1 / MOST_HOT of all postings, so there are never as many
+    as MOST_HOT of them: small enough to broadcast, whatever the corpus.
+    """
+    total = frequencies.agg(F.sum("df").alias("total"))
+    most = F.greatest(F.lit(DEALT), F.col("total") / MOST_HOT)
+    few = frequencies.select("token", "df").crossJoin(F.broadcast(total)).where(F.col("df") > most)
+    return few.select("token", "df", F.ceil(F.col("df") / most).cast("int").alias("copies"))
+
+
+def scored_hits(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """qid, chunk_id and score: the sum of q_weight * weight * idf over the common tokens of queries and chunks.
+
+    weights: qid, token, q_weight, idf (null: 1) and df (null: none). A frequent token's postings are dealt to several
+    tasks by chunk, and its few query rows are copied to each.
+    """
+    score = F.sum(F.col("q_weight") * F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("score")
+    # The asked tokens alone are looked at; a token's df is one, whoever asks.
+    hot = hot_tokens(weights.groupBy("token").agg(F.max(F.coalesce("df", F.lit(0))).alias("df")))
+    hot = hot.select("token", "copies")
+    dealt = postings.join(F.broadcast(hot), "token", "left").withColumn("copy", F.expr("CAST(pmod(xxhash64(chunk_id), coalesce(copies, 1)) AS int)")).drop("copies")
+    copied = weights.join(F.broadcast(hot), "token", "left").withColumn("copy", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies", "df")
+    return dealt.join(copied, ["token", "copy"]).groupBy("qid", "chunk_id").agg(score)
+
+
+def top_hits(scored: DataFrame, top_k: int) -> DataFrame:
+    """qid, chunk_id, sparse_score (six decimals) and rank of each query's top_k; ties go by id."""
+    order = Window.partitionBy("qid").orderBy(F.desc("sparse_score"), "chunk_id")
+    rounded = scored.select("qid", "chunk_id", F.round("score", 6).alias("sparse_score"))
+    return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(top_k, 0))
 
 
 def search_sparse(postings: DataFrame, idf: DataFrame, queries: DataFrame, top_k: int, chunks: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, sparse_score (sum of query weight * weight * idf, six decimals) and rank of the top_k chunks.
 
-    queries: qid, token, weight. A token without an idf counts with 1. `chunks` (chunk_id), if given, are those that
-    exist: others are dropped after the cut to top_k and the rest is ranked anew. `allowed` (chunk_id), if given, are
-    those that a filter lets through: only they are scored and cut. The query's tokens meet the idf first, so postings
-    are joined once, with as many rows as the queries have tokens.
+    queries: qid, token, weight. A token without an idf counts with 1. `chunks`
+    (chunk_id), if given, are those that exist: others are dropped after the cut to top_k and the rest is ranked anew.
+    `allowed` (chunk_id), if given, are those that a filter lets through: only they are scored and cut. The query's tokens
+    meet the idf first, so postings are joined once, with as many rows as the queries have tokens.
     """
-    weights = queries.select("qid", "token", F.col("weight").alias("q_weight")).join(idf.select("token", "idf"), "token", "left")
+    weights = queries.select("qid", "token", F.col("weight").alias("q_weight")).join(idf.select("token", "idf", "df"), "token", "left")
     if allowed is not None:
         postings = postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    hits = postings.join(weights, "token")
-    score = F.round(F.sum(F.col("q_weight") * F.col("weight") * F.coalesce("idf", F.lit(1.0))), 6)
-    scored = hits.groupBy("qid", "chunk_id").agg(score.alias("sparse_score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("sparse_score"), "chunk_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(top_k, 0))
+    best = top_hits(scored_hits(postings, weights), top_k)
     if chunks is None:
         return best
-    return best.drop("rank").join(chunks.select("chunk_id"), "chunk_id", "left_semi").withColumn("rank", F.row_number().over(order)).select("qid", "chunk_id", "sparse_score", "rank")
+    kept = best.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return top_hits(kept.select("qid", "chunk_id", F.col("sparse_score").alias("score")), top_k)
 
 
 def without(postings: DataFrame, removed: DataFrame) -> DataFrame:
@@ -83,4 +128,4 @@ def frequency_changes(added: DataFrame, removed: DataFrame) -> DataFrame:
 def idf_of_changes(changes: DataFrame, documents: DataFrame) -> DataFrame:
     """token, df and idf as `idf_scores`, from all changes of the document frequencies (token, change): no posting is read."""
     counted = changes.groupBy("token").agg(F.sum("change").alias("df")).where("df > 0")
-    return counted.crossJoin(F.broadcast(_document_count(documents))).select("token", "df", _idf().alias("idf"))
+    return counted.crossJoin(F.broadcast(document_count(documents))).select("token", "df", idf_of().alias("idf"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.vectors import maxsim, sigmoid
-from ..operators import chunker, dense, fusion, models, sparse, store
+from ..operators import chunker, dense, fulltext, fusion, models, sparse, store
+from ..operators.index import PostingIndex, batches, search_index
 from ..sources import markdown
 from ..sources.markdown import catalogue_rows
 from . import ingest, retrieval
@@ -273,7 +274,36 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return models.token_strings(table(spark, d, "embeddings").select("vec_id", (F.col("label") * 3).cast("long").alias("token_id")), vocabulary).select("vec_id", "token_id", "token")
 
 
+def stored_index(spark: SparkSession, d: str) -> PostingIndex:
+    """An index after two ingestions: all documents, with another text of the German ones, and then those as they are."""
+    docs = texts(spark, d).select("chunk_id", "text", "domain")
+    first = docs.withColumn("text", F.when(F.col("domain") == "de", F.concat("text", F.lit(" alt alt"))).otherwise(F.col("text")))
+    return batches(PostingIndex(spark, scratch(spark, "index")), [first, docs.where("domain = 'de'")])
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    words = postings(spark, d)
+    df = sparse.document_frequency(words)
+    scored = fulltext.bm25_postings(words, fulltext.lengths_of(texts(spark, d)), df)
+    return sparse.search_sparse(scored, fulltext.all_one(df), benchmark(spark, d).tokens, 10).withColumnRenamed("sparse_score", "bm25")
+
+
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item's words 2 and 3 as a phrase in all documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({sparse.WORD})"), F.lit(1))
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(words, 2, 2).alias("words"))
+    placed = sparse.positioned_postings(texts(spark, d))
+    return fulltext.phrase_hits(placed, phrases, sparse.document_frequency(placed))
+
+
+#: So many chunks make a token of the small tables a late one.
+LATE = 100
+
 QUERIES = {
+    "stored_idf": lambda s, d: stored_index(s, d).idf().select("token", "df", F.round("idf", 9).alias("idf")),
+    "stored_sparse_topk": lambda s, d: search_index(stored_index(s, d), benchmark(s, d).tokens, 50, LATE),
+    "bm25_topk": _bm25,
+    "phrase_hits": _phrases,
     "ingest_full": _stored,
     "ingest_incremental": _incremental,
     "stored_ids": lambda s, d: _after_both(s, d, "chunks").select("id"),
@@ -475,6 +505,16 @@ ORACLES = {
     "dense_topk": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(50)} SELECT * FROM near",
     "dense_topk_filtered": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(10, _EN_SRC0)} SELECT * FROM near",
     "sparse_topk": f"WITH {_TEXTS}, {_POSTINGS}, {_IDF}, {_queries_sql(_BENCH)}, {_sparse_sql(50)} SELECT * FROM hits",
+    "stored_idf": f"WITH {_TEXTS}, {_POSTINGS}, {_IDF} SELECT token, df, round(idf, 9) AS idf FROM idf",
+    "stored_sparse_topk": f"WITH {_TEXTS}, {_POSTINGS}, {_IDF}, {_queries_sql(_BENCH)}, {_sparse_sql(50)} SELECT * FROM hits",
+    "bm25_topk": f"""WITH {_TEXTS}, {_POSTINGS}, {_IDF}, {_queries_sql(_BENCH)}, lengths AS (SELECT chunk_id, len({_WORDS.format('text')}) AS n_words FROM corpus),
+      about AS (SELECT count(*) AS n, avg(n_words) AS mean FROM lengths),
+      parts AS (SELECT chunk_id, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * weight * 2.2 / (weight + 1.2 * (0.25 + 0.75 * n_words / mean)) AS part FROM postings JOIN idf USING (token) JOIN lengths USING (chunk_id), about),
+      scored AS (SELECT qid, chunk_id, round(sum(q.weight * part), 6) AS bm25 FROM tokens q JOIN parts USING (token) GROUP BY ALL)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10""",
+    "phrase_hits": f"""WITH {_TEXTS}, words AS (SELECT chunk_id, {_WORDS.format('text')} AS w FROM corpus), placed AS (SELECT chunk_id, unnest(w) AS a, unnest(w[2:] || ['']) AS b FROM words WHERE len(w) > 1),
+      phrases AS (SELECT item_id AS qid, ({_WORDS.format('text')})[2:3] AS p FROM benchmark)
+      SELECT qid, chunk_id, count(*) AS n_hits FROM phrases JOIN placed ON a = p[1] AND b = p[2] WHERE len(p) = 2 GROUP BY ALL""",
     "idf_scores": f"WITH {_TEXTS}, {_POSTINGS}, {_IDF} SELECT token, df, round(idf, 9) AS idf FROM idf",
     "doc_freq": f"WITH {_TEXTS}, {_POSTINGS} SELECT token, count(*) AS df FROM postings GROUP BY token",
     "total_docs": f"WITH {_TEXTS} SELECT count(DISTINCT chunk_id) AS n FROM corpus",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs.common import settings_of
-from jobs.index_documents import DEFAULTS, Index, update_index
+from jobs.index_documents import DEFAULTS, open_index, update_index
 from lodestone.operators.sparse import idf_scores, word_postings
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
@@ -37,12 +37,12 @@ def test_growing_input(spark, folders):
     docs.where("doc_id % 3 < 2").repartition(3).write.parquet(source)
     first = update_index(spark, source, target, checkpoint, {"max_files_per_batch": 2})
     assert first["batches"] == 2 and first["read"] == first["indexed"] == docs.where("doc_id % 3 < 2").count() and not first["replaced"]
-    before = rows(Index(spark, target).scored())
+    before = rows(open_index(spark, target).scored())
     assert before == whole(docs.where("doc_id % 3 < 2"))
 
     # Nothing new: nothing is read or written.
     assert update_index(spark, source, target, checkpoint)["batches"] == 0
-    assert rows(Index(spark, target).scored()) == before
+    assert rows(open_index(spark, target).scored()) == before
 
     # New documents, changed ones, and some that come again as they were.
     changed = docs.where("doc_id % 6 = 1").withColumn("text", F.concat(F.lit("fresh words of "), "text"))
@@ -52,10 +52,10 @@ def test_growing_input(spark, folders):
     assert second["read"] == docs.where("doc_id % 3 = 2 OR doc_id % 6 < 2").count()
     assert second["replaced"] == changed.count() and second["indexed"] == second["read"] - again.count()
     now = docs.where("doc_id % 6 <> 1").unionByName(changed)
-    index = Index(spark, target)
+    index = open_index(spark, target)
     assert rows(index.scored()) == whole(now)
-    few = index.postings(["fresh", "the"], DEFAULTS["buckets"])
-    assert sorted(map(tuple, few.collect())) == sorted((c, t, w) for c, t, w, _, _ in whole(now) if t in ("fresh", "the"))
+    few = index.postings(spark.createDataFrame([("fresh",), ("the",)], "token string")).where("token IN ('fresh', 'the')")
+    assert sorted((r.chunk_id, r.token, r.weight) for r in few.collect()) == sorted((c, t, w) for c, t, w, _, _ in whole(now) if t in ("fresh", "the"))
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", few._jdf.queryExecution().executedPlan().toString())
 
 
@@ -68,11 +68,28 @@ def test_a_batch_that_is_run_again(spark, folders):
     changed = docs.where("doc_id < 50").withColumn("text", F.lit("all other words"))
     changed.coalesce(1).write.mode("append").parquet(source)
     update_index(spark, source, target, checkpoint)
-    want = rows(Index(spark, target).scored())
+    want = rows(open_index(spark, target).scored())
     commit = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/1")
     assert commit.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commit, False)
     assert update_index(spark, source, target, checkpoint)["replaced"] == changed.count()
-    assert rows(Index(spark, target).scored()) == want == whole(docs.where("doc_id >= 50").unionByName(changed))
+    assert rows(open_index(spark, target).scored()) == want == whole(docs.where("doc_id >= 50").unionByName(changed))
+
+
+def test_removed_documents(spark, folders):
+    source, target, checkpoint = folders
+    settings = {"removed_column": "gone"}
+    docs = spark.read.parquet(DOCUMENTS).select("doc_id", "text", F.lit(False).alias("gone"))
+    docs.coalesce(1).write.parquet(source)
+    update_index(spark, source, target, checkpoint, settings)
+    gone = docs.where("doc_id < 40").withColumn("gone", F.lit(True)).unionByName(spark.createDataFrame([(10**9, "never there", True)], docs.schema))
+    gone.coalesce(1).write.mode("append").parquet(source)
+    counts = update_index(spark, source, target, checkpoint, settings)
+    index = open_index(spark, target)
+    assert counts["removed"] == docs.where("doc_id < 40").count() and rows(index.scored()) == whole(docs.drop("gone").where("doc_id >= 40"))
+    # What was removed may come back.
+    docs.where("doc_id < 20").coalesce(1).write.mode("append").parquet(source)
+    update_index(spark, source, target, checkpoint, settings)
+    assert rows(index.scored()) == whole(docs.drop("gone").where("doc_id >= 40 OR doc_id < 20"))
 
 
 def test_odd_rows(spark, folders):
@@ -84,7 +101,7 @@ def test_odd_rows(spark, folders):
     spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
     counts = update_index(spark, source, target, checkpoint)
     assert counts["nameless"] == 1 and counts["indexed"] == 5
-    index = Index(spark, target)
+    index = open_index(spark, target)
     found = sorted((r.chunk_id, r.token) for r in index.postings().collect())
     assert found[:2] == [(3, "same"), (3, "word")] and len(found) == 3 and found[2][0] == 4
     assert index.current().count() == 5 and index.idf().where("token = 'same'").first().df == 1
