@@ -90,10 +90,12 @@ def search_sparse(postings: DataFrame, idf: DataFrame, queries: DataFrame, top_k
 
     queries: qid, token, weight. A token without an idf counts with 1. `chunks`
     (chunk_id), if given, are those that exist: others are dropped after the cut to top_k and the rest is ranked anew.
-    `allowed` (chunk_id), if given, are those that a filter lets through: only they are scored and cut. The query's tokens
+    `allowed` (chunk_id), if given, are those that a filter lets through: only they are scored and cut. With a df beside the
+    idf, frequent tokens are dealt to several tasks. The query's tokens
     meet the idf first, so postings are joined once, with as many rows as the queries have tokens.
     """
-    weights = queries.select("qid", "token", F.col("weight").alias("q_weight")).join(idf.select("token", "idf", "df"), "token", "left")
+    known = F.col("df") if "df" in idf.columns else F.lit(None).cast("long")
+    weights = queries.select("qid", "token", F.col("weight").alias("q_weight")).join(idf.select("token", "idf", known.alias("df")), "token", "left")
     if allowed is not None:
         postings = postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     best = top_hits(scored_hits(postings, weights), top_k)
