@@ -11,8 +11,8 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def stripped(c: Column) -> Column:
-    """Without leading and trailing Unicode white space."""
-    return F.regexp_replace(F.regexp_replace(c, rf"^{SPACE}+", ""), rf"{SPACE}+\z", "")
+    """Without leading and trailing Unicode white space. A run of white space inside is tried from its start alone, and once."""
+    return F.regexp_replace(F.regexp_replace(c, rf"^{SPACE}++", ""), r"(?U)(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
 
 
 def token_estimate(text: Column) -> Column:

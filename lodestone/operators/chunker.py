@@ -36,7 +36,10 @@ def lines(docs: DataFrame) -> DataFrame:
 
     A line whose stripped text starts with three backticks opens or closes code; headings count outside of it only.
     """
-    each = docs.select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), LINE_END)).alias("pos", "line"))
+    content = F.coalesce("content", F.lit(""))
+    # A line end at the text's end ends its last line and begins none; an empty text has no line.
+    split = F.when(content != "", F.split(F.regexp_replace(content, rf"(?:{LINE_END})\z", ""), LINE_END)).otherwise(F.array().cast("array<string>"))
+    each = docs.select("path", F.posexplode(split).alias("pos", "line"))
     fenced = each.withColumn("is_fence", F.col("line").rlike(rf"^{SPACE}*```"))
     parity = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(_earlier()), F.lit(0)) % 2 == 1
     marked = fenced.withColumn("in_code", parity)
@@ -113,6 +116,21 @@ def chunk_documents(docs: DataFrame, max_chunk_tokens: int = 1500) -> DataFrame:
     )
 
 
+def code_blocks(docs: DataFrame) -> DataFrame:
+    """path, section_pos (of the heading above it; -1: none), block_no (from 1 in a document), language and code of every
+    fenced block of (path, content), with both fences; one that is never closed is none.
+
+    The language is the first word after the opening fence, "" without one.
+    """
+    opened = (F.col("is_fence") & ~F.col("in_code")).cast("int")
+    section = F.coalesce(F.max(F.when(F.col("level").isNotNull(), F.col("pos"))).over(_so_far()), F.lit(-1))
+    within = lines(docs).select("path", "pos", "line", "is_fence", "in_code", F.sum(opened).over(_so_far()).alias("block_no"), section.alias("section_pos")).where("is_fence OR in_code")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
+    grouped = within.groupBy("path", "block_no").agg(F.min("section_pos").alias("section_pos"), F.count(F.when(F.col("is_fence"), 1)).alias("fences"), F.transform(ordered, lambda x: x["line"]).alias("each"))
+    language = F.regexp_extract(F.col("each")[0], rf"^{SPACE}*```+{SPACE}*([^\s`]*)", 1)
+    return grouped.where("fences = 2").select("path", "section_pos", "block_no", language.alias("language"), F.array_join("each", "\n").alias("code"))
+
+
 def last_of_each_id(chunks: DataFrame) -> DataFrame:
     """One chunk for each id, the last in document order, with dup_count (how many there were)."""
     same = Window.partitionBy("id")

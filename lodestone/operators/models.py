@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import EmbeddingConfig, RerankerConfig
 from .sparse import WORD
 
 EMBEDDED = "dense array<float>, sparse map<string, double>, vecs array<array<float>>"
@@ -141,6 +142,35 @@ class ModelScorer:
         return pairs.mapInPandas(run, f"{schema}, rerank_score double")
 
 
+def embedder_of(config: EmbeddingConfig, factory: Callable[[EmbeddingConfig], Any] | None = None) -> Embedder:
+    """The embedder that the settings name: the stand-in for "lexical", else a model that `factory` makes of them in each
+    Python worker (by default of the library that such models come with, which must be installed there)."""
+    if config.model_name == "lexical":
+        return LexicalEmbedder(config.dimension)
+    make = factory or _flag_embedder
+    return ModelEmbedder(lambda: make(config), config.batch_size, config.max_length)
+
+
+def scorer_of(config: RerankerConfig, factory: Callable[[RerankerConfig], Any] | None = None) -> Scorer:
+    """The pair scorer that the settings name; see `embedder_of`."""
+    if config.model_name == "lexical":
+        return LexicalScorer()
+    make = factory or _flag_scorer
+    return ModelScorer(lambda: make(config))
+
+
+def _flag_embedder(config: EmbeddingConfig) -> Any:
+    from FlagEmbedding import BGEM3FlagModel
+
+    return BGEM3FlagModel(config.model_name, use_fp16=config.use_fp16, devices=config.device)
+
+
+def _flag_scorer(config: RerankerConfig) -> Any:
+    from FlagEmbedding import FlagReranker
+
+    return FlagReranker(config.model_name, use_fp16=config.use_fp16)
+
+
 def token_strings(ids: DataFrame, vocabulary: DataFrame, id_col: str = "token_id") -> DataFrame:
     """Token ids with their strings, looked up in a vocabulary table (token_id, token); unknown ids give null."""
     return ids.join(vocabulary.select(F.col("token_id").alias(id_col), "token"), id_col, "left")

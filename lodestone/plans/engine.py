@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..operators.models import Embedder, LexicalEmbedder, LexicalScorer, Scorer
+from ..operators.models import Embedder, Scorer, embedder_of, scorer_of
 from ..sources import markdown
 from . import ingest, retrieval
 
@@ -14,7 +14,7 @@ from . import ingest, retrieval
 class Engine:
     def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Embedder | None = None, scorer: Scorer | None = None) -> None:
         self.spark, self.settings = spark, settings or Settings.from_env()
-        self.embedder, self.scorer = embedder or LexicalEmbedder(), scorer or LexicalScorer()
+        self.embedder, self.scorer = embedder or embedder_of(self.settings.embedding), scorer or scorer_of(self.settings.reranker)
         self.store = ingest.open_store(spark, self.settings.paths.vectordb_path)
 
     def ingest(self, source: str | None = None, force: bool = False) -> ingest.IngestionStats:

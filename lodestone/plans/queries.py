@@ -20,7 +20,6 @@ from . import ingest, retrieval
 
 #: Chunks of the derived markdown are small: a lower bound makes some of them split.
 MAX_TOKENS = 60
-CATALOGUE = '{"domains":{"a":{"path":"/a/"},"b":{}}}'
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,9 +27,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that have an embedding, as chunks: domain is the language, concept the source."""
+    """All documents as chunks, with their embedding or null: domain is the language, concept the source."""
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    return docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("domain"), F.col("source").alias("concept"), F.col("embedding").alias("dense_vector"))
+    return docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("domain"), F.col("source").alias("concept"), F.col("embedding").alias("dense_vector"))
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +42,8 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> retrieval.Index:
-    chunks, words = corpus(spark, d), sparse.word_postings(corpus(spark, d))
-    return retrieval.Index(chunks, words, sparse.idf_scores(words, chunks), colbert(spark, d))
+    words = postings(spark, d)
+    return retrieval.Index(corpus(spark, d), words, sparse.idf_scores(words, texts(spark, d)), colbert(spark, d))
 
 
 def _queries(spark: SparkSession, d: str, texts: DataFrame) -> retrieval.Queries:
@@ -65,8 +64,8 @@ def _matrix(c: str):
 
 
 def colbert(spark: SparkSession, d: str) -> DataFrame:
-    """The stored multi-vectors of all chunks."""
-    return corpus(spark, d).select("chunk_id", _matrix("dense_vector").alias("vecs"))
+    """The stored multi-vectors of all chunks that have an embedding."""
+    return corpus(spark, d).where("dense_vector IS NOT NULL").select("chunk_id", _matrix("dense_vector").alias("vecs"))
 
 
 def diagnosed(spark: SparkSession, d: str) -> retrieval.Queries:
@@ -97,10 +96,11 @@ def md_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents before and after: Spanish ones come, French ones go, German ones have another text before."""
     docs = table(spark, d, "documents").withColumn("id", F.col("doc_id").cast("string"))
-    marked = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
-    old = docs.where("doc_id % 10 <> 0").select("id", fn.content_hash(marked).alias("content_hash"))
-    new = docs.where("doc_id % 10 <> 1").select("id", fn.content_hash(F.col("text")).alias("content_hash"))
+    marked = F.when(F.col("lang") == "de", F.concat("text", F.lit("~"))).otherwise(F.col("text"))
+    old = docs.where("lang <> 'es'").select("id", fn.content_hash(marked).alias("content_hash"))
+    new = docs.where("lang <> 'fr'").select("id", fn.content_hash(F.col("text")).alias("content_hash"))
     return old, new
 
 
@@ -164,7 +164,7 @@ def _headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _document(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).drop("dense_vector")
+    return texts(spark, d)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -208,12 +208,20 @@ def _after_both(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _reset(spark: SparkSession, d: str) -> DataFrame:
     kept, _ = ingested(spark, md_docs(spark, d))
+    before = kept.version
     kept.clear()
-    return ingest.table_stats(kept).crossJoin(kept.read("postings").agg(F.count(F.lit(1)).alias("postings"))).crossJoin(kept.read("colbert").agg(F.count(F.lit(1)).alias("vectors")))
+    full = kept.read("chunks", before).agg(F.count(F.lit(1)).alias("chunks_before"))
+    return full.crossJoin(ingest.table_stats(kept)).crossJoin(kept.read("postings").agg(F.count(F.lit(1)).alias("postings"))).crossJoin(kept.read("colbert").agg(F.count(F.lit(1)).alias("vectors")))
+
+
+def domains(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of the documents as domains."""
+    return table(spark, d, "documents").select(F.col("lang").alias("name"), F.concat(F.lit("/"), "lang", F.lit("/")).alias("path")).distinct()
 
 
 def knowledge_base(spark: SparkSession, d: str) -> str:
-    """A folder with each document as a markdown file with a header, readme files, a catalogue and an overview."""
+    """A folder with each document as a markdown file with a header in its language's folder, an overview of each language,
+    a catalogue of them, and readme files."""
     root = scratch(spark, "kb")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +238,10 @@ def knowledge_base(spark: SparkSession, d: str) -> str:
     docs = table(spark, d, "documents")
     header = F.concat(F.lit("---\ndomain: "), "lang", F.lit("\nconcept: "), "source", F.lit("\nversion: 1.10\n---\n"))
     files = docs.select(F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("name"), F.concat(header, "text").alias("text"))
-    others = [("ReadMe.md", "## skipped"), ("en/README.md", "## skipped"), ("notes.txt", "no markdown"), ("master_index.json", CATALOGUE), ("a/00_overview.md", "## Over\nview")]
-    files.unionByName(spark.createDataFrame(others, "name string, text string")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    others = spark.createDataFrame([("ReadMe.md", "## skipped"), ("en/README.md", "## skipped"), ("notes.txt", "no markdown")], "name string, text string")
+    overviews = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.concat("lang", F.lit("/00_overview.md")).alias("name"), F.concat(F.lit("## "), "lang", F.lit("\n"), F.col("n").cast("string"), F.lit(" documents")).alias("text"))
+    listed = markdown.catalogue_of(domains(spark, d)).select(F.lit("master_index.json").alias("name"), F.col("json").alias("text"))
+    files.unionByName(others).unionByName(overviews).unionByName(listed).mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return root
 
 
@@ -242,7 +252,7 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
 
 def _overview(spark: SparkSession, d: str) -> DataFrame:
     root = knowledge_base(spark, d)
-    return markdown.list_domains(spark, root).select("name", "path").join(spark.createDataFrame([(n, markdown.domain_overview(spark, root, n)) for n in ("a", "b", "c")], "name string, overview string"), "name", "right")
+    return markdown.list_domains(spark, root).select("name", "path").join(spark.createDataFrame([(n, markdown.domain_overview(spark, root, n)) for n in ("de", "en", "es", "fr", "none")], "name string, overview string"), "name", "right")
 
 
 class _Lengths:
@@ -296,6 +306,14 @@ def _phrases(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.phrase_hits(placed, phrases, sparse.document_frequency(placed))
 
 
+def _with_context(spark: SparkSession, d: str) -> DataFrame:
+    """The first section of each labelled document, with all sections of its document."""
+    chunks = chunker.chunk_documents(md_docs(spark, d), MAX_TOKENS).select("id", "file_path", "pos", "section_heading", "content_hash")
+    labelled = table(spark, d, "labels").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"))
+    first = chunks.join(labelled, "file_path", "left_semi").groupBy("file_path").agg(F.min_by("id", "pos").alias("id"))
+    return retrieval.sections_with_context(chunks, first, "id")
+
+
 #: So many chunks make a token of the small tables a late one.
 LATE = 100
 
@@ -341,7 +359,7 @@ QUERIES = {
     "ingest_stats": lambda s, d: _counts(store.snapshot_diff(*snapshots(s, d))),
     "upsert_chunks": _upserted,
     "delete_chunks": _deleted,
-    "existing_ids": lambda s, d: snapshots(s, d)[0].select("id").distinct(),
+    "existing_ids": lambda s, d: texts(s, d).select("chunk_id").distinct(),
     "documents_processed": lambda s, d: _chunks(s, d).agg(F.countDistinct("file_path").alias("documents_processed")),
     "maxsim_score": _maxsim,
     "colbert_rerank": _reranked,
@@ -352,14 +370,18 @@ QUERIES = {
     "lookup_define": lambda s, d: retrieval.lookup_define(index(s, d), lookups(s, d, "of"), 5, "de"),
     "lookup_modifier": lambda s, d: retrieval.lookup_modifier(index(s, d), lookups(s, d, "the"), 5, "fr"),
     "diagnose_error": lambda s, d: retrieval.diagnose_error(index(s, d), diagnosed(s, d), 5),
-    "list_domains": lambda s, d: catalogue_rows(s.createDataFrame([(CATALOGUE,)], "json string")),
+    "list_domains": lambda s, d: catalogue_rows(markdown.catalogue_of(domains(s, d))),
+    "event_properties": lambda s, d: markdown.json_entries(table(s, d, "events"), "props", ["event_id"])[0],
+    "get_sections": lambda s, d: retrieval.get_sections(texts(s, d), table(s, d, "labels").select(F.col("doc_id").alias("chunk_id"))),
+    "sections_with_context": _with_context,
+    "md_code_blocks": lambda s, d: chunker.code_blocks(md_docs(s, d)).select("path", "section_pos", "block_no", "language", fn.content_hash(F.col("code")).alias("code_hash")),
     "embed_documents": _embedded,
     "rerank_scores": lambda s, d: fusion.reranked(models.LexicalScorer().score(_pairs(s, d)), 2).select("qid", "chunk_id", "rerank_score", "rank"),
     "score_pair": lambda s, d: models.LexicalScorer().score(_pairs(s, d)).select("qid", "chunk_id", "rerank_score"),
     "table_stats": lambda s, d: texts(s, d).agg(F.count(F.lit(1)).alias("chunks")),
 }
 
-_CORPUS = "corpus AS (SELECT doc_id AS chunk_id, text, lang AS domain, source AS concept, embedding AS dense_vector FROM documents JOIN embeddings ON doc_id = vec_id)"
+_CORPUS = "corpus AS (SELECT doc_id AS chunk_id, text, lang AS domain, source AS concept, embedding AS dense_vector FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"
 _TEXTS = "corpus AS (SELECT doc_id AS chunk_id, text, lang AS domain, source AS concept FROM documents)"
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 _POSTINGS = f"postings AS (SELECT chunk_id, token, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT chunk_id, unnest({_WORDS.format('text')}) AS token FROM corpus) GROUP BY ALL)"
@@ -376,7 +398,7 @@ def _queries_sql(texts: str) -> str:
 
 def _dense_sql(k: int, where: str = "true") -> str:
     dist = "round(list_sum(list_transform(range(1, len(dense) + 1), lambda i: (CAST(dense[i] AS DOUBLE) - CAST(dense_vector[i] AS DOUBLE)) * (CAST(dense[i] AS DOUBLE) - CAST(dense_vector[i] AS DOUBLE)))), 6)"
-    return f"near AS (SELECT * FROM (SELECT qid, chunk_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rank FROM (SELECT qid, chunk_id, {dist} AS dist FROM queries, corpus WHERE {where})) WHERE rank <= {k})"
+    return f"near AS (SELECT * FROM (SELECT qid, chunk_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, chunk_id) AS rank FROM (SELECT qid, chunk_id, {dist} AS dist FROM queries, corpus WHERE dense_vector IS NOT NULL AND {where})) WHERE rank <= {k})"
 
 
 def _sparse_sql(k: int) -> str:
@@ -414,7 +436,7 @@ _STRIPPED_TEXT = f"regexp_replace(text, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
 _ANCHOR = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(STRIPPED, '[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}-]', '', 'g'), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
 _ANCHOR = _ANCHOR.replace("STRIPPED", r"regexp_replace(lower({}), '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')")
 _SIM = "list_sum(list_transform(range(0, 4), lambda i: list_max(list_transform(range(0, 4), lambda j: list_sum(list_transform(range(1, 17), lambda k: CAST(q.dense[i * 16 + k] AS DOUBLE) * CAST(c.dense_vector[j * 16 + k] AS DOUBLE))))))) / 4"
-_SNAPSHOTS = "old AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '~' ELSE text END) AS content_hash FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS content_hash FROM documents WHERE doc_id % 10 <> 1)"
+_SNAPSHOTS = "old AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(CASE WHEN lang = 'de' THEN text || '~' ELSE text END) AS content_hash FROM documents WHERE lang <> 'es'), new AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS content_hash FROM documents WHERE lang <> 'fr')"
 _DIFF = "diff AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'created' WHEN n.id IS NULL THEN 'deleted' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'updated' END AS change FROM old o FULL JOIN new n ON o.id = n.id)"
 _LINES = r"""
 md AS (
@@ -422,7 +444,7 @@ md AS (
     repeat('#', [1, 2, 3, 3, 2, 4, 2][(i - 1) % 7 + 1]) || ' ' || substr(x, 1, 24) || chr(10) || CASE WHEN (i - 1) % 5 = 4 THEN '```' || chr(10) || x || chr(10) || '```' ELSE x END), chr(10)) AS content
   FROM documents
 ), split_lines AS (
-  SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos FROM md
+  SELECT path, unnest(each) AS line, generate_subscripts(each, 1) - 1 AS pos FROM (SELECT path, CASE WHEN content <> '' THEN string_split(regexp_replace(content, '\n$', ''), chr(10)) ELSE [] END AS each FROM md)
 ), fenced AS (
   SELECT *, starts_with(trim(line), '```') AS is_fence FROM split_lines
 ), coded AS (
@@ -491,9 +513,9 @@ ORACLES = {
     "stored_postings": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id, token, CAST(count(*) AS DOUBLE) AS weight FROM ({_CHUNK_WORDS}) GROUP BY ALL",
     "stored_vectors": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n_vecs FROM n",
     "stored_indexed": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id FROM n",
-    "stored_reset": "SELECT CAST(0 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS postings, CAST(0 AS BIGINT) AS vectors",
-    "scan_documents": f"SELECT lang || '/' || doc_id || '.md' AS name, lang AS domain, source AS concept, '1.1' AS version, sha256({_STRIPPED_TEXT}) AS content_hash FROM documents UNION ALL SELECT 'a/00_overview.md', '', '', '', sha256('## Over' || chr(10) || 'view')",
-    "domain_overview": "SELECT * FROM (VALUES ('a', '/a/', '## Over' || chr(10) || 'view'), ('b', '', NULL), ('c', NULL, NULL)) AS t(name, path, overview)",
+    "stored_reset": f"WITH {_CHUNKS}, before AS (SELECT id FROM chunks {_LAST}) SELECT (SELECT count(*) FROM before) AS chunks_before, CAST(0 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS postings, CAST(0 AS BIGINT) AS vectors",
+    "scan_documents": f"SELECT lang || '/' || doc_id || '.md' AS name, lang AS domain, source AS concept, '1.1' AS version, sha256({_STRIPPED_TEXT}) AS content_hash FROM documents UNION ALL SELECT lang || '/00_overview.md', '', '', '', sha256('## ' || lang || chr(10) || count(*) || ' documents') FROM documents GROUP BY lang",
+    "domain_overview": "SELECT n AS name, CASE WHEN count(lang) > 0 THEN '/' || n || '/' END AS path, CASE WHEN count(lang) > 0 THEN '## ' || n || chr(10) || count(lang) || ' documents' END AS overview FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'none']) AS n) LEFT JOIN documents ON lang = n GROUP BY n",
     "embed_with_model": "SELECT doc_id, CAST(length(text) AS DOUBLE) AS dense, CAST(length(text) AS DOUBLE) AS weight, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_vecs, CAST(length(replace(text, ' ', '')) AS DOUBLE) AS letters FROM documents",
     "score_with_model": f"{_NEAR3.partition(', pairs AS')[0]} SELECT n.qid, n.chunk_id, round(CAST(length(q.text) AS DOUBLE) / (1 + length(c.text)), 9) AS rerank_score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id)",
     "sparse_remove": f"WITH {_TEXTS}, {_POSTINGS} SELECT p.* FROM postings p JOIN corpus USING (chunk_id) WHERE domain <> 'fr'",
@@ -532,18 +554,22 @@ ORACLES = {
     "ingest_stats": f"WITH {_SNAPSHOTS}, {_DIFF} SELECT count(*) FILTER (WHERE change = 'created') AS chunks_created, count(*) FILTER (WHERE change = 'updated') AS chunks_updated, count(*) FILTER (WHERE change = 'deleted') AS chunks_deleted, count(*) FILTER (WHERE change = 'unchanged') AS chunks_unchanged FROM diff",
     "upsert_chunks": f"WITH {_SNAPSHOTS} SELECT id, content_hash FROM new UNION ALL SELECT id, content_hash FROM old WHERE id NOT IN (SELECT id FROM new)",
     "delete_chunks": f"WITH {_SNAPSHOTS} SELECT id, content_hash FROM old WHERE id IN (SELECT id FROM new)",
-    "existing_ids": f"WITH {_SNAPSHOTS} SELECT DISTINCT id FROM old",
+    "existing_ids": "SELECT DISTINCT doc_id AS chunk_id FROM documents",
     "documents_processed": f"WITH {_CHUNKS} SELECT count(DISTINCT file_path) AS documents_processed FROM chunks",
     "maxsim_score": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(20)} SELECT q.qid, c.chunk_id, round({_SIM}, 6) AS score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id)",
     "colbert_rerank": f"WITH {_CORPUS}, {_queries_sql(_BENCH)}, {_dense_sql(10)}, scored AS (SELECT q.qid, c.chunk_id, n.rank AS old_rank, round({_SIM}, 6) AS score FROM near n JOIN queries q USING (qid) JOIN corpus c USING (chunk_id)), kept AS (SELECT * FROM scored s WHERE score IS NOT NULL OR NOT EXISTS (SELECT 1 FROM scored t WHERE t.qid = s.qid AND t.score IS NOT NULL)) SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN old_rank END, chunk_id) AS rank FROM kept",
     "search_documentation": _searched_sql("domain = 'en'"),
     "search_code_examples": _searched_sql("true"),
-    "get_section": f"WITH {_CORPUS} SELECT chunk_id, text, domain, concept FROM corpus WHERE chunk_id = 7",
-    "section_siblings": f"WITH {_CORPUS} SELECT chunk_id, text FROM corpus WHERE concept = (SELECT concept FROM corpus WHERE chunk_id = 7)",
+    "get_section": f"WITH {_TEXTS} SELECT chunk_id, text, domain, concept FROM corpus WHERE chunk_id = 7",
+    "section_siblings": f"WITH {_TEXTS} SELECT chunk_id, text FROM corpus WHERE concept = (SELECT concept FROM corpus WHERE chunk_id = 7)",
     "lookup_define": f"{_hybrid_sql(_NAME.format('of'), _DE)} {_TOP.format(5)}",
     "lookup_modifier": f"{_hybrid_sql(_NAME.format('the'), _FR)} {_TOP.format(5)}",
     "diagnose_error": f"{_hybrid_sql(_FIRST)} {_TOP.format(5)}",
-    "list_domains": "SELECT * FROM (VALUES ('a', '/a/'), ('b', '')) AS t(name, path)",
+    "list_domains": "SELECT DISTINCT lang AS name, '/' || lang || '/' AS path FROM documents",
+    "event_properties": "SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)",
+    "get_sections": f"WITH {_TEXTS} SELECT chunk_id, text, domain, concept FROM corpus WHERE chunk_id IN (SELECT doc_id FROM labels)",
+    "sections_with_context": f"WITH {_CHUNKS}, asked AS (SELECT file_path, id FROM chunks WHERE file_path IN (SELECT 'docs/' || doc_id || '.md' FROM labels) QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY pos) = 1), files AS (SELECT DISTINCT a.id AS asked_id, c.file_path FROM asked a JOIN chunks c USING (id)) SELECT asked_id, id, file_path, pos, section_heading, content_hash FROM files JOIN chunks USING (file_path)",
+    "md_code_blocks": f"WITH {_LINES}, placed AS (SELECT *, sum(CAST(is_fence AND NOT in_code AS INT)) OVER (PARTITION BY path ORDER BY pos) AS block_no, coalesce(max(CASE WHEN level IS NOT NULL THEN pos END) OVER (PARTITION BY path ORDER BY pos), -1) AS section FROM lines) SELECT path, CAST(min(section) AS INTEGER) AS section_pos, CAST(block_no AS BIGINT) AS block_no, regexp_extract(first(line ORDER BY pos), '^\\s*```+\\s*([^\\s`]*)', 1) AS language, sha256(string_agg(line, chr(10) ORDER BY pos)) AS code_hash FROM placed WHERE is_fence OR in_code GROUP BY path, block_no HAVING count(*) FILTER (WHERE is_fence) = 2",
     "rerank_scores": f"{_NEAR3} SELECT * FROM (SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 2",
     "score_pair": f"{_NEAR3} SELECT * FROM pairs",
     "table_stats": f"WITH {_TEXTS} SELECT count(*) AS chunks FROM corpus",

@@ -108,6 +108,24 @@ def get_section(chunks: DataFrame, chunk_id: object, id_col: str = "chunk_id") -
     return chunks.where(F.col(id_col) == F.lit(chunk_id)).limit(1)
 
 
+def get_sections(chunks: DataFrame, asked: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """The chunks of a table of ids, each id's once; an unknown or null id gives no row.
+
+    Spark sends the asked ids to the scan of the chunks (as a broadcast while they are few, else as a Bloom filter before
+    the shuffle), so a long table of chunks isn't sorted for a few ids.
+    """
+    return chunks.join(asked.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
+
+
+def sections_with_context(chunks: DataFrame, asked: DataFrame, id_col: str = "chunk_id", file_col: str = "file_path") -> DataFrame:
+    """asked_id and the chunks of the file of each asked id, itself included; two shuffles by file, no scan for each id.
+
+    A file is as large as a document, so its sections are few; a null file has no siblings.
+    """
+    files = chunks.join(asked.select(id_col).distinct(), id_col, "left_semi").select(F.col(id_col).alias("asked_id"), F.col(file_col).alias("_file")).distinct()
+    return files.join(chunks, F.col("_file") == F.col(file_col)).drop("_file")
+
+
 def section_siblings(chunks: DataFrame, chunk_id: object, id_col: str = "chunk_id", file_col: str = "file_path") -> DataFrame:
     """All chunks of the same file as that chunk, itself included."""
     one = get_section(chunks, chunk_id, id_col).select(F.col(file_col).alias("_file"))
