@@ -13,10 +13,10 @@ from ..operators.chunker import chunk_documents, last_of_each_id
 from ..operators.models import Embedder
 from ..operators.sparse import exploded, idf_scores, replaced, without
 from ..operators.store import SnapshotStore, changed, deleted, upserted
-from ..sources.markdown import read_documents
+from ..sources.markdown import list_markdown, read_documents, read_listed
 from .retrieval import Index
 
-TABLES = {"chunks": schemas.STORED_CHUNK, "postings": schemas.POSTING, "indexed": schemas.INDEXED, "colbert": schemas.MULTI_VECTOR}
+TABLES = {"chunks": schemas.STORED_CHUNK, "postings": schemas.POSTING, "indexed": schemas.INDEXED, "colbert": schemas.MULTI_VECTOR, "files": schemas.SOURCE_FILE}
 
 
 class IngestionError(RuntimeError):
@@ -72,15 +72,7 @@ def ingest_documents(spark: SparkSession, store: SnapshotStore, documents: DataF
         gone = old.select("id").join(chunks.select("id"), "id", "left_anti")
         n_gone = gone.count()
         if n_todo or n_gone:
-            fresh = work.withColumn("dense_vector", F.col("dense").cast("array<float>")).withColumn("ingestion_timestamp", F.current_timestamp())
-            ids, lost = work.select(F.col("id").alias("chunk_id")), gone.select(F.col("id").alias("chunk_id"))
-            vectors = work.select(F.col("id").alias("chunk_id"), "vecs")
-            store.commit({
-                "chunks": deleted(upserted(old, fresh), gone),
-                "postings": without(replaced(store.read("postings", version), exploded(work, "id"), ids), lost),
-                "indexed": without(replaced(store.read("indexed", version), ids, ids), lost),
-                "colbert": without(replaced(store.read("colbert", version), vectors, ids), lost),
-            })
+            commit_changes(store, version, work, gone)
         end = time.monotonic()
         return IngestionStats(int(n_files), int(n_created), int(n_todo - n_created), int(n_gone), embedded - begun, end - embedded, end - start)
     finally:
@@ -89,6 +81,68 @@ def ingest_documents(spark: SparkSession, store: SnapshotStore, documents: DataF
             work.unpersist()
 
 
+def commit_changes(store: SnapshotStore, version: int, work: DataFrame, gone: DataFrame, files: DataFrame | None = None) -> None:
+    """Write the version after `version`: embedded chunks (`work`) in place of those of their ids, without those that are
+    gone (id), and with the files that the chunks come from, if they are given."""
+    fresh = work.withColumn("dense_vector", F.col("dense").cast("array<float>")).withColumn("ingestion_timestamp", F.current_timestamp())
+    ids, lost = work.select(F.col("id").alias("chunk_id")), gone.select(F.col("id").alias("chunk_id"))
+    vectors = work.select(F.col("id").alias("chunk_id"), "vecs")
+    store.commit({
+        "chunks": deleted(upserted(store.read("chunks", version), fresh), gone),
+        "postings": without(replaced(store.read("postings", version), exploded(work, "id"), ids), lost),
+        "indexed": without(replaced(store.read("indexed", version), ids, ids), lost),
+        "colbert": without(replaced(store.read("colbert", version), vectors, ids), lost),
+        **({} if files is None else {"files": files}),
+    })
+
+
+@dataclass(frozen=True)
+class FolderStats:
+    files_seen: int
+    files_read: int
+    files_removed: int
+    chunks_created: int
+    chunks_updated: int
+    chunks_deleted: int
+
+
+def ingest_folder(spark: SparkSession, store: SnapshotStore, source: str, embedder: Embedder, max_chunk_tokens: int = 1500, allow_empty: bool = False) -> FolderStats:
+    """Bring the store up to date with a folder of markdown, and open only files that are new or changed since last time.
+
+    The store keeps each file's time of change and length. A listing, which opens no file, tells which differ or are gone:
+    those that differ are read and chunked, and chunks of either that their files don't have any more are deleted. Nothing
+    is read or written where nothing differs. The chunks are those of `ingest_full`; a change that keeps a file's time and
+    length goes unseen until then. An empty folder is refused while the store has files, unless allow_empty.
+    """
+    version = store.version
+    known, old = store.read("files", version), store.read("chunks", version)
+    listed = list_markdown(spark, source).persist()
+    differ, removed, documents, chunks, work, gone = None, None, None, None, None, None
+    try:
+        differ = listed.join(known, ["path", "modification_time", "length"], "left_anti").persist()
+        removed = known.select("path").join(listed.select("path"), "path", "left_anti").persist()
+        (n_seen,), (n_read, since), n_removed = listed.agg(F.count(F.lit(1))).first(), differ.agg(F.count(F.lit(1)), F.min("modification_time")).first(), removed.count()
+        if not n_seen and n_removed and not allow_empty:
+            raise IngestionError("The folder has no files; nothing was changed")
+        if not n_read and not n_removed:
+            return FolderStats(n_seen, 0, 0, 0, 0, 0)
+        # A folder of new files alone is one listing and one pass; `since` keeps older files closed.
+        documents = (read_listed(spark, source, differ, since) if n_read else spark.createDataFrame([], "path string, content string, domain string, concept string, version string")).persist()
+        chunks = last_of_each_id(chunk_documents(documents, max_chunk_tokens)).persist()
+        todo = changed(old, chunks)
+        work = todo.join(embedder.embed(todo, "id", "text"), "id").persist()
+        touched = differ.select("path").unionByName(removed).select(F.col("path").alias("file_path"))
+        gone = old.join(touched, "file_path", "left_semi").select("id").join(chunks.select("id"), "id", "left_anti").persist()
+        n_work, n_created = work.join(old.select("id", F.lit(1).alias("_old")), "id", "left").agg(F.count(F.lit(1)), F.count(F.when(F.col("_old").isNull(), 1))).first()
+        n_gone = gone.count()
+        commit_changes(store, version, work, gone, listed)
+        return FolderStats(n_seen, n_read, n_removed, n_created, n_work - n_created, n_gone)
+    finally:
+        for df in (listed, differ, removed, documents, chunks, work, gone):
+            if df is not None:
+                df.unpersist()
+
+
 def open_index(store: SnapshotStore) -> Index:
     """The current snapshot as an index to search."""
     version = store.version

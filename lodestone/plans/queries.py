@@ -214,15 +214,8 @@ def _reset(spark: SparkSession, d: str) -> DataFrame:
     return full.crossJoin(ingest.table_stats(kept)).crossJoin(kept.read("postings").agg(F.count(F.lit(1)).alias("postings"))).crossJoin(kept.read("colbert").agg(F.count(F.lit(1)).alias("vectors")))
 
 
-def domains(spark: SparkSession, d: str) -> DataFrame:
-    """The languages of the documents as domains."""
-    return table(spark, d, "documents").select(F.col("lang").alias("name"), F.concat(F.lit("/"), "lang", F.lit("/")).alias("path")).distinct()
-
-
-def knowledge_base(spark: SparkSession, d: str) -> str:
-    """A folder with each document as a markdown file with a header in its language's folder, an overview of each language,
-    a catalogue of them, and readme files."""
-    root = scratch(spark, "kb")
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each row (name, text) as a file under the folder; a null text deletes the file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -230,18 +223,57 @@ def knowledge_base(spark: SparkSession, d: str) -> str:
         system, base = fs.FileSystem.from_uri(root)
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is None:
+                    if system.get_file_info(f"{base}/{name}").type == fs.FileType.File:  # a task may run again
+                        system.delete_file(f"{base}/{name}")
+                    continue
                 system.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
                 with system.open_output_stream(f"{base}/{name}") as out:
                     out.write(text.encode("utf-8"))
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
+    files.select("name", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def ingested_folder(spark: SparkSession, d: str) -> tuple[store.SnapshotStore, ingest.FolderStats, str]:
+    """A store after two ingestions of a folder: of each document's markdown, and after French files have gone and German
+    ones were rewritten with another section; the second one's statistics, and the folder."""
+    root, kept = scratch(spark, "folder"), ingest.open_store(spark, scratch(spark, "store"))
+    header = F.concat(F.lit("---\ndomain: "), "domain", F.lit("\n---\n"))
+    first = md_docs(spark, d)
+    write_files(first.select(F.col("path").alias("name"), F.concat(header, "content").alias("text")), root)
+    ingest.ingest_folder(spark, kept, root, models.LexicalEmbedder(8), MAX_TOKENS)
+    later = next_docs(spark, d).where("domain = 'de'").select(F.col("path").alias("name"), F.concat(header, "content").alias("text"))
+    write_files(later.unionByName(first.where("domain = 'fr'").select(F.col("path").alias("name"), F.lit(None).cast("string").alias("text"))), root)
+    return kept, ingest.ingest_folder(spark, kept, root, models.LexicalEmbedder(8), MAX_TOKENS), root
+
+
+def _folder_chunks(spark: SparkSession, d: str) -> DataFrame:
+    kept, _, root = ingested_folder(spark, d)
+    return kept.read("chunks").select(F.col("id").substr(F.lit(len(root) + 2), F.lit(1 << 20)).alias("id"), "content_hash")
+
+
+def _folder_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = ingested_folder(spark, d)[1]
+    return spark.createDataFrame([(s.files_seen, s.files_read, s.files_removed, s.chunks_created, s.chunks_updated, s.chunks_deleted)], "files_seen long, files_read long, files_removed long, chunks_created long, chunks_updated long, chunks_deleted long")
+
+
+def domains(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of the documents as domains."""
+    return table(spark, d, "documents").select(F.col("lang").alias("name"), F.concat(F.lit("/"), "lang", F.lit("/")).alias("path")).distinct()
+
+
+def knowledge_base(spark: SparkSession, d: str) -> str:
+    """A folder with each document as a markdown file with a header in its language's folder, an overview of each language,
+    a catalogue of them, and readme files."""
+    root = scratch(spark, "kb")
     docs = table(spark, d, "documents")
     header = F.concat(F.lit("---\ndomain: "), "lang", F.lit("\nconcept: "), "source", F.lit("\nversion: 1.10\n---\n"))
     files = docs.select(F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("name"), F.concat(header, "text").alias("text"))
     others = spark.createDataFrame([("ReadMe.md", "## skipped"), ("en/README.md", "## skipped"), ("notes.txt", "no markdown")], "name string, text string")
     overviews = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.concat("lang", F.lit("/00_overview.md")).alias("name"), F.concat(F.lit("## "), "lang", F.lit("\n"), F.col("n").cast("string"), F.lit(" documents")).alias("text"))
     listed = markdown.catalogue_of(domains(spark, d)).select(F.lit("master_index.json").alias("name"), F.col("json").alias("text"))
-    files.unionByName(others).unionByName(overviews).unionByName(listed).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    write_files(files.unionByName(others).unionByName(overviews).unionByName(listed), root)
     return root
 
 
@@ -324,6 +356,8 @@ QUERIES = {
     "phrase_hits": _phrases,
     "ingest_full": _stored,
     "ingest_incremental": _incremental,
+    "folder_chunks": _folder_chunks,
+    "folder_stats": _folder_stats,
     "stored_ids": lambda s, d: _after_both(s, d, "chunks").select("id"),
     "stored_postings": lambda s, d: _after_both(s, d, "postings"),
     "stored_vectors": lambda s, d: _after_both(s, d, "colbert").select("chunk_id", F.size("vecs").alias("n_vecs")),
@@ -509,6 +543,8 @@ ORACLES = {
     "split_paragraphs": f"WITH {SPLIT_SQL} SELECT doc_id, part_no, CAST(greatest(1, length(part) // 4) AS BIGINT) AS tokens, sha256(part) AS content_hash FROM split",
     "ingest_full": f"WITH {_CHUNKS} SELECT * EXCLUDE (pos), 8 AS dim, true AS stamped FROM chunks {_LAST}",
     "ingest_incremental": f"WITH {_BEFORE_AFTER} SELECT (SELECT count(DISTINCT file_path) FROM n) AS documents_processed, count(*) FILTER (WHERE o.id IS NULL) AS chunks_created, count(*) FILTER (WHERE o.content_hash <> n.content_hash) AS chunks_updated, count(*) FILTER (WHERE n.id IS NULL) AS chunks_deleted FROM o FULL JOIN n ON o.id = n.id",
+    "folder_chunks": f"WITH {_BEFORE_AFTER} SELECT id, content_hash FROM n",
+    "folder_stats": f"WITH {_BEFORE_AFTER} SELECT (SELECT count(*) FROM documents WHERE lang <> 'fr') AS files_seen, (SELECT count(*) FROM documents WHERE lang = 'de') AS files_read, (SELECT count(*) FROM documents WHERE lang = 'fr') AS files_removed, count(*) FILTER (WHERE o.id IS NULL) AS chunks_created, count(*) FILTER (WHERE o.content_hash <> n.content_hash) AS chunks_updated, count(*) FILTER (WHERE n.id IS NULL) AS chunks_deleted FROM o FULL JOIN n ON o.id = n.id",
     "stored_ids": f"WITH {_BEFORE_AFTER} SELECT id FROM n",
     "stored_postings": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id, token, CAST(count(*) AS DOUBLE) AS weight FROM ({_CHUNK_WORDS}) GROUP BY ALL",
     "stored_vectors": f"WITH {_BEFORE_AFTER} SELECT id AS chunk_id, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n_vecs FROM n",

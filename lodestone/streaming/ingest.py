@@ -8,8 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunker import chunk_documents, last_of_each_id
 from ..operators.models import Embedder
-from ..operators.sparse import exploded, replaced, without
-from ..operators.store import SnapshotStore, changed, deleted, upserted
+from ..operators.store import SnapshotStore, changed
+from ..plans.ingest import commit_changes
 from ..sources.markdown import checked, front_matter, texts_of
 
 
@@ -25,7 +25,7 @@ def ingest_available(spark: SparkSession, store: SnapshotStore, folder: str, emb
 
     Chunks that the store has of such a file, and the file hasn't, are deleted; a file with a bad header fails the query.
     A file stream tells nothing of removed files, nor of files rewritten under their name: their chunks stay as they are
-    until `ingest_incremental`, which names chunks alike and so adds none twice.
+    until `ingest_folder` or `ingest_incremental`, which name chunks alike and so add none twice.
     """
 
     def batch(files: DataFrame, _: int) -> None:
@@ -36,15 +36,8 @@ def ingest_available(spark: SparkSession, store: SnapshotStore, folder: str, emb
         todo = changed(old, chunks)
         work = todo.join(embedder.embed(todo, "id", "text"), "id").persist()
         gone = old.join(documents.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id").join(chunks.select("id"), "id", "left_anti").persist()
-        ids, lost = work.select(F.col("id").alias("chunk_id")), gone.select(F.col("id").alias("chunk_id"))
         if work.limit(1).count() or gone.limit(1).count():
-            fresh = work.withColumn("dense_vector", F.col("dense").cast("array<float>")).withColumn("ingestion_timestamp", F.current_timestamp())
-            store.commit({
-                "chunks": deleted(upserted(old, fresh), gone),
-                "postings": without(replaced(store.read("postings", version), exploded(work, "id"), ids), lost),
-                "indexed": without(replaced(store.read("indexed", version), ids, ids), lost),
-                "colbert": without(replaced(store.read("colbert", version), work.select(F.col("id").alias("chunk_id"), "vecs"), ids), lost),
-            })
+            commit_changes(store, version, work, gone)
         for table in (documents, chunks, work, gone):
             table.unpersist()
 
