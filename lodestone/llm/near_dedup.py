@@ -20,6 +20,8 @@ BLOCK = 1024
 #: Rows of (long, long, long) up to which a list of keys is broadcast (about 50 MB); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 21
 NO_ID = -(1 << 63)
+#: Bands whose buckets are compared first, with their stars alone.
+FIRST_BANDS = 4
 #: Pairs of one star that meet one copy of its set; a star with more of them is copied.
 SPOKES = 1024
 
@@ -115,6 +117,21 @@ def _signed(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
     return staged(keyed.mapInArrow(sign, schema), "dedup-signatures")
 
 
+def _often(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys of more than SPOKES rows, with the copies that the other side of a join gets of them, staged."""
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SPOKES)
+    return staged(counted.select(*key, F.expr(f"CAST(ceil(rows / {SPOKES}) AS int)").alias("copies")), "dedup-often")
+
+
+def _dealt(rows: DataFrame, table: DataFrame, often: DataFrame, by: str, *key: str) -> DataFrame:
+    """The rows joined with the table's row of their key. The rows of a frequent key (see `_often`) are dealt by another
+    column to copies of that row, SPOKES to a copy, so that no task gets a key whole."""
+    hot = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    dealt = rows.join(hot, list(key), "left").withColumn("copy", F.expr(f"CAST(pmod(xxhash64({by}), coalesce(copies, 1)) AS int)")).drop("copies")
+    copied = table.join(hot, list(key), "left").withColumn("copy", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
+    return dealt.join(copied, [*key, "copy"]).drop("copy")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the least node reachable) of all nodes of the links (a, b), by label spreading and jumping.
 
@@ -123,18 +140,21 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "dedup-edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "dedup-labels")
+    stars = _often(both, "b")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("new"))
+        near = _dealt(both, labels.select(F.col("node").alias("b"), "label"), stars, "a", "b").groupBy("a").agg(F.min("label").alias("near"))
+        spread = staged(labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("via")), "dedup-spread")
+        # A large component's nodes have one label: they are dealt as well.
+        large = _often(spread, "via")
         further = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        new = staged(spread.join(further, F.col("new") == F.col("via")).select("node", "old", F.least("new", "beyond").alias("label")), "dedup-labels")
+        new = staged(_dealt(spread, further, large, "node", "via").select("node", "old", F.least("via", "beyond").alias("label")), "dedup-labels")
         moved = new.where("old <> label").limit(1).count()
-        dropped(labels)
+        dropped(labels, spread, large)
         path = new._lodestone_path
         labels = new.drop("old")
         labels._lodestone_path = path
         if not moved:
-            dropped(both)
+            dropped(both, stars)
             return labels
 
 
@@ -274,18 +294,28 @@ def _cross_pairs(members: DataFrame, spec: Spec, hot: DataFrame) -> DataFrame:
     return ordered.mapInArrow(pairs, "a long, b long")
 
 
-def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, n, row and component (row and doc_id of its first member) of every row."""
-    signed = _signed(df, spec, id_col, text_col)
+class _Round(NamedTuple):
+    """Buckets with nodes of different labels: their members, each one's star, the stars' overlaps, and what to drop."""
+
+    members: DataFrame
+    star: DataFrame
+    hot: DataFrame
+    sets: DataFrame
+    overlaps: DataFrame
+    tables: list[DataFrame]
+
+
+def _compared(df: DataFrame, spec: Spec, id_col: str, text_col: str, signed: DataFrame, nodes: DataFrame, each: DataFrame) -> _Round | None:
+    """Compare the members of every bucket of `each` (node, label, band, key) whose nodes have different labels with the
+    bucket's star, its most shared node; None if there is no such bucket."""
     sig = [f"s{i}" for i in range(WORDS)]
-    # Equal sets are one node, named by their least row: copies collapse here, however many there are.
-    nodes = staged(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "dedup-nodes")
-    first = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands")
-    each = first.select("node", F.posexplode("bands").alias("band", "key"))
-    full = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "dedup-full")
+    full = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "members"), "dedup-full")
+    if not full.limit(1).count():
+        dropped(full)
+        return None
     crowded = staged(full.where(F.col("members") > SPOKES).select("key", F.expr(f"CAST(ceil(members / {SPOKES}) AS int)").alias("copies")), "dedup-crowded")
     hot = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
-    shared = staged(_with_bucket(each, full.select("key"), hot), "dedup-buckets")
+    shared = staged(_with_bucket(each.select("key", "band", "node"), full.select("key"), hot), "dedup-buckets")
     dropped(full)
     wanted = staged(nodes.join(shared.select("node").distinct(), "node"), "dedup-wanted")
     sets = _sets(df, wanted, spec, id_col, text_col)
@@ -293,32 +323,65 @@ def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFram
     # A node whose core is too small for any partner takes no part.
     about = staged(_cores(sets).where(_similar(spec, F.col("core"), F.col("n"), F.col("core"))).join(signatures, "node"), "dedup-about")
     members = staged(shared.join(about, "node").select("key", "band", "node", "n", "core", *sig), "dedup-members")
-
-    # First every member against its bucket's most shared node: one pair a member links nearly all of a large group.
     star = members.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("core")).cast("double") / F.col("n"), F.col("node"))).alias("best")).select("key", F.col("best.node").alias("b"))
-    spokes = _with_bucket(members.select("key", "node"), star, hot).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    ends = spokes.join(about.alias("x"), F.col("a") == F.col("x.node")).join(about.alias("y"), F.col("b") == F.col("y.node"))
-    overlaps = _overlaps(ends.where(_possible(spec, "x", "y") & _near(spec, "x", "y")).select("a", "b"), sets)
-    links = _confirmed(overlaps, spec)
-    labels = components(links)
-    # Then whatever pairs of a bucket are still apart, all of them.
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    shares = overlaps.select(F.col("a").alias("node"), "b", "inside")
-    starred = _with_bucket(labelled, star.join(apart, "key"), hot).join(shares, ["node", "b"], "left").withColumn("inside", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.coalesce("inside", F.lit(-1))))
-    known = starred.drop("b").join(signed.select(F.col("row").alias("node"), "bands"), "node")
-    extra = _overlaps(_cross_pairs(known, spec, hot), sets)
-    more = _confirmed(extra, spec)
-    old_labels = []
-    if more.limit(1).count():
-        old_labels, labels = [labels], components(links.union(more))
+    spokes = staged(_with_bucket(members.select("key", "node"), star, hot).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "dedup-spokes")
+    stars = _often(spokes, "b")
+    of_b = about.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "core", *sig)])
+    ends = _dealt(spokes, of_b, stars, "a", "b").join(about.alias("x"), F.col("a") == F.col("x.node"))
+    both = ends.select("a", "b", F.struct("x.n", "x.core", *[f"x.{c}" for c in sig]).alias("x"), F.struct(*[F.col(f"b_{c}").alias(c) for c in ("n", "core", *sig)]).alias("y"))
+    overlaps = _overlaps(both.where(_possible(spec, "x", "y") & _near(spec, "x", "y")).select("a", "b"), sets)
+    return _Round(members, star, hot, sets, overlaps, [crowded, shared, wanted, about, spokes, stars, members, sets, overlaps])
+
+
+def _labelled(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n, row and component (row and doc_id of its first member) of every row.
+
+    First the members of the first bands' buckets are compared with their stars: few rows a node, and they link nearly all
+    of a large group. Then the buckets of all bands are looked at that still hold nodes of different components.
+    """
+    signed = _signed(df, spec, id_col, text_col)
+    # Equal sets are one node, named by their least row: copies collapse here, however many there are.
+    nodes = staged(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "dedup-nodes")
+    banded = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands")
+    early = banded.select("node", F.col("node").alias("label"), F.posexplode(F.slice("bands", 1, FIRST_BANDS)).alias("band", "key"))
+    first = _compared(df, spec, id_col, text_col, signed, nodes, early)
+    links = [] if first is None else [_confirmed(first.overlaps, spec)]
+    no_labels = df.sparkSession.createDataFrame([], "node long, label long")
+    labels = components(links[0]) if links else no_labels
+    named = banded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    second = _compared(df, spec, id_col, text_col, signed, nodes, named.select("node", "label", F.posexplode("bands").alias("band", "key")))
+    tables = [] if first is None else first.tables
+    if second is not None:
+        links.append(_confirmed(second.overlaps, spec))
+        tables += [*second.tables, labels]
+        labels = components(links[0].union(links[1]) if len(links) > 1 else links[0])
+        # Then whatever pairs of a bucket are still apart, all of them.
+        labelled = second.members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        shares = second.overlaps.select(F.col("a").alias("node"), "b", "inside")
+        starred = _with_bucket(labelled, second.star.join(apart, "key"), second.hot).join(shares, ["node", "b"], "left").withColumn("inside", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.coalesce("inside", F.lit(-1))))
+        known = starred.drop("b").join(signed.select(F.col("row").alias("node"), "bands"), "node")
+        extra = _overlaps(_cross_pairs(known, spec, second.hot), second.sets)
+        more = _confirmed(extra, spec)
+        tables.append(extra)
+        if more.limit(1).count():
+            tables.append(labels)
+            links.append(more)
+            whole = links[0]
+            for some in links[1:]:
+                whole = whole.union(some)
+            labels = components(whole)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    of = named.join(lowest, "label").select("h1", "h2", "label", "component_id")
-    rows = signed.select("row", "doc_id", "text_hash", "h1", "h2", "n").join(of, ["h1", "h2"], "left")
-    out = rows.select("row", "doc_id", "text_hash", "n", F.coalesce("label", "row").alias("component"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    result = staged(out, "dedup-result")
-    dropped(signed, nodes, crowded, shared, wanted, sets, about, members, overlaps, extra, *old_labels, labels)
+    sizes = _often(named, "label")
+    of = _dealt(named, lowest, sizes, "node", "label").select("h1", "h2", "label", "component_id")
+    rows = signed.select("row", "doc_id", "text_hash", "h1", "h2", "n")
+    # Rows without words are answered as they are; copies of one text are dealt to copies of its node's row.
+    worded = rows.where("n > 0")
+    copies = _often(worded, "h1", "h2")
+    out = _dealt(worded, of, copies, "row", "h1", "h2").select("row", "doc_id", "text_hash", "n", F.col("label").alias("component"), "component_id")
+    result = staged(out.unionByName(rows.where("n = 0").select("row", "doc_id", "text_hash", "n", F.col("row").alias("component"), F.col("doc_id").alias("component_id"))), "dedup-result")
+    dropped(signed, nodes, sizes, copies, *tables, labels)
     return result
 
 

@@ -1,6 +1,7 @@
 """A star with very many spokes: every task that compares sets gets a bounded share of them."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import _common, near_dedup
@@ -38,12 +39,51 @@ def test_crowded_buckets(spark, monkeypatch):
     assert got == brute_components(texts, 3, 85)
 
 
-def test_shares_of_a_star(spark, monkeypatch):
-    """100,000 spokes: no copy of the star's set meets more than about SPOKES of them."""
-    pairs = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
-    copies = -(-100_000 // near_dedup.SPOKES)
-    shares = pairs.groupBy(F.expr(f"pmod(xxhash64(a), {copies})")).count().agg(F.max("count")).first()[0]
-    assert shares < 1.25 * near_dedup.SPOKES
+@pytest.fixture()
+def plain_joins(spark):
+    """No broadcast joins and no adaptive splits: what a task gets is what the operator deals to it."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def test_hot_keys_are_dealt(spark, plain_joins):
+    """100,000 rows of one key: no partition of the join holds more than a few shares of SPOKES rows."""
+    rows = spark.range(100_000).select(F.col("id").alias("a"), F.when(F.col("id") < 99_000, 0).otherwise(F.col("id")).alias("b"))
+    table = rows.select("b", (F.col("b") * 2).alias("twice")).distinct()
+    often = near_dedup._often(rows, "b")
+    assert [r.copies for r in often.collect()] == [-(-99_000 // near_dedup.SPOKES)]
+    joined = near_dedup._dealt(rows, table, often, "a", "b")
+    assert joined.where("twice = 2 * b").count() == 100_000
+    assert joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 8 * near_dedup.SPOKES
+
+
+def test_components_of_a_star(spark):
+    """100,000 spokes of one node, and a chain."""
+    star = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    chain = spark.range(200_000, 200_020).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    labels = near_dedup.components(star.union(chain))
+    assert {(r.label, r["count"]) for r in labels.groupBy("label").count().collect()} == {(0, 100_001), (200_000, 21)}
+
+
+def test_copies_and_empty_texts(spark, monkeypatch, plain_joins):
+    """Very many copies of one text, rows without words, and near copies of a second text that fill the first buckets."""
+    monkeypatch.setattr(near_dedup, "SPOKES", 64)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:k], "x", *base[k:]]) for k in rng.integers(0, 60, 40)]
+    texts = ["one two three four"] * 3000 + [""] * 2000 + [None] * 1000 + near + [" ".join(f"own{i} {j}" for j in range(9)) for i in range(50)]
+    df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(df, near_dedup.Spec(3, 85)).collect()}
+    assert len(got) == len(texts)
+    assert {got[i].component_id for i in range(1, 3001)} == {1} and sum(got[i].kept for i in range(1, 3001)) == 1
+    assert all(got[i].component_id == i and got[i].kept and got[i].n_shingles == 0 for i in range(3001, 6001))
+    want = brute_components({i + 1: t for i, t in enumerate(texts) if i >= 6000}, 3, 85)
+    assert {i: (got[i].n_shingles, got[i].component_id, got[i].kept) for i in want} == want
 
 
 def test_intermediate_tables_go(spark):
