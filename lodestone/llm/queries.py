@@ -61,6 +61,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy web-1 costs, from the bits of op7's ledger."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "web-1")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
@@ -132,6 +137,12 @@ WITH texts AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, n_upper, fail_bits FROM bits
 """
 
+ABLATIONS_SQL = (
+    OP7_SQL.rpartition("SELECT")[0]
+    + """SELECT rule, CAST(count(*) FILTER (WHERE fail_bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE fail_bits = bit) AS BIGINT) AS n_alone, CAST(count(*) FILTER (WHERE fail_bits & ~bit = 0) AS BIGINT) AS n_kept_without
+FROM bits, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('shouting', 16), ('word_length', 32)) AS rules(rule, bit) GROUP BY rule"""
+)
+
 OP5_SQL = r"""
 WITH RECURSIVE parsed AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -189,10 +200,11 @@ QUERIES = {
     "op5_bbit_minhash": op5,
     "op6_heap_pair_merge_counts": op6,
     "op7_rule_bitmask_ledger": op7,
+    "rule_ablations": rule_ablations,
     "op8_power_of_two_packing": op8,
     "op9_simple8b_files": op9,
     "op10_feistel_pseudonyms": op10,
     "op11_recurrent_labeller": op11,
     "op12_harmonic_runs": op12,
 }
-ORACLES = {"op5_bbit_minhash": OP5_SQL, "op7_rule_bitmask_ledger": OP7_SQL, "op12_harmonic_runs": OP12_SQL}
+ORACLES = {"op5_bbit_minhash": OP5_SQL, "op7_rule_bitmask_ledger": OP7_SQL, "rule_ablations": ABLATIONS_SQL, "op12_harmonic_runs": OP12_SQL}
