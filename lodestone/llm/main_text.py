@@ -126,14 +126,16 @@ def _new_model(rng: np.random.Generator) -> Model:
     return model
 
 
-def _direction(model: Model, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (steps, pages, HIDDEN) over padded inputs (steps, pages, size), and what the way back needs."""
-    h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
-    fed, states, kept = x @ model[f"w{side}"] + model[f"b{side}"], [], []
+def _both_ways(model: Model, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden states (steps, 2, pages, HIDDEN) over padded inputs (steps, 2, pages, size), forward and backward side by
+    side, and what the way back needs."""
+    w, u, b = (np.stack([model[f"{k}f"], model[f"{k}b"]]) for k in "wub")
+    h = c = np.zeros((2, x.shape[2], HIDDEN), np.float32)
+    fed, states, kept = x @ w + b[:, None], [], []
     for t in range(len(x)):
-        z = fed[t] + h @ model[f"u{side}"]
-        gates, fresh = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
-        i, forget, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
+        z = fed[t] + h @ u
+        gates, fresh = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
+        i, forget, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
         m = mask[t][:, None]
         next_c = np.where(m, forget * c + i * fresh, c)
         shown = np.tanh(next_c)
@@ -144,47 +146,52 @@ def _direction(model: Model, side: str, x: np.ndarray, mask: np.ndarray) -> tupl
     return np.stack(states), kept
 
 
-def _back(model: Model, side: str, x: np.ndarray, kept: list, d_states: np.ndarray, grads: Model) -> np.ndarray:
-    """Gradients of one direction; returns those of its inputs."""
-    u = model[f"u{side}"]
+def _way_back(model: Model, x: np.ndarray, kept: list, d_states: np.ndarray, grads: Model) -> np.ndarray:
+    """Gradients of both directions; returns those of their inputs."""
+    w, u = (np.stack([model[f"{k}f"], model[f"{k}b"]]) for k in "wu")
+    w_back, u_back = w.transpose(0, 2, 1), np.ascontiguousarray(u.transpose(0, 2, 1))
     d_h = d_c = np.zeros_like(kept[0][5])
-    d_z = np.zeros((len(kept), *kept[0][0].shape[:1], 4 * HIDDEN), np.float32)
+    d_z = np.zeros((len(kept), *d_h.shape[:2], 4 * HIDDEN), x.dtype)
     for t in reversed(range(len(kept))):
         i, forget, o, fresh, c, h, shown, m = kept[t]
         d_h = d_h + d_states[t]
         through_h, through_c = np.where(m, d_h, 0), np.where(m, d_c, 0)
         into_c = through_c + through_h * o * (1 - shown * shown)
-        z = np.concatenate([into_c * fresh * i * (1 - i), into_c * c * forget * (1 - forget), through_h * shown * o * (1 - o), into_c * i * (1 - fresh * fresh)], axis=1)
-        d_z[t] = z
-        grads[f"u{side}"] += h.T @ z
-        d_h = np.where(m, 0, d_h) + z @ u.T
+        z = d_z[t]
+        z[..., :HIDDEN] = into_c * fresh * i * (1 - i)
+        z[..., HIDDEN : 2 * HIDDEN] = into_c * c * forget * (1 - forget)
+        z[..., 2 * HIDDEN : 3 * HIDDEN] = through_h * shown * o * (1 - o)
+        z[..., 3 * HIDDEN :] = into_c * i * (1 - fresh * fresh)
+        d_h = np.where(m, 0, d_h) + z @ u_back
         d_c = np.where(m, into_c * forget, d_c)
-    flat = d_z.reshape(-1, 4 * HIDDEN)
-    grads[f"w{side}"] += x.reshape(-1, x.shape[2]).T @ flat
-    grads[f"b{side}"] += flat.sum(axis=0)
-    return d_z @ model[f"w{side}"].T
+    # Products of small matrices, step by step: large ones would be dealt to threads that wait busily for the next.
+    before = np.stack([k[5] for k in kept])
+    of_u, of_w = (np.matmul(y.transpose(0, 1, 3, 2), d_z).sum(axis=0) for y in (before, x))
+    for side, name in enumerate("fb"):
+        grads[f"u{name}"], grads[f"w{name}"], grads[f"b{name}"] = of_u[side], of_w[side], d_z[:, side].sum(axis=(0, 1))
+    return d_z @ w_back
 
 
-def gradients(model: Model, pages: list[list[Block]], labels: list[np.ndarray]) -> tuple[float, Model]:
+def gradients(model: Model, f: Features, labels: np.ndarray) -> tuple[float, Model]:
     """Mean loss of the pages' blocks, and its gradients."""
-    f = Features(pages)
-    rows, steps = _inputs(model, f), int(f.sizes.max())
-    page = np.repeat(np.arange(len(pages)), f.sizes)
+    rows, steps, n_pages = _inputs(model, f), int(f.sizes.max()), len(f.sizes)
+    page = np.repeat(np.arange(n_pages), f.sizes)
     step = np.arange(len(rows)) - np.repeat(np.cumsum(f.sizes) - f.sizes, f.sizes)
     ends = (f.sizes[page] - 1 - step, page)
-    x, x_back, mask = np.zeros((steps, len(pages), rows.shape[1]), np.float32), np.zeros((steps, len(pages), rows.shape[1]), np.float32), np.zeros((steps, len(pages)), bool)
-    x[step, page], x_back[ends], mask[step, page] = rows, rows, True
-    forth, kept_f = _direction(model, "f", x, mask)
-    back, kept_b = _direction(model, "b", x_back, mask)
-    score = rows @ model["direct"] + model["bias"] + forth[step, page] @ model["of"] + back[ends] @ model["ob"]
-    y, p = np.concatenate(labels).astype(np.float32), _sigmoid(score)
+    x, mask = np.zeros((steps, 2, n_pages, rows.shape[1]), np.float32), np.zeros((steps, n_pages), bool)
+    x[step, 0, page], x[ends[0], 1, page], mask[step, page] = rows, rows, True
+    states, kept = _both_ways(model, x, mask)
+    forth, back = states[step, 0, page], states[ends[0], 1, page]
+    score = rows @ model["direct"] + model["bias"] + forth @ model["of"] + back @ model["ob"]
+    y, p = labels.astype(np.float32), _sigmoid(score)
     loss = float(-np.mean(y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)))
     d = ((p - y) / len(y)).astype(np.float32)
     grads = {k: np.zeros_like(v) for k, v in model.items()}
-    grads["of"], grads["ob"], grads["direct"], grads["bias"] = forth[step, page].T @ d, back[ends].T @ d, rows.T @ d, d.sum(keepdims=True)
-    d_forth, d_back = np.zeros_like(forth), np.zeros_like(back)
-    d_forth[step, page], d_back[ends] = d[:, None] * model["of"], d[:, None] * model["ob"]
-    d_rows = d[:, None] * model["direct"] + _back(model, "f", x, kept_f, d_forth, grads)[step, page] + _back(model, "b", x_back, kept_b, d_back, grads)[ends]
+    grads["of"], grads["ob"], grads["direct"], grads["bias"] = forth.T @ d, back.T @ d, rows.T @ d, d.sum(keepdims=True)
+    d_states = np.zeros_like(states)
+    d_states[step, 0, page], d_states[ends[0], 1, page] = d[:, None] * model["of"], d[:, None] * model["ob"]
+    d_x = _way_back(model, x, kept, d_states, grads)
+    d_rows = d[:, None] * model["direct"] + d_x[step, 0, page] + d_x[ends[0], 1, page]
     a, b, c = WORD_DIM, WORD_DIM + PATH_DIM, WORD_DIM + PATH_DIM + OWN_DIM
     np.add.at(grads["words"], f.words, np.repeat(d_rows[:, :a] / np.sqrt(f.n_words)[:, None], f.n_words, axis=0))
     by_path = np.zeros((len(f.paths), PATH_DIM), np.float32)
@@ -212,18 +219,18 @@ def trained(count: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
     pages, labels = labelled_blocks(count, seed)
     model, rng = _new_model(np.random.default_rng(seed)), random.Random(seed)
     first, second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
-    order, done = list(range(len(pages))), 0
-    total = epochs * -(-len(pages) // PAGES_A_STEP)
+    # Pages of about one length step together, in another order each time.
+    order = list(range(len(pages)))
+    pools = [sorted(order[at : at + 16 * PAGES_A_STEP], key=lambda i: len(pages[i])) for at in range(0, len(order), 16 * PAGES_A_STEP)]
+    together = [pool[at : at + PAGES_A_STEP] for pool in pools for at in range(0, len(pool), PAGES_A_STEP)]
+    steps = [(Features([pages[i] for i in some]), np.concatenate([labels[i] for i in some])) for some in together]
+    done = 0
     for _ in range(epochs):
-        rng.shuffle(order)
-        # Pages of about one length step together.
-        pools = [sorted(order[at : at + 16 * PAGES_A_STEP], key=lambda i: len(pages[i])) for at in range(0, len(order), 16 * PAGES_A_STEP)]
-        steps = [pool[at : at + PAGES_A_STEP] for pool in pools for at in range(0, len(pool), PAGES_A_STEP)]
         rng.shuffle(steps)
-        for some in steps:
-            _, grads = gradients(model, [pages[i] for i in some], [labels[i] for i in some])
+        for features, truth in steps:
+            _, grads = gradients(model, features, truth)
             done += 1
-            rate = RATE * (1 - done / (total + 1))
+            rate = RATE * (1 - done / (epochs * len(steps) + 1))
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g

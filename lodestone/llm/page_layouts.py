@@ -40,7 +40,7 @@ _SYLLABLES = "the an er on in re ti es or st en al la le de ra no mi co ta ung e
 class _Page:
     def __init__(self, rng: random.Random) -> None:
         self.rng, self.parts, self.size, self.main = rng, [], 0, []
-        self.vocabulary = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(1, 4))) for _ in range(150)] + FUNCTION
+        self.vocabulary = ["".join(rng.choices(_SYLLABLES, k=n)) for n in rng.choices([1, 2, 3], k=150)] + FUNCTION
         # Some sites name their parts as others do, some by words of their own, some not at all.
         self.naming = rng.choices(["plain", "own", "none"], [6, 1, 2])[0]
         self.semantic = rng.random() < 0.55
@@ -56,7 +56,9 @@ class _Page:
     def words(self, n: int, kind: str = "") -> str:
         rng = self.rng
         said = SAYS.get(kind)
-        picked = [rng.choice(said) if said and rng.random() < 0.35 else rng.choice(self.vocabulary) for _ in range(n)]
+        picked = rng.choices(self.vocabulary, k=n)
+        if said:
+            picked = [rng.choice(said) if rng.random() < 0.35 else w for w in picked]
         if kind in ("", "ad", "side", "comment") and n > 4:
             for i in range(rng.randrange(4, 14), n, rng.randrange(5, 16)):
                 picked[i] += rng.choice([".", ",", ".", ";"])

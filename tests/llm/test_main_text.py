@@ -54,13 +54,14 @@ def test_long_pages_take_linear_time(part):
 def test_gradients():
     pages, labels = mt.labelled_blocks(5, 1)
     model = {k: v.astype(float) for k, v in mt._new_model(np.random.default_rng(0)).items()}
-    _, grads = mt.gradients(model, pages, labels)
+    features, truth = mt.Features(pages), np.concatenate(labels)
+    _, grads = mt.gradients(model, features, truth)
     for name, g in grads.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         losses = []
         for step in (1e-3, -2e-3):
             model[name][at] += step
-            losses.append(mt.gradients(model, pages, labels)[0])
+            losses.append(mt.gradients(model, features, truth)[0])
         model[name][at] += 1e-3
         assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(g[at], rel=0.02)
 
@@ -73,7 +74,7 @@ def test_both_ways_of_reading_agree():
         (alone,) = mt.judged(model, [page])
         assert np.allclose(chance, alone, atol=1e-4)
         loss = -np.mean(np.where(label, np.log(chance + 1e-7), np.log(1 - chance + 1e-7)))
-        assert mt.gradients(model, [page], [label])[0] == pytest.approx(loss, rel=1e-3)
+        assert mt.gradients(model, mt.Features([page]), label)[0] == pytest.approx(loss, rel=1e-3)
 
 
 def test_held_out_accuracy():
