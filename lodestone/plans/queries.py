@@ -43,7 +43,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 def index(spark: SparkSession, d: str) -> retrieval.Index:
     words = postings(spark, d)
-    return retrieval.Index(corpus(spark, d), words, sparse.idf_scores(words, texts(spark, d)), colbert(spark, d))
+    return retrieval.Index(corpus(spark, d), words, sparse.idf_scores(words, texts(spark, d)), colbert(spark, d), texts(spark, d).select("chunk_id"))
 
 
 def _queries(spark: SparkSession, d: str, texts: DataFrame) -> retrieval.Queries:

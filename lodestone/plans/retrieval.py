@@ -25,6 +25,8 @@ class Index:
     postings: DataFrame
     idf: DataFrame
     colbert: DataFrame | None = None
+    #: chunk_id of all chunks, where that is cheaper to read than from `chunks`.
+    ids: DataFrame | None = None
 
 
 @dataclass
@@ -43,7 +45,7 @@ def hybrid(index: Index, queries: Queries, top_k: int = 10, filters: Mapping[str
     """
     dense = search_dense(index.chunks, queries.rows, config.top_k_dense, filters)
     allowed = index.chunks.where(equal_to(filters)) if config.filter_sparse and filters else None
-    sparse = search_sparse(index.postings, index.idf, queries.tokens, config.top_k_sparse, chunks=index.chunks, allowed=allowed)
+    sparse = search_sparse(index.postings, index.idf, queries.tokens, config.top_k_sparse, chunks=index.chunks if index.ids is None else index.ids, allowed=allowed)
     fused = rrf(dense, sparse, config.rrf_k, max(top_k, 0))
     if use_colbert_rerank and index.colbert is not None:
         again = colbert_rerank(fused, queries.rows, index.colbert, top_k)

@@ -54,7 +54,7 @@ def test_growing_input(spark, folders):
     now = docs.where("doc_id % 6 <> 1").unionByName(changed)
     index = open_index(spark, target)
     assert rows(index.scored()) == whole(now)
-    few = index.postings(spark.createDataFrame([("fresh",), ("the",)], "token string")).where("token IN ('fresh', 'the')")
+    few = index.postings(spark.createDataFrame([("fresh",), ("the",)], "token string"))
     assert sorted((r.chunk_id, r.token, r.weight) for r in few.collect()) == sorted((c, t, w) for c, t, w, _, _ in whole(now) if t in ("fresh", "the"))
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", few._jdf.queryExecution().executedPlan().toString())
 
