@@ -92,6 +92,15 @@ def test_removed_documents(spark, folders):
     assert rows(index.scored()) == whole(docs.drop("gone").where("doc_id >= 40 OR doc_id < 20"))
 
 
+def test_paths_with_a_scheme(spark, folders):
+    """Paths go to Spark as they are: one with a scheme, of a file or a folder, works as a plain one."""
+    source, target, checkpoint = (f"file://{f}" for f in folders)
+    spark.read.parquet(DOCUMENTS).coalesce(1).write.parquet(source)
+    assert update_index(spark, source, target, checkpoint)["read"] == 200
+    assert update_index(spark, f"file://{DOCUMENTS}", f"{target}2", f"{checkpoint}2")["read"] == 200
+    assert rows(open_index(spark, f"{target}2").scored()) == rows(open_index(spark, folders[1]).scored())
+
+
 def test_odd_rows(spark, folders):
     """Nulls, empty texts, repeated ids, an empty file."""
     source, target, checkpoint = folders
