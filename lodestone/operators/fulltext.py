@@ -18,17 +18,31 @@ def all_one(frequencies: DataFrame) -> DataFrame:
     return frequencies.select("token", "df", F.lit(1.0).alias("idf"))
 
 
+def bm25_idf(frequencies: DataFrame, lengths: DataFrame) -> DataFrame:
+    """token, df and idf, the part of BM25 that a token has alone. lengths: chunk_id, n_words of all chunks."""
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return frequencies.crossJoin(F.broadcast(lengths.agg(F.count(F.lit(1)).alias("n")))).select("token", "df", part.alias("idf"))
+
+
+def bm25_weights(postings: DataFrame, lengths: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """chunk_id, token and weight, the rest of BM25, from a posting and its chunk's length: search them with `search_sparse`
+    and `bm25_idf`, so that no posting meets its token's frequency. Lengths are dealt by chunk once, for both their uses."""
+    tf, dealt = F.col("weight"), lengths.select("chunk_id", "n_words").repartition("chunk_id")
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_words") / F.col("mean")))
+    rows = postings.select("chunk_id", "token", "weight").join(dealt, "chunk_id")
+    return rows.crossJoin(F.broadcast(dealt.agg(F.avg("n_words").alias("mean")))).select("chunk_id", "token", part.alias("weight"))
+
+
 def bm25_postings(postings: DataFrame, lengths: DataFrame, frequencies: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """chunk_id, token and weight, the BM25 part of each posting: search them with `search_sparse` and `all_one`.
+    """chunk_id, token and weight, the whole BM25 part of each posting: search them with `search_sparse` and `all_one`.
 
     lengths: chunk_id, n_words of all chunks, those without words too; frequencies: token, df.
     """
-    about = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean"))
-    tf = F.col("weight")
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_words") / F.col("mean")))
-    rows = postings.select("chunk_id", "token", "weight").join(lengths.select("chunk_id", "n_words"), "chunk_id")
     # Frequent words are few, and their frequencies are broadcast; the rest can't make a hot key.
-    return _with_frequency(rows, frequencies).crossJoin(F.broadcast(about)).select("chunk_id", "token", part.alias("weight"))
+    rows = _with_frequency(bm25_weights(postings, lengths, k1, b), frequencies)
+    n = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("n")))
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("weight")
+    return rows.crossJoin(n).select("chunk_id", "token", part.alias("weight"))
 
 
 def _with_frequency(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -44,7 +58,7 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame, frequencies: DataFrame)
     """qid, chunk_id and n_hits: how often the words of each phrase stand one after the other in each chunk.
 
     postings: chunk_id, token, positions; phrases: qid, words (array of tokens; null or empty ones have no hits);
-    frequencies: token, df. A phrase's rarest word names the chunks to look at; its other words are joined by word and
+    frequencies: token, df. Give the postings of the phrases' words alone where they are at hand. A phrase's rarest word names the chunks to look at; its other words are joined by word and
     chunk together, so a word of all chunks is looked up for those chunks alone.
     """
     words = phrases.where(F.size("words") > 0).select("qid", F.size("words").alias("n"), F.posexplode("words").alias("i", "token"))
