@@ -91,3 +91,14 @@ def test_a_bad_header_changes_nothing(spark, folder, tmp_path):
     with pytest.raises(Exception, match="front matter"):
         ingest.ingest_folder(spark, store, str(folder), EMBEDDER)
     assert chunks(store) == before and store.version == version
+
+
+def test_small_files_share_tasks_and_the_setting_is_restored(spark, tmp_path):
+    from lodestone.sources import markdown
+
+    for i in range(200):
+        (tmp_path / f"{i}.md").write_text("## a\nb")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with markdown.small_files(spark):
+        assert markdown.markdown_files(spark, str(tmp_path)).rdd.getNumPartitions() <= 4
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
