@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged, word_hashes
+from ._common import shuffles_deleted, staged, word_hashes
 from .ngram_trie import CHILD_BITS, STEP, Trie, code, mapped
 
 #: Tokens of a batch, the unit that asks shards for counts; nodes that a shard is to hold, over all batches.
-BATCH_TOKENS, SHARD_NODES = 1 << 20, 1 << 20
+BATCH_TOKENS, SHARD_NODES = 3 << 18, 1 << 20
 #: A word that begins at least this share of all n-grams is dealt to SALTS shards by its next word. At most 1000 words.
 HOT_SHARE, SALTS = 1 / 1000, 32
+#: Parts that the shards are asked in, one after the other: one part's requests lie on disk at a time.
+ROUNDS = 2
 START, END = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
 
 
@@ -38,13 +41,18 @@ def _grown(raw: bytes) -> np.ndarray:
 
 
 def _tokenised(df: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    """batch, doc_ids, held, lengths, vocabulary (rising hashes), tokens (places in it, compressed), hot (its frequent words)."""
+    """batch, doc_ids, held, lengths, vocabulary (hashes, frequent ones first), tokens (places in it, compressed), hot (its frequent words)."""
 
     def batch_of(docs: list, held: list, found: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(f) for f in found], dtype="<u4")
         words, tokens, counts = np.unique(np.concatenate([np.array([START], np.uint64), *found]), return_inverse=True, return_counts=True)
         tokens = tokens[1:]
         counts[words == np.uint64(START)] = len(docs)
+        # Kept by how often they come: the places of frequent words are small, and so compress.
+        by = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        words, tokens, counts = words[by], rank[tokens], counts[by]
         often = (counts >= HOT_SHARE / 2 * len(tokens)) & (words != np.uint64(END))
         hot = [{"word": w, "n": n} for w, n in zip(words[often].view(np.int64).tolist(), counts[often].tolist())]
         values = ([docs], [held], [lengths.tobytes()], [words.astype("<u8").tobytes()], [_shrunk(tokens)], [len(words)], [len(tokens)], [int(lengths[~np.array(held)].sum())], [hot])
@@ -132,10 +140,12 @@ class _Grams:
         asked = np.unique(self.shard[0])
         return asked, [(np.searchsorted(s, asked, side="left"), np.searchsorted(s, asked, side="right")) for s in self.shard]
 
-    def requests(self) -> Iterator[tuple[int, bytes]]:
-        """(shard, nodes): for each shard its nodes' keys, training counts and, below level 1, parents, compressed."""
+    def requests(self, part: int = 0, parts: int = 1) -> Iterator[tuple[int, bytes]]:
+        """(shard, nodes): for each shard of that part its nodes' keys, training counts and, below level 1, parents, compressed."""
         asked, cuts = self.slices()
         for i, shard in enumerate(asked.tolist()):
+            if shard % parts != part:
+                continue
             body = []
             for k, (begins, ends) in enumerate(cuts):
                 a, b = int(begins[i]), int(ends[i])
@@ -286,7 +296,8 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
     as context.
 
     Documents are gathered to batches; a batch asks each shard, by its n-grams' first word, for the distinct n-grams it
-    holds, with its own counts. A shard adds up the counts of all batches, builds its trie and answers from it; no
+    holds, with its own counts; a part of the shards after the other (ROUNDS), and a part's requests leave the disks before
+    the next one's are made. A shard adds up the counts of all batches, builds its trie and answers from it; no
     task sees more than its shard or batch, and hot first words are split by their second. Every n-gram of the training
     texts counts, none is pruned. Words are told apart by 64 bits of hash (48 below the first).
 
@@ -303,20 +314,26 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
 
     def grams_of(batch: pa.RecordBatch, i: int, names: list[str]) -> tuple[_Grams, np.ndarray, np.ndarray]:
         row = {name: batch.column(k)[i] for k, name in enumerate(names)}
-        words, lengths = np.frombuffer(row["words"].as_py(), "<u8"), np.frombuffer(row["lengths"].as_py(), "<u4").astype(np.int64)
-        tokens = _grown(row["tokens"].as_py())
+        kept, lengths = np.frombuffer(row["words"].as_py(), "<u8"), np.frombuffer(row["lengths"].as_py(), "<u4").astype(np.int64)
+        by = np.argsort(kept)
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        words, tokens = kept[by], place[_grown(row["tokens"].as_py())]
         train = ~np.array(row["held"].as_py(), dtype=bool)
         return _Grams(words, tokens, lengths, train, order, shards, hot), tokens, lengths
 
     names = ["batch", "held", "lengths", "words", "tokens"]
 
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for i in range(batch.num_rows):
-                grams, _, _ = grams_of(batch, i, names)
-                number = batch.column(0)[i].as_py()
-                for shard, raw in grams.requests():
-                    yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([number]), pa.array([raw], pa.binary())], names=["shard", "batch", "nodes"])
+    def asked(part: int) -> DataFrame:
+        def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                for i in range(batch.num_rows):
+                    grams, _, _ = grams_of(batch, i, names)
+                    number = batch.column(0)[i].as_py()
+                    for shard, raw in grams.requests(part, ROUNDS):
+                        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([number]), pa.array([raw], pa.binary())], names=["shard", "batch", "nodes"])
+
+        return batches.select(*names).mapInArrow(ask, "shard int, batch long, nodes binary")
 
     def answer(table: pa.Table) -> pa.Table:
         raws = [x.as_py() for x in table.column("nodes")]
@@ -328,8 +345,11 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
         distinct = int(own.sum()) - int((have[own] == np.uint64(START)).sum())
         return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "reply": pa.array(outs, pa.binary()), "n_distinct": pa.array([distinct] + [0] * (len(outs) - 1), pa.int64())})
 
-    asked = batches.select(*names).mapInArrow(ask, "shard int, batch long, nodes binary")
-    replies = staged(asked.groupBy("shard").applyInArrow(answer, "batch long, shard int, reply binary, n_distinct long"), "lm-replies")
+    answered = []
+    for part in range(ROUNDS):
+        with shuffles_deleted(spark):
+            answered.append(staged(asked(part).groupBy("shard").applyInArrow(answer, "batch long, shard int, reply binary, n_distinct long"), "lm-replies"))
+    replies = reduce(DataFrame.unionAll, answered)
     n_distinct = int(replies.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0])
     total = float(n_train + n_distinct + 1)
 
