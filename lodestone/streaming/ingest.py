@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunker import chunk_documents, last_of_each_id
-from ..operators.models import Embedder
+from ..operators.models import Embedder, with_embeddings
 from ..operators.store import SnapshotStore, changed
 from ..plans.ingest import commit_changes
 from ..sources.markdown import checked, front_matter, texts_of
@@ -34,7 +34,7 @@ def ingest_available(spark: SparkSession, store: SnapshotStore, folder: str, emb
         version = store.version
         old = store.read("chunks", version)
         todo = changed(old, chunks)
-        work = todo.join(embedder.embed(todo, "id", "text"), "id").persist()
+        work = with_embeddings(embedder, todo, "id", "text").persist()
         gone = old.join(documents.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id").join(chunks.select("id"), "id", "left_anti").persist()
         if work.limit(1).count() or gone.limit(1).count():
             commit_changes(store, version, work, gone)

@@ -126,3 +126,13 @@ def test_paragraphs(spark, most):
                 run = ""
         want += [run] if run else []
     assert got == want
+
+
+def test_documents_are_dealt_once(spark):
+    """Lines, sections, chunks and the last of each id stay where their document was dealt to."""
+    rows = spark.createDataFrame([("a.md", "x\n## A\none\n## A\ntwo", "d", "c", "1"), ("b.md", None, None, None, None), ("c.md", "## B\n" + "z " * 40 + "\n### C\nw", "", "", "")], "path string, content string, domain string, concept string, version string")
+    found = last_of_each_id(chunk_documents(rows, 5))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    text_shuffles = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(text_shuffles) <= 2, plan  # the lines, and the metadata of the documents
+    assert sorted((r.id, r.dup_count) for r in found.collect()) == [("a.md#a", 2), ("b.md#introduction", 1), ("c.md#c", 1)]
