@@ -13,14 +13,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shuffles_deleted, staged, word_hashes
+from ._common import dropped, shuffles_deleted, small_batches, staged, word_hashes
 from .ngram_trie import CHILD_BITS, STEP, Trie, code, mapped
 
 #: Tokens of a batch, the unit that asks shards for counts; nodes that a shard is to hold, over all batches.
 BATCH_TOKENS, SHARD_NODES = 1 << 20, 1 << 20
 #: A word that begins at least this share of all n-grams is dealt to SALTS shards by its next word. At most 1000 words.
 HOT_SHARE, SALTS = 1 / 1000, 32
-#: Parts that the shards are asked in, one after the other: one part's requests lie on disk at a time.
+#: Parts that the shards are asked in, and that batches meet their answers in, one after the other: one part's requests or
+#: answers are shuffled, and so lie on disk, at a time.
 ROUNDS = 2
 START, END = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
 
@@ -37,7 +38,7 @@ def _shrunk(tokens: np.ndarray) -> bytes:
 
 
 def _grown(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), "u1").reshape(4, -1).T).view("<i4").ravel()
 
 
 def _tokenised(df: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -75,7 +76,25 @@ def _tokenised(df: DataFrame, held_out: Column, id_col: str, text_col: str) -> D
 
     schema = "doc_ids array<long>, held array<boolean>, lengths binary, words binary, tokens binary, n_words long, n_tokens long, n_train long, hot array<struct<word: long, n: long>>"
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    return staged(texts.mapInArrow(tokenise, schema).withColumn("batch", F.monotonically_increasing_id()), "lm-batches")
+    return staged(texts.mapInArrow(tokenise, schema).withColumn("batch", F.monotonically_increasing_id()), "lm-batches", rows_a_file=1)
+
+
+def _distinct(path: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of the numbers, which have that many bits, and each number's place among them. Where they fit, the
+    numbers are sorted with their positions in their low bits: no second array is sorted along."""
+    low = max(len(path) - 1, 1).bit_length()
+    if bits + low > 63:
+        found, where = np.unique(path, return_inverse=True)
+        return found, where.astype(np.int32)
+    path = (path << low) | np.arange(len(path))
+    path.sort()
+    at = (path & ((1 << low) - 1)).astype(np.int32)
+    path >>= low
+    new = np.ones(len(path), dtype=bool)
+    np.not_equal(path[1:], path[:-1], out=new[1:])
+    where = np.empty(len(path), dtype=np.int32)
+    where[at] = np.cumsum(new, dtype=np.int32) - 1
+    return path[new], where
 
 
 class _Grams:
@@ -83,62 +102,74 @@ class _Grams:
 
     A node of level 1 is a word in one shard (a hot word is in several), START included. Deeper nodes are an n-gram's
     last word under the node of what is before it. `at[k]` has the node of each token's n-gram of k + 1 words (that is,
-    the token after k words of context), or -1 where the text hasn't so many before it.
+    the token after k words of context), or -1 where the text hasn't so many before it. `keys` and `counts` are made if
+    `asking`: to read the answers, the places suffice. Nodes and tokens of a batch are numbers of 32 bits.
     """
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray, order: int, shards: int, hot: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray, order: int, shards: int, hot: np.ndarray, asking: bool = True) -> None:
         n = len(tokens)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         start_word = int(np.searchsorted(words, np.uint64(START)))
         is_hot = np.isin(words, hot)
         home = (words % np.uint64(shards)).astype(np.int64)
         salts = min(SALTS, shards)
-        salt = ((words >> np.uint64(32)) % np.uint64(salts)).astype(np.int64)
+        salt = ((words >> np.uint64(32)) % np.uint64(salts)).astype(np.int32)
         # Level 1: a row for each word and salt; that of salt 0 answers for the word itself.
         spread = np.where(is_hot, salts, 1)
-        offset = np.concatenate([[0], np.cumsum(spread)[:-1]])
+        offset = np.concatenate([[0], np.cumsum(spread)[:-1]]).astype(np.int32)
         row_word = np.repeat(np.arange(len(words)), spread)
         row_salt = np.arange(len(row_word)) - offset[row_word]
         row_shard = (home[row_word] + row_salt) % shards
         by = np.lexsort((row_word, row_shard))
-        place = np.empty(len(by), dtype=np.int64)
+        place = np.empty(len(by), dtype=np.int32)
         place[by] = np.arange(len(by))
-        self.first = place[offset]
-        self.shard = [row_shard[by]]
-        self.keys = [words[row_word[by]]]
+        shard = row_shard[by].astype(np.int32)
+        self.asked = np.unique(shard)
+        self.cuts = [self._cut(shard)]
+        self.keys, self.counts = [], []
         in_train = np.repeat(train, lengths)
-        counts = np.bincount(tokens[in_train], minlength=len(words))
-        counts[start_word] += int(train.sum())
-        self.counts = [counts[row_word[by]]]
+        if asking:
+            counts = np.bincount(tokens[in_train], minlength=len(words))
+            counts[start_word] += int(train.sum())
+            self.keys.append(words[row_word[by]])
+            self.counts.append(counts[row_word[by]])
         self.parents: list[np.ndarray] = []
-        self.at = [self.first[tokens]]
-        position = np.arange(n) - np.repeat(starts, lengths)
+        self.at = [place[offset][tokens]]
+        word_bits = len(words).bit_length()
         for k in range(1, order):
             # Texts begin with START: the first word's context is START alone, whatever the order.
-            inside = position >= k - 1
-            parent = np.full(n, -1, dtype=np.int64)
+            parent = np.full(n, -1, dtype=np.int32)
             if k == 1:
-                before = np.concatenate([[start_word], tokens[:-1]]).astype(np.int64)
+                before = np.full(n, start_word, dtype=np.int32)
+                before[1:] = tokens[:-1]
                 before[starts] = start_word
-                parent = place[offset[before] + np.where(is_hot[before], salt[tokens], 0)]
+                parent = place[offset[before] + np.where(is_hot[before], salt[tokens], np.int32(0))]
+                del before
             else:
                 parent[1:] = self.at[k - 1][:-1]
                 parent[starts] = -1
-                inside &= parent >= 0
-            path = parent * len(words) + tokens
-            found, where = np.unique(path[inside], return_inverse=True)
-            node = np.full(n, -1, dtype=np.int64)
+            inside = parent >= 0
+            path = (parent[inside].astype(np.int64) << word_bits) | tokens[inside]
+            del parent
+            found, where = _distinct(path, len(shard).bit_length() + word_bits)
+            del path
+            node = np.full(n, -1, dtype=np.int32)
             node[inside] = where
             self.at.append(node)
-            self.parents.append(found // len(words))
-            self.keys.append(words[found % len(words)] >> np.uint64(64 - CHILD_BITS))
-            self.counts.append(np.bincount(where[in_train[inside]], minlength=len(found)))
-            self.shard.append(self.shard[-1][self.parents[-1]])
+            self.parents.append((found >> word_bits).astype(np.int32))
+            if asking:
+                self.at[k - 1] = self.at[k - 1][:0]
+                self.keys.append(words[found & ((1 << word_bits) - 1)] >> np.uint64(64 - CHILD_BITS))
+                self.counts.append(np.bincount(where[in_train[inside]], minlength=len(found)).astype(np.int32))
+            shard = shard[self.parents[-1]]
+            self.cuts.append(self._cut(shard))
+
+    def _cut(self, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(shard, self.asked, side="left"), np.searchsorted(shard, self.asked, side="right")
 
     def slices(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """The shards that this batch asks, and in each level where each one's nodes begin and end."""
-        asked = np.unique(self.shard[0])
-        return asked, [(np.searchsorted(s, asked, side="left"), np.searchsorted(s, asked, side="right")) for s in self.shard]
+        return self.asked, self.cuts
 
     def requests(self, part: int = 0, parts: int = 1) -> Iterator[tuple[int, bytes]]:
         """(shard, nodes): for each shard of that part its nodes' keys, training counts and, below level 1, parents, compressed."""
@@ -253,6 +284,11 @@ def _answers(raws: list[bytes], order: int, weight: float) -> tuple[list[bytes],
     return [zstandard.compress(b"".join(x), 3) for x in outs], trie
 
 
+#: 10 to the power of minus each code; of the greatest, which stands for no probability, 0.
+_POWERS = 10.0 ** (-np.arange(1 << 16) / STEP)
+_POWERS[65535] = 0.0
+
+
 def _scores(grams: _Grams, replies: list[bytes], tokens: np.ndarray, lengths: np.ndarray, order: int, total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, base scores, scores) of a batch's documents from the shards' answers, in shard order."""
     cuts = grams.slices()[1]
@@ -276,13 +312,11 @@ def _scores(grams: _Grams, replies: list[bytes], tokens: np.ndarray, lengths: np
     base = sums(np.log10((count + 1) / total)[at])
     p = (10.0 ** (np.concatenate(share[0]).astype(float) / STEP) / total)[at]
     for k in range(1, order):
-        codes = np.concatenate(share[k])
-        own = np.where(codes == 65535, 0.0, 10.0 ** (-codes.astype(float) / STEP))
-        left = 10.0 ** (-np.concatenate(rest[k - 1]).astype(float) / STEP)
+        own, left = np.concatenate(share[k]), np.concatenate(rest[k - 1])
         node = grams.at[k]
         inside = node >= 0
         deep = node[inside]
-        p[inside] = own[deep] + left[grams.parents[k - 1][deep]] * p[inside]
+        p[inside] = _POWERS[own[deep]] + _POWERS[left[grams.parents[k - 1][deep]]] * p[inside]
     return known, base, sums(np.log10(p))
 
 
@@ -297,7 +331,7 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
 
     Documents are gathered to batches; a batch asks each shard, by its n-grams' first word, for the distinct n-grams it
     holds, with its own counts; a part of the shards after the other (ROUNDS), and a part's requests leave the disks before
-    the next one's are made. A shard adds up the counts of all batches, builds its trie and answers from it; no
+    the next one's are made; so do the answers when batches read them. A shard adds up the counts of all batches, builds its trie and answers from it; no
     task sees more than its shard or batch, and hot first words are split by their second. Every n-gram of the training
     texts counts, none is pruned. Words are told apart by 64 bits of hash (48 below the first).
 
@@ -312,15 +346,15 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
     often = batches.select(F.explode("hot").alias("h")).groupBy("h.word").agg(F.sum("h.n").alias("n")).where(F.col("n") >= HOT_SHARE * n_tokens)
     hot = np.array(sorted(r[0] for r in often.select("word").collect()), dtype=np.int64).view(np.uint64)  # at most 1 / HOT_SHARE words
 
-    def grams_of(batch: pa.RecordBatch, i: int, names: list[str]) -> tuple[_Grams, np.ndarray, np.ndarray]:
+    def grams_of(batch: pa.RecordBatch, i: int, names: list[str], asking: bool) -> tuple[_Grams, np.ndarray, np.ndarray]:
         row = {name: batch.column(k)[i] for k, name in enumerate(names)}
         kept, lengths = np.frombuffer(row["words"].as_py(), "<u8"), np.frombuffer(row["lengths"].as_py(), "<u4").astype(np.int64)
         by = np.argsort(kept)
-        place = np.empty(len(by), dtype=np.int64)
+        place = np.empty(len(by), dtype=np.int32)
         place[by] = np.arange(len(by))
         words, tokens = kept[by], place[_grown(row["tokens"].as_py())]
         train = ~np.array(row["held"].as_py(), dtype=bool)
-        return _Grams(words, tokens, lengths, train, order, shards, hot), tokens, lengths
+        return _Grams(words, tokens, lengths, train, order, shards, hot, asking), tokens, lengths
 
     names = ["batch", "held", "lengths", "words", "tokens"]
 
@@ -328,7 +362,7 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
         def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for i in range(batch.num_rows):
-                    grams, _, _ = grams_of(batch, i, names)
+                    grams, _, _ = grams_of(batch, i, names, True)
                     number = batch.column(0)[i].as_py()
                     for shard, raw in grams.requests(part, ROUNDS):
                         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([number]), pa.array([raw], pa.binary())], names=["shard", "batch", "nodes"])
@@ -347,24 +381,33 @@ def score(df: DataFrame, held_out: Column, order: int = 2, weight: float = 20.0,
 
     answered = []
     for part in range(ROUNDS):
-        with shuffles_deleted(spark):
+        with shuffles_deleted(spark), small_batches(spark):
             answered.append(staged(asked(part).groupBy("shard").applyInArrow(answer, "batch long, shard int, reply binary, n_distinct long"), "lm-replies"))
     replies = reduce(DataFrame.unionAll, answered)
     n_distinct = int(replies.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0])
     total = float(n_train + n_distinct + 1)
 
     columns = ["batch", "doc_ids", "held", "lengths", "words", "tokens", "replies"]
-    gathered = replies.groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "reply"))), lambda x: x["reply"]).alias("replies"))
-    joined = batches.select(*columns[:-1]).join(gathered, "batch").select(*columns)
+
+    def joined(part: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("batch"), F.lit(ROUNDS)) == part
+        lists = F.transform(F.sort_array(F.collect_list(F.struct("shard", "reply"))), lambda x: x["reply"]).alias("replies")
+        return batches.select(*columns[:-1]).where(mine).join(replies.where(mine).groupBy("batch").agg(lists), "batch").select(*columns)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for i in range(batch.num_rows):
-                grams, tokens, lengths = grams_of(batch, i, columns)
+                grams, tokens, lengths = grams_of(batch, i, columns, False)
                 known, base, scored = _scores(grams, batch.column(6)[i].as_py(), tokens, lengths, order, total)
                 yield pa.record_batch(
                     [pa.array(batch.column(1)[i].as_py(), pa.int64()), pa.array(batch.column(2)[i].as_py(), pa.bool_()), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n_train)), pa.array(base), pa.array(scored)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return joined.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = []
+    for part in range(ROUNDS):
+        with shuffles_deleted(spark), small_batches(spark):
+            scored.append(staged(joined(part).mapInArrow(finish, kinds), "lm-scores"))
+    dropped(batches, *answered)
+    return reduce(DataFrame.unionAll, scored)

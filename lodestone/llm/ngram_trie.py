@@ -61,10 +61,9 @@ class Level:
 
 def _whole(raw: np.ndarray) -> np.ndarray:
     """Keys of six bytes as integers."""
-    out = np.zeros(len(raw), dtype=np.uint64)
-    for k in range(raw.shape[1]):
-        out |= raw[:, k].astype(np.uint64) << np.uint64(8 * k)
-    return out
+    out = np.zeros((len(raw), 8), dtype="u1")
+    out[:, : raw.shape[1]] = raw
+    return out.view("<u8").ravel()
 
 
 class Trie:
@@ -128,13 +127,15 @@ class Trie:
         if not len(some) or not len(level.keys):
             return out
         lo, hi = pointers.get(parents[some]), pointers.get(parents[some] + 1)
-        end, want = hi.copy(), keys[some]
-        while (open_ := lo < hi).any():
-            middle = (lo + hi) >> 1
-            less = open_ & (_whole(level.keys[np.minimum(middle, len(level.keys) - 1)]) < want)
-            lo, hi = np.where(less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
+        end, want, have = hi.copy(), keys[some], _whole(level.keys)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):  # only ranges that are still open are looked at
+            middle = (lo[open_] + hi[open_]) >> 1
+            less = have[middle] < want[open_]
+            lo[open_[less]], hi[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         found = lo < end
-        found[found] = _whole(level.keys[lo[found]]) == want[found]
+        found[found] = have[lo[found]] == want[found]
         out[some[found]] = lo[found]
         return out
 
