@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words in every operator of this subpackage.
@@ -45,21 +45,32 @@ def compacted(df: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
     return df.coalesce(most) if most < 1 << 20 else df
 
 
-def staged(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+def staged(df: DataFrame, name: str, rows_a_file: int = 0, counting: Column | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     The table stays until `dropped` or the end of the driver's program. Rows of megabytes need small files
-    (`rows_a_file`), as writers and readers hold a file's part of a column in memory.
+    (`rows_a_file`), as writers and readers hold a file's part of a column in memory. With `counting`, the rows for which it
+    is true are counted while they are written, for `n_rows`: no query of its own counts them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     _staged[path] = spark
-    compacted(df).write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    seen = Observation() if counting is not None else None
+    rows = df.observe(seen, F.count(F.when(counting, 1)).alias("rows")) if seen else df
+    compacted(rows).write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    if seen:
+        out._lodestone_rows = int(seen.get["rows"])
     return out
 
 
+def n_rows(df: DataFrame) -> int:
+    """What was counted while the table was staged; of other tables, their rows."""
+    found = getattr(df, "_lodestone_rows", None)
+    return df.count() if found is None else found
+
+
 @contextmanager
 def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """While it is open, what a query shuffles leaves the disks as soon as the query ends: for large tables that are
@@ -91,7 +102,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def dropped(*tables: DataFrame) -> None:
+def dropped(*tables: DataFrame | None) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_lodestone_path", None)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, key_and_text, staged, word_hashes
+from ._common import dropped, key_and_text, n_rows, staged, word_hashes
 
 BITS, MINIMA, ROWS = 2, 128, 4
 BANDS, WORDS = MINIMA // ROWS, BITS * MINIMA // 64
@@ -117,16 +117,33 @@ def _signed(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
     return staged(keyed.mapInArrow(sign, schema), "dedup-signatures")
 
 
-def _often(rows: DataFrame, *key: str) -> DataFrame:
-    """The keys of more than SPOKES rows, with the copies that the other side of a join gets of them, staged."""
+def _often(rows: DataFrame, *key: str) -> DataFrame | None:
+    """The keys of more than SPOKES rows, with the copies that the other side of a join gets of them, staged; None if there
+    are none."""
     counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SPOKES)
-    return staged(counted.select(*key, F.expr(f"CAST(ceil(rows / {SPOKES}) AS int)").alias("copies")), "dedup-often")
+    return _some(counted.select(*key, F.expr(f"CAST(ceil(rows / {SPOKES}) AS int)").alias("copies")), "dedup-often")
 
 
-def _dealt(rows: DataFrame, table: DataFrame, often: DataFrame, by: str, *key: str) -> DataFrame:
+def _some(rows: DataFrame, name: str) -> DataFrame | None:
+    """The rows, staged and counted; None if there are none, so that plans needn't ask for them."""
+    found = staged(rows, name, counting=F.lit(True))
+    if n_rows(found):
+        return found
+    dropped(found)
+    return None
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast if they are few enough."""
+    return F.broadcast(rows) if n_rows(rows) <= BROADCAST_ROWS else rows
+
+
+def _dealt(rows: DataFrame, table: DataFrame, often: DataFrame | None, by: str, *key: str) -> DataFrame:
     """The rows joined with the table's row of their key. The rows of a frequent key (see `_often`) are dealt by another
     column to copies of that row, SPOKES to a copy, so that no task gets a key whole."""
-    hot = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    if often is None:
+        return rows.join(table, list(key))
+    hot = _small(often)
     dealt = rows.join(hot, list(key), "left").withColumn("copy", F.expr(f"CAST(pmod(xxhash64({by}), coalesce(copies, 1)) AS int)")).drop("copies")
     copied = table.join(hot, list(key), "left").withColumn("copy", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
     return dealt.join(copied, [*key, "copy"]).drop("copy")
@@ -147,8 +164,8 @@ def components(links: DataFrame) -> DataFrame:
         # A large component's nodes have one label: they are dealt as well.
         large = _often(spread, "via")
         further = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        new = staged(_dealt(spread, further, large, "node", "via").select("node", "old", F.least("via", "beyond").alias("label")), "dedup-labels")
-        moved = new.where("old <> label").limit(1).count()
+        new = staged(_dealt(spread, further, large, "node", "via").select("node", "old", F.least("via", "beyond").alias("label")), "dedup-labels", counting=F.expr("old <> label"))
+        moved = n_rows(new)
         dropped(labels, spread, large)
         path = new._lodestone_path
         labels = new.drop("old")
@@ -178,7 +195,7 @@ def _sets(df: DataFrame, wanted: DataFrame, spec: Spec, id_col: str, text_col: s
     """node, n, set of the wanted nodes (node, h1, h2, low): only their texts are read again."""
     texts = key_and_text(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     keys = wanted.select(F.coalesce("low", F.lit(NO_ID)).alias("key")).distinct()
-    small = wanted.count() <= BROADCAST_ROWS
+    small = n_rows(wanted) <= BROADCAST_ROWS
     chosen = texts.join(F.broadcast(keys) if small else keys, "key", "left_semi").select("text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +208,8 @@ def _sets(df: DataFrame, wanted: DataFrame, spec: Spec, id_col: str, text_col: s
     built = chosen.mapInArrow(build, "h1 long, h2 long, set array<long>")
     nodes = wanted.select("node", "h1", "h2")
     matched = built.join(F.broadcast(nodes) if small else nodes, ["h1", "h2"])
-    sets = staged(matched.select("node", F.size("set").cast("long").alias("n"), "set"), "dedup-sets")
-    if sets.count() <= wanted.count():
+    sets = staged(matched.select("node", F.size("set").cast("long").alias("n"), "set"), "dedup-sets", counting=F.lit(True))
+    if n_rows(sets) <= n_rows(wanted):
         return sets
     once = staged(sets.dropDuplicates(["node"]), "dedup-sets")
     dropped(sets)
@@ -207,8 +224,10 @@ def _cores(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n").join(lonely, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core"))
 
 
-def _with_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFrame:
+def _with_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame | None) -> DataFrame:
     """The rows (key, node, ...) joined with their bucket's columns; those of a hot bucket (key, copies) meet copies of them."""
+    if hot is None:
+        return rows.join(buckets, "key")
     copy = F.expr("CAST(pmod(xxhash64(node), coalesce(copies, 1)) AS int)")
     dealt = rows.join(hot, "key", "left").withColumn("copy", copy).drop("copies")
     copied = buckets.join(hot, "key", "left").withColumn("copy", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
@@ -221,14 +240,10 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Many pairs may have one b, the star of a large group: they are dealt to copies of its set, SPOKES to a copy.
     """
     pairs = staged(pairs, "dedup-pairs")
-    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > SPOKES).select("b", F.expr(f"CAST(ceil(pairs / {SPOKES}) AS int)").alias("copies"))
-    often = staged(often, "dedup-stars")
-    hot = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    dealt = pairs.join(hot, "b", "left").select("a", "b", F.expr("CAST(pmod(xxhash64(a), coalesce(copies, 1)) AS int)").alias("copy"))
+    often = _often(pairs, "b")
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("set").alias("set1"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("set").alias("set2"))
-    copied = two.join(hot, "b", "left").withColumn("copy", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
-    full = dealt.join(copied, ["b", "copy"]).join(one, "a")
+    full = _dealt(pairs, two, often, "a", "b").join(one, "a")
     out = staged(full.select("a", "b", "n1", "n2", F.size(F.array_intersect("set1", "set2")).cast("long").alias("inside")), "dedup-overlaps")
     dropped(pairs, often)
     return out
@@ -299,25 +314,24 @@ class _Round(NamedTuple):
 
     members: DataFrame
     star: DataFrame
-    hot: DataFrame
+    hot: DataFrame | None
     sets: DataFrame
     overlaps: DataFrame
-    tables: list[DataFrame]
+    tables: list[DataFrame | None]
 
 
 def _compared(df: DataFrame, spec: Spec, id_col: str, text_col: str, signed: DataFrame, nodes: DataFrame, each: DataFrame) -> _Round | None:
     """Compare the members of every bucket of `each` (node, label, band, key) whose nodes have different labels with the
     bucket's star, its most shared node; None if there is no such bucket."""
     sig = [f"s{i}" for i in range(WORDS)]
-    full = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "members"), "dedup-full")
-    if not full.limit(1).count():
-        dropped(full)
+    full = _some(each.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "members"), "dedup-full")
+    if full is None:
         return None
-    crowded = staged(full.where(F.col("members") > SPOKES).select("key", F.expr(f"CAST(ceil(members / {SPOKES}) AS int)").alias("copies")), "dedup-crowded")
-    hot = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    crowded = _some(full.where(F.col("members") > SPOKES).select("key", F.expr(f"CAST(ceil(members / {SPOKES}) AS int)").alias("copies")), "dedup-crowded")
+    hot = None if crowded is None else _small(crowded)
     shared = staged(_with_bucket(each.select("key", "band", "node"), full.select("key"), hot), "dedup-buckets")
     dropped(full)
-    wanted = staged(nodes.join(shared.select("node").distinct(), "node"), "dedup-wanted")
+    wanted = staged(nodes.join(shared.select("node").distinct(), "node"), "dedup-wanted", counting=F.lit(True))
     sets = _sets(df, wanted, spec, id_col, text_col)
     signatures = signed.select(F.col("row").alias("node"), *sig)
     # A node whose core is too small for any partner takes no part.
@@ -409,11 +423,11 @@ def deduplicated(df: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", tex
     out = _labelled(df, spec, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     best = out.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("key"), F.col("text_hash"))).alias("best"))
     lost = out.where("n > 0").join(best, "component").where((F.col("key") != F.col("best.key")) | (F.col("text_hash") != F.col("best.text_hash"))).select("key", "text_hash").distinct()
-    lost = staged(lost, "dedup-lost")
+    lost = staged(lost, "dedup-lost", counting=F.lit(True))
     # The row travels as one struct, so that its columns can't clash with the keys.
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole")
     named = df.select(whole, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    kept = named.join(F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost, ["key", "text_hash"], "left_anti")
+    kept = named.join(_small(lost), ["key", "text_hash"], "left_anti")
     again = out.where("n > 0").groupBy("key", "text_hash").count().where("count > 1").join(lost, ["key", "text_hash"], "left_anti").limit(1).count()
     if again:  # a kept row stands there more than once: these alone make a shuffle of texts needed
         same = Window.partitionBy("key", "text_hash").orderBy(F.lit(0))

@@ -91,3 +91,17 @@ def test_intermediate_tables_go(spark):
     texts = [(i, " ".join(f"w{(i // 3 * 7 + j) % 50}" for j in range(40))) for i in range(60)]
     near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert len(set(_common._staged) - before) == 1  # the result alone
+
+
+def test_nothing_frequent_makes_plain_joins(spark):
+    """Without frequent keys there is no table of them and no copy in the plan, and tables are counted as they are written."""
+    rows = spark.range(100).select(F.col("id").alias("a"), (F.col("id") % 10).alias("b"))
+    assert near_dedup._often(rows, "b") is None
+    table = rows.select("b", (F.col("b") * 2).alias("twice")).distinct()
+    joined = near_dedup._dealt(rows, table, None, "a", "b")
+    assert joined.count() == 100 and "Generate" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    few = _common.staged(rows, "test", counting=F.expr("b > 6"))
+    assert _common.n_rows(few) == 30 and few.count() == 100 and _common.n_rows(rows) == 100
+    none = _common.staged(rows.where("a < 0"), "test", counting=F.lit(True))
+    assert _common.n_rows(none) == 0
+    _common.dropped(few, none, None)
