@@ -18,8 +18,8 @@ from ..schemas import METADATA
 
 @dataclass
 class Index:
-    """chunks: chunk_id, text, dense_vector and metadata columns; postings and idf: see operators.sparse; colbert:
-    chunk_id, vecs, or None."""
+    """chunks: chunk_id, text, dense_vector and metadata columns; postings (or split texts) and idf: see operators.sparse;
+    colbert: chunk_id, vecs, or None."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -27,6 +27,8 @@ class Index:
     colbert: DataFrame | None = None
     #: chunk_id of all chunks, where that is cheaper to read than from `chunks`.
     ids: DataFrame | None = None
+    #: chunk_id, text and metadata of all chunks, where they lie apart from the vectors.
+    texts: DataFrame | None = None
 
 
 @dataclass
@@ -37,6 +39,15 @@ class Queries:
     tokens: DataFrame
 
 
+#: Found rows, by the number of queries, up to which they are sent to the texts, which then aren't shuffled.
+MOST_FOUND = 1 << 15
+
+
+def _sent(found: DataFrame, queries: Queries, per_query: int) -> DataFrame:
+    most = MOST_FOUND // max(per_query, 1)
+    return F.broadcast(found) if queries.rows.select("qid").limit(most + 1).count() <= most else found
+
+
 def hybrid(index: Index, queries: Queries, top_k: int = 10, filters: Mapping[str, str] | None = None, use_colbert_rerank: bool = False, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """qid, chunk_id, score, rank of the fused dense and sparse legs; texts stay out of the plan (see `with_chunks`).
 
@@ -50,21 +61,23 @@ def hybrid(index: Index, queries: Queries, top_k: int = 10, filters: Mapping[str
     if use_colbert_rerank and index.colbert is not None:
         again = colbert_rerank(fused, queries.rows, index.colbert, top_k)
         return again.join(fused.select("qid", "chunk_id", "rrf"), ["qid", "chunk_id"]).select("qid", "chunk_id", F.coalesce("score", "rrf").alias("score"), "rank")
-    return fused.select("qid", "chunk_id", F.col("rrf").alias("score"), "rank")
+    return _sent(fused.select("qid", "chunk_id", F.col("rrf").alias("score"), "rank"), queries, top_k)
 
 
 def with_chunks(found: DataFrame, index: Index) -> DataFrame:
     """qid, rank, chunk_id, text, score and the metadata map of found rows."""
-    meta = [c for c in METADATA if c in index.chunks.columns]
+    chunks = index.chunks if index.texts is None else index.texts
+    meta = [c for c in METADATA if c in chunks.columns]
     pairs = [x for c in meta for x in (F.lit(c), F.col(c))]
-    rows = gathered(found, index.chunks.select("chunk_id", "text", *meta))
+    rows = gathered(found, chunks.select("chunk_id", "text", *meta))
     return rows.select("qid", "rank", "chunk_id", "text", "score", (F.create_map(*pairs) if pairs else F.create_map().cast("map<string, string>")).alias("metadata"))
 
 
 def search_and_rerank(index: Index, queries: Queries, top_k: int = 5, filters: Mapping[str, str] | None = None, scorer: Scorer | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """qid, chunk_id, rerank_score, rank: twice as many fused hits as wanted, scored as pairs and cut."""
     first = hybrid(index, queries, 2 * max(top_k, 0), filters, config=config)
-    pairs = first.select("qid", "chunk_id").join(queries.rows.select("qid", F.col("text").alias("query")), "qid").join(index.chunks.select("chunk_id", "text"), "chunk_id")
+    asked = _sent(first.select("qid", "chunk_id").join(queries.rows.select("qid", F.col("text").alias("query")), "qid"), queries, 2 * top_k)
+    pairs = asked.join((index.chunks if index.texts is None else index.texts).select("chunk_id", "text"), "chunk_id")
     scored = (scorer or LexicalScorer()).score(pairs.select("qid", "query", "chunk_id", "text"))
     return reranked(scored.select("qid", "chunk_id", "rerank_score"), top_k)
 
