@@ -44,3 +44,13 @@ def test_texts_stay_where_they_lie(spark, tmp_path):
     at = next(i for i, x in enumerate(lines) if "FileScan" in x and "text#" in x and "chunk_id#" in x)
     above = [x for x in lines[max(0, at - 4) : at]]
     assert not any("Exchange hashpartitioning(chunk_id" in x for x in above)
+
+
+def test_postings_of_an_index_are_placed_where_texts_lie(spark, monkeypatch):
+    _, texts = texts_of(spark, 60)
+    odd = texts.unionByName(spark.createDataFrame([(900, None), (901, " "), (902, "W3 the THE x_1"), (None, "w3")], "chunk_id long, text string"))
+    want = sorted(map(tuple, sparse.positioned_postings(odd).collect()), key=repr)
+    for entries in (1 << 17, 7, 30):
+        monkeypatch.setattr(sparse_blocks, "BLOCK_ENTRIES", entries)
+        assert sorted(map(tuple, sparse_blocks.placed_postings(odd).collect()), key=repr) == want
+    assert "Exchange" not in sparse_blocks.placed_postings(texts)._jdf.queryExecution().executedPlan().toString()
