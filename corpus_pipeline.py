@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, near_dedup, packing, pii, quality_rules
-from lodestone.llm._common import compacted, staged
+from lodestone.llm._common import compacted, small_batches, staged
 from lodestone.llm.queries import PII_KEY
 
 
@@ -27,9 +27,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dedup.deduplicated(docs, near_dedup.Spec(width=5, percent=80))
 
 
+def _a_few_at_a_time(df: DataFrame, name: str) -> DataFrame:
+    """The rows, staged while texts go to Python in batches of a few MB: workers live on from stage to stage, and so does
+    the memory that large batches have taken."""
+    with small_batches(df.sparkSession):
+        return staged(df, f"pipeline-{name}")
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark item."""
-    return decontamination.decontaminate(compacted(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _a_few_at_a_time(decontamination.decontaminate(compacted(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "benchmark")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +46,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: pieces of power-of-two lengths with their ids."""
-    return packing.pack(compacted(docs), public_tokenizers.path("byte_bpe_50k.json"))
+    return _a_few_at_a_time(packing.pack(compacted(docs), public_tokenizers.path("byte_bpe_50k.json")), "packed")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("private", private), ("packed", packed)]
@@ -50,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        rows = stage(spark, docs, sf_dir)
+        docs = rows if hasattr(rows, "_lodestone_path") else staged(rows, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

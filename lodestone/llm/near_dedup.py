@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, key_and_text, n_rows, staged, word_hashes
+from ._common import dropped, key_and_text, n_rows, small_batches, staged, word_hashes
 
 BITS, MINIMA, ROWS = 2, 128, 4
 BANDS, WORDS = MINIMA // ROWS, BITS * MINIMA // 64
@@ -114,7 +114,8 @@ def _signed(df: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
             yield pa.record_batch([*batch.columns[:3], *columns, pa.ListArray.from_arrays(ends, flat)], names=names)
 
     keyed = key_and_text(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return staged(keyed.mapInArrow(sign, schema), "dedup-signatures")
+    with small_batches(df.sparkSession):
+        return staged(keyed.mapInArrow(sign, schema), "dedup-signatures")
 
 
 def _often(rows: DataFrame, *key: str) -> DataFrame | None:
@@ -208,7 +209,8 @@ def _sets(df: DataFrame, wanted: DataFrame, spec: Spec, id_col: str, text_col: s
     built = chosen.mapInArrow(build, "h1 long, h2 long, set array<long>")
     nodes = wanted.select("node", "h1", "h2")
     matched = built.join(F.broadcast(nodes) if small else nodes, ["h1", "h2"])
-    sets = staged(matched.select("node", F.size("set").cast("long").alias("n"), "set"), "dedup-sets", counting=F.lit(True))
+    with small_batches(df.sparkSession):
+        sets = staged(matched.select("node", F.size("set").cast("long").alias("n"), "set"), "dedup-sets", counting=F.lit(True))
     if n_rows(sets) <= n_rows(wanted):
         return sets
     once = staged(sets.dropDuplicates(["node"]), "dedup-sets")
