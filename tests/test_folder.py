@@ -102,3 +102,27 @@ def test_small_files_share_tasks_and_the_setting_is_restored(spark, tmp_path):
     with markdown.small_files(spark):
         assert markdown.markdown_files(spark, str(tmp_path)).rdd.getNumPartitions() <= 4
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_a_folder_of_small_files_is_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    from lodestone.sources import markdown
+
+    for i in range(200):
+        header = f"domain: d{i % 3}\nversion: 1.{i % 2}0" if i % 4 else f"domain: {'x' * 5000}{i % 8}"
+        (tmp_path / f"{i}.md").write_text(f"---\n{header}\n---\n## a{i}\nb")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    read = markdown.read_documents(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() <= 4
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    want = [(f"{tmp_path}/{i}.md", f"## a{i}\nb", *((f"d{i % 3}", f"1.{i % 2}") if i % 4 else ("x" * 5000 + str(i % 8), ""))) for i in range(200)]
+    for kept in (1024, 1):
+        monkeypatch.setattr(markdown, "HEADERS", kept)
+        read = markdown.read_documents(spark, str(tmp_path))
+        assert sorted((r.path, r.content, r.domain, r.version) for r in read.collect()) == sorted(want)
+    # Files that are large beside the cost of opening one are dealt as ever.
+    (tmp_path / "large").mkdir()
+    for i in range(4):
+        (tmp_path / "large" / f"{i}.md").write_text("x" * 300_000)
+    assert markdown.read_documents(spark, str(tmp_path / "large")).rdd.getNumPartitions() == 4
+    (tmp_path / "empty").mkdir()
+    assert markdown.read_documents(spark, str(tmp_path / "empty")).collect() == []
