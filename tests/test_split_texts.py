@@ -54,3 +54,34 @@ def test_postings_of_an_index_are_placed_where_texts_lie(spark, monkeypatch):
         monkeypatch.setattr(sparse_blocks, "BLOCK_ENTRIES", entries)
         assert sorted(map(tuple, sparse_blocks.placed_postings(odd).collect()), key=repr) == want
     assert "Exchange" not in sparse_blocks.placed_postings(texts)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_reranked_rows_stay_where_they_lie(spark, tmp_path):
+    """Also where no table is small enough that Spark would broadcast it unasked."""
+    _, texts = texts_of(spark, 50)
+    texts.write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    q = asked(spark).where("qid = 0")
+    split = sparse.split_texts(texts)
+    queries = retrieval.Queries(spark.createDataFrame([(0, "the w1", [0.0])], "qid long, text string, dense array<float>"), q)
+    index = retrieval.Index(spark.createDataFrame([(1, "x", [0.0])], "chunk_id long, text string, dense_vector array<float>"), split, sparse.split_idf(split, q, texts), None, texts.select("chunk_id"), texts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (retrieval.search_code_examples(index, queries, None, 3), retrieval.search_documentation(index, queries, None, 3), retrieval.with_chunks(retrieval.hybrid(index, queries, 3), index)):
+            lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+            depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+            scans = [i for i, x in enumerate(lines) if "FileScan" in x and "text#" in x and "chunk_id#" in x]
+            # Above each scan of texts, the first join or exchange is a join with what was broadcast.
+            joined = []
+            for i in scans:
+                above, at = [], depth(lines[i])
+                for line in reversed(lines[:i]):
+                    if depth(line) < at:
+                        at = depth(line)
+                        above.append(line)
+                joined.append(next(x for x in above if "Join" in x or "Exchange" in x))
+            assert scans and all("Broadcast" in x for x in joined), joined
+            assert found.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
