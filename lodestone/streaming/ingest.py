@@ -29,7 +29,7 @@ def ingest_available(spark: SparkSession, store: SnapshotStore, folder: str, emb
     """
 
     def batch(files: DataFrame, _: int) -> None:
-        documents = checked(front_matter(files)).persist()
+        documents = checked(front_matter(files, ends=True)).persist()
         chunks = last_of_each_id(chunk_documents(documents, max_chunk_tokens)).persist()
         version = store.version
         old = store.read("chunks", version)

@@ -126,3 +126,32 @@ def test_a_folder_of_small_files_is_read_by_few_tasks(spark, tmp_path, monkeypat
     assert markdown.read_documents(spark, str(tmp_path / "large")).rdd.getNumPartitions() == 4
     (tmp_path / "empty").mkdir()
     assert markdown.read_documents(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_white_space_at_a_texts_end_and_null_texts_match_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone.plans import queries
+
+    texts = ["plain", "ends with a line\n", "", None, " ", "two ends\n\n", "a\n# ", "a\n##", "a\nb\nc\nd\n"]
+    rows = [(10 * i + j, text, lang, "src0") for i, text in enumerate(texts) for j, lang in enumerate(("en", "de", "fr", "es"))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("folder_chunks", "folder_stats"):
+        got = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.sql(queries.ORACLES[name]).fetchall())
+
+
+def test_all_ingestions_of_files_keep_a_heading_at_the_end(spark, tmp_path):
+    from lodestone.streaming.ingest import ingest_available
+
+    (tmp_path / "kb").mkdir()
+    (tmp_path / "kb" / "a.md").write_text("---\ndomain: d\n---\n\n# One\ntext\n## ")
+    (tmp_path / "kb" / "b.md").write_text("\n# Two\ntext\n## \n")
+    found = []
+    for run in (lambda s: ingest.ingest_folder(spark, s, f"{tmp_path}/kb", EMBEDDER), lambda s: ingest.ingest_full(spark, s, f"{tmp_path}/kb", EMBEDDER), lambda s: ingest_available(spark, s, f"{tmp_path}/kb", EMBEDDER, f"{tmp_path}/marks").awaitTermination()):
+        store = ingest.open_store(spark, f"{tmp_path}/store{len(found)}")
+        run(store)
+        found.append(sorted((r.id, r.text) for r in store.read("chunks").collect()))
+    assert found[0] == [(f"{tmp_path}/kb/a.md#", "##"), (f"{tmp_path}/kb/b.md#", "##")] and found[1] == found[0] and found[2] == found[0]
