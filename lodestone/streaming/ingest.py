@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.chunker import chunk_documents, last_of_each_id
-from ..operators.models import Embedder, with_embeddings
-from ..operators.store import SnapshotStore, changed
-from ..plans.ingest import commit_changes
+from ..operators.models import Embedder
+from ..operators.store import SnapshotStore
+from ..plans.ingest import commit_changes, embedded, staged_chunks
 from ..sources.markdown import checked, front_matter, texts_of
 
 
@@ -29,16 +28,19 @@ def ingest_available(spark: SparkSession, store: SnapshotStore, folder: str, emb
     """
 
     def batch(files: DataFrame, _: int) -> None:
-        documents = checked(front_matter(files, ends=True)).persist()
-        chunks = last_of_each_id(chunk_documents(documents, max_chunk_tokens)).persist()
         version = store.version
         old = store.read("chunks", version)
-        todo = changed(old, chunks)
-        work = with_embeddings(embedder, todo, "id", "text").persist()
-        gone = old.join(documents.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id").join(chunks.select("id"), "id", "left_anti").persist()
-        if work.limit(1).count() or gone.limit(1).count():
-            commit_changes(store, version, work, gone)
-        for table in (documents, chunks, work, gone):
-            table.unpersist()
+        gone = None
+        try:
+            documents = store.staged(checked(front_matter(files, ends=True)))
+            chunks = staged_chunks(store, old, documents, max_chunk_tokens)
+            work = embedded(store, chunks, embedder)
+            gone = old.join(documents.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id").join(chunks.select("id"), "id", "left_anti").persist()
+            if chunks.where("_changed").limit(1).count() or gone.limit(1).count():
+                commit_changes(store, version, work, gone)
+        finally:
+            if gone is not None:
+                gone.unpersist()
+            store.unstage()
 
     return stream_markdown(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

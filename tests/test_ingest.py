@@ -152,3 +152,59 @@ def test_tools_use_the_settings(spark, folder, tmp_path):
     engine = Engine(spark, Settings(paths=PathsConfig(str(folder), str(tmp_path / "db")), retrieval=RetrievalConfig(top_k_dense=1, top_k_sparse=0)), LexicalEmbedder(16))
     engine.ingest()
     assert engine.search_documentation("plum", top_k=5).count() == engine.search_code_examples("plum", top_k=5).count() == engine.diagnose_error("plum").count() == 1
+
+
+def test_texts_and_vectors_are_staged_and_not_cached(spark, folder, tmp_path, monkeypatch):
+    from lodestone.streaming import ingest as streaming
+
+    seen = []
+
+    def commit(opened, version, work, gone, files=None):
+        seen.append((work.storageLevel.useMemory, work.columns, (tmp_path / name / "staged").exists()))
+        return ingest_commit(opened, version, work, gone, files)
+
+    ingest_commit = ingest.commit_changes
+    monkeypatch.setattr(ingest, "commit_changes", commit)
+    monkeypatch.setattr(streaming, "commit_changes", commit)
+    embedder = LexicalEmbedder(8)
+    runs = (lambda s: ingest.ingest_full(spark, s, str(folder), embedder), lambda s: ingest.ingest_folder(spark, s, str(folder), embedder), lambda s: ingest_available(spark, s, str(folder), embedder, str(tmp_path / "marks")).awaitTermination())
+    found = []
+    for i, run in enumerate(runs):
+        name = f"store{i}"
+        kept = ingest.open_store(spark, str(tmp_path / name))
+        run(kept)
+        assert not (tmp_path / name / "staged").exists()
+        found.append([sorted(map(str, kept.read(t).drop("ingestion_timestamp").collect())) for t in ("chunks", "postings", "colbert")])
+    assert [(cached, staged) for cached, _, staged in seen] == [(False, True)] * 3
+    assert found[0] == found[1] == found[2] and all(found[0])
+
+
+def test_unchanged_chunks_keep_their_texts_and_a_model_is_asked_once(spark, tmp_path):
+    from lodestone.operators.models import ModelEmbedder
+
+    told = str(tmp_path / "told")
+
+    class Model:
+        def encode(self, texts, **_):
+            with open(told, "a") as out:
+                out.writelines(f"{t!r}\n" for t in texts)
+            return {"dense": [[1.0]] * len(texts), "sparse": [{"n": 1.0}] * len(texts), "colbert": [[[2.0]]] * len(texts)}
+
+    (tmp_path / "kb").mkdir()
+    (tmp_path / "kb" / "a.md").write_text("## One\nfirst\n## Two\nsecond")
+    kept = ingest.open_store(spark, str(tmp_path / "store"))
+    assert ingest.ingest_full(spark, kept, str(tmp_path / "kb"), ModelEmbedder(Model)).chunks_created == 2
+    (tmp_path / "kb" / "a.md").write_text("## One\nfirst\n## Two\nagain\n## Three\nthird")
+    stats = ingest.ingest_full(spark, kept, str(tmp_path / "kb"), ModelEmbedder(Model))
+    assert (stats.chunks_created, stats.chunks_updated, stats.chunks_deleted) == (1, 1, 0)
+    assert sorted(r.text for r in kept.read("chunks").collect()) == ["## One\n\nfirst", "## Three\n\nthird", "## Two\n\nagain"]
+    assert len(open(told).readlines()) == 4 and kept.read("colbert").count() == 3 and kept.read("postings").count() == 3
+
+
+def test_words_are_found_once_for_postings(spark):
+    from lodestone.operators.sparse import exploded
+
+    texts = spark.createDataFrame([("a", "one two two"), ("b", ""), ("c", None)], "id string, text string")
+    rows = exploded(LexicalEmbedder(8).attached(texts, "text"), "id")
+    assert sorted(map(tuple, rows.collect())) == [("a", "one", 1.0), ("a", "two", 2.0)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
