@@ -155,3 +155,38 @@ def test_all_ingestions_of_files_keep_a_heading_at_the_end(spark, tmp_path):
         run(store)
         found.append(sorted((r.id, r.text) for r in store.read("chunks").collect()))
     assert found[0] == [(f"{tmp_path}/kb/a.md#", "##"), (f"{tmp_path}/kb/b.md#", "##")] and found[1] == found[0] and found[2] == found[0]
+
+
+def test_tasks_list_a_folder_as_sparks_reader_does(spark, tmp_path):
+    from lodestone.sources import markdown
+
+    for name in ("a.md", "README.md", "x.MD", "n.txt", ".h.md", "_s.md", "_k=1.md", "é ü%20.md", "sub/b.md", "sub/deep/er/c.md", "sub/ReadMe.md", ".git/d.md", "_tmp/e.md", "f.md/g.md", "sub/_x/h.md", "y=1/i.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"---\ndomain: {len(name)}\n---\n## {name}\ntext\n")
+    (tmp_path / "empty").mkdir()
+    for folder in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}", f"file:{tmp_path}/sub"):
+        root = markdown.local_root(spark, folder)
+        listed = markdown.list_local(spark, folder, root)
+        want = markdown.list_markdown(spark, folder)
+        assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, want.collect())) and listed.count() > 1
+        since = listed.agg({"modification_time": "min"}).first()[0]
+        read = [sorted(map(tuple, df.collect())) for df in (markdown.read_local(spark, folder, root, listed), markdown.read_listed(spark, folder, want, since))]
+        assert read[0] == read[1]
+    assert markdown.list_local(spark, f"{tmp_path}/empty", f"{tmp_path}/empty").collect() == []
+    assert markdown.local_root(spark, f"{tmp_path}/none") is None and markdown.local_root(spark, f"{tmp_path}/a.md") is None
+
+
+def test_the_driver_lists_no_local_file(spark, folder, tmp_path, monkeypatch):
+    def listing(*_):
+        raise AssertionError("listed by the driver")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "markdown_files", listing)
+        store = ingest.open_store(spark, str(tmp_path / "store"))
+        assert ingest.ingest_folder(spark, store, str(folder), EMBEDDER) == ingest.FolderStats(6, 6, 0, 12, 0, 0)
+    # Another store's folder is listed by Spark's reader, and told to be unchanged.
+    monkeypatch.setattr(ingest, "local_root", lambda *_: None)
+    assert ingest.ingest_folder(spark, store, str(folder), EMBEDDER) == ingest.FolderStats(6, 0, 0, 0, 0, 0)
+    (folder / "sub" / "f5.md").unlink()
+    (folder / "f0.md").write_text("## Other\nand longer than it was before")
+    assert ingest.ingest_folder(spark, store, str(folder), EMBEDDER) == ingest.FolderStats(5, 1, 1, 1, 0, 4)
