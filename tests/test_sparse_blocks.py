@@ -59,3 +59,19 @@ def test_bm25_in_two_parts_is_the_whole(spark):
     whole = {(r.chunk_id, r.token): r.weight for r in fulltext.bm25_postings(words, lengths, df).collect()}
     parts = fulltext.bm25_weights(words, lengths).join(fulltext.bm25_idf(df, lengths), "token").collect()
     assert len(parts) == len(whole) and all(abs(whole[r.chunk_id, r.token] - r.weight * r.idf) < 1e-12 for r in parts)
+
+
+def test_partitions_of_chunks_are_few_and_near_floors_count(spark):
+    import numpy as np
+
+    postings = spark.createDataFrame([(i, f"t{i % 3}", 1.0) for i in range(50)], "chunk_id long, token string, weight double")
+    queries = spark.createDataFrame([(1, "t0", 2.0), (2, "t1", 1.0)], "qid long, token string, weight double")
+    found = sparse_blocks.search_blocks(postings, queries, 2)
+    assert f", {2 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 2.0, 1), (1, 3, 2.0, 2), (2, 1, 1.0, 1), (2, 4, 1.0, 2)]
+    # After a first block has set the floors, what rounds up to one still counts, and what doesn't share a token never does.
+    best = sparse_blocks._Best(1, 2)
+    ids = np.array([5, 6, 7], dtype=object)
+    best.see(ids, np.array([[1.0, 0.5, 0.0]]), np.array([[True, True, False]]))
+    best.see(ids + 10, np.array([[0.4999996, 0.4999994, 0.9]]), np.array([[True, True, False]]))
+    assert sorted(zip(best.found.tolist(), best.score.tolist())) == [(5, 1.0), (6, 0.5), (15, 0.5)]
